@@ -25,6 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -70,8 +71,7 @@ def windows(conversations: DataFrame, p: Params = Params()) -> DataFrame:
         path = p.tokenizer
 
         @F.pandas_udf("int")
-        def counted(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-            import pandas as pd
+        def counted(texts: pd.Series) -> pd.Series:
             from tokenizers import Tokenizer
 
             enc = Tokenizer.from_file(path)
