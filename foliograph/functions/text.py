@@ -10,6 +10,7 @@ from __future__ import annotations
 import string
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Character classes for regular expressions (without brackets).
@@ -170,8 +171,6 @@ def _unscrambled(run: Column) -> Column:
 
 
 def _nfkc(text: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

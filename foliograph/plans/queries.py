@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import audit
-from . import audit_sql, corpora
+from . import audit_sql, corpora, layout
 
 
 def _audit(s: SparkSession, d: str) -> DataFrame:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_totals": lambda s, d: audit.totals(_audit(s, d)),
         "audit_flagged": lambda s, d: audit.flagged(_audit(s, d)),
         "audit_examples": lambda s, d: audit.examples(_audit(s, d)),
+        **layout.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(audit_sql.SQL)
+    return {**audit_sql.SQL, **layout.oracle_sql()}
