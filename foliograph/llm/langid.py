@@ -149,36 +149,47 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p: Para
     part = F.lit(False)
     for lang in langs:
         part = part | ((F.col(lang_col) == lang) & (F.pmod(h, F.lit(1 << 30)) < sample_below(1.5 * p.train_per_lang / sizes[lang])))
-    schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("cut", pa.int32()), ("size", pa.int32()), ("v", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("cut", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("v", pa.binary())])
 
     def features(batches):
         for b in batches:
             for s in slices(b, 0, 1 << 19):
                 for k in (None, *LENGTHS):
                     c, size = counts(s.column(0), k)
-                    yield arrays(schema, s.column(1), s.column(2), np.full(len(size), k or 0), size, [np.minimum(r, 255).astype(np.uint8).tobytes() for r in c])
+                    at = [np.flatnonzero(r).astype(np.uint16) for r in c]
+                    yield arrays(schema, s.column(1), s.column(2), np.full(len(size), k or 0), size, [a.tobytes() for a in at], [np.minimum(r[a], 255).astype(np.uint8).tobytes() for r, a in zip(c, at)])
 
     sample = docs.select(text_col, lang_col, h.alias("key")).filter(part).dropDuplicates(["key"])
-    rows = sorted(sample.mapInArrow(features, "lang string, key long, cut int, size int, v binary").collect(), key=lambda r: (r.lang, r.key, r.cut))
+    rows = sorted(sample.mapInArrow(features, "lang string, key long, cut int, size int, grams binary, v binary").collect(), key=lambda r: (r.lang, r.key, r.cut))
     keep, seen = [], {}
     for r in rows:
         if r.cut == 0:
             seen[r.lang] = seen.get(r.lang, 0) + 1
         if seen[r.lang] <= p.train_per_lang:
             keep.append(r)
-    x = vectors(np.stack([np.frombuffer(r.v, np.uint8) for r in keep]).astype(np.float32), idf) if keep else np.zeros((0, WIDTH), np.float32)
+    rows = None
     lang = np.array([langs.index(r.lang) for r in keep], int)
-    cut, size = np.array([r.cut for r in keep]), np.array([r.size for r in keep])
+    cut, size = np.array([r.cut for r in keep], int), np.array([r.size for r in keep], int)
+
+    def some(which: np.ndarray) -> np.ndarray:
+        if not len(which):
+            return np.zeros((0, WIDTH), np.float32)
+        c = np.zeros((len(which), WIDTH), np.float32)
+        for row, i in zip(c, which):
+            row[np.frombuffer(keep[i].grams, np.uint16)] = np.frombuffer(keep[i].v, np.uint8)
+        return vectors(c, idf)
+
     cents, owner = [], []
     for i in range(len(langs)):
-        own = x[(lang == i) & (cut == 0) & (size > 0)]
+        own = some(np.flatnonzero((lang == i) & (cut == 0) & (size > 0)))
         if len(own):
             cents.append(kmeans(own, p.clusters, p.iterations))
             owner += [i] * len(cents[-1])
     if not cents:
         return Model([], idf, np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(1), np.zeros(1))
     centroids, owner = np.concatenate(cents).astype(np.float32), np.array(owner)
-    cos = (x @ centroids.T).max(1)
+    # a few rows at a time: the driver never holds the sample's vectors at once
+    cos = np.concatenate([(some(np.arange(a, min(a + 200, len(keep)))) @ centroids.T).max(1) for a in range(0, len(keep), 200)])
     at, floor = [], []
     for k in LENGTHS:
         own = cos[(cut == k) & (size == k)]
