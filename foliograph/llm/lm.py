@@ -182,8 +182,8 @@ class Model:
         p, code, orders = self.p, self.code, len(self.tables)
         raw, off, slots = contexts(col, p)
         size = np.diff(off)
-        other = np.repeat(1 - fold, size)
-        base = [((np.int32(1) * other << bits) + s) * np.int32(code.nodes) for s, bits in zip(slots, p.slots)]
+        other = np.repeat(1 - fold, size).astype(np.int32)
+        base = [((other << np.int32(bits)) + s) * np.int32(code.nodes) for s, bits in zip(slots, p.slots)]
         many = -(-size // p.segment)
         row = np.repeat(np.arange(len(size)), many)
         start = off[:-1][row] + (np.arange(len(row)) - (np.cumsum(many) - many)[row]) * p.segment
@@ -192,6 +192,7 @@ class Model:
         row, start, length = row[order], start[order], length[order]
         total = np.zeros(len(row))
         lanes = len(row)
+        nodes, signs = np.ascontiguousarray(code.node.T), np.ascontiguousarray(code.bit.T * 2.0 - 1).astype(np.float32)
         w = np.full((p.gates, orders, lanes), p.weight, np.float32)
         grid = np.linspace(-8, 8, p.cells).astype(np.float32)
         refined = np.repeat(grid[:, None], lanes, 1).ravel()  # refined[cell * lanes + lane]
@@ -207,38 +208,52 @@ class Model:
             byte = raw[at]
             deep = np.where(inside, code.length[byte], 0)
             ctx = [b[at] for b in base]
-            lane_of = np.broadcast_to(np.arange(n)[:, None], at.shape)
+            ctx = [c.ravel() for c in ctx]
+            byte = byte.ravel()
+            flat = deep.ravel()
+            lane = np.repeat(np.arange(n), p.block)
+            live = np.flatnonzero(flat)
             grads = np.zeros((p.gates, orders, n), np.float32)
-            uses = np.zeros((p.gates, n), np.float32)
-            fix, hits = np.zeros(p.cells * lanes, np.float32), np.zeros(p.cells * lanes, np.float32)
+            touched, wrong = [], []
             for d in range(int(deep.max(initial=0))):
-                live = np.flatnonzero(deep.ravel() > d)
-                lane = lane_of.ravel()[live]
-                by = byte.ravel()[live]
-                node, bit = code.node[by, d], code.bit[by, d].astype(np.float32)
+                # decisions at this depth are some of those at the one before
+                keep = np.flatnonzero(flat[live] > d) if d else None
+                if d:
+                    live, lane, by = live[keep], lane[keep], by[keep]
+                    at_node = [c[keep] for c in at_node]
+                else:
+                    lane, by = lane[live], byte[live]
+                    at_node = [c[live] for c in ctx]
+                node, bit = nodes[d].take(by), signs[d].take(by)
+                first = np.flatnonzero(lane[1:] != lane[:-1]) + 1
+                first = np.concatenate([[0], first])
+                who = lane[first]
                 g = min(d, p.gates - 1)
-                x = [self.tables[k][ctx[k].ravel()[live] + node].astype(np.float32) * np.float32(1 / 16) for k in range(orders)]
-                z = x[0] * w[g, 0, lane]
+                x = [self.tables[k].take(at_node[k] + node) for k in range(orders)]
+                own = w[g]
+                z = x[0] * own[0][lane]
                 for k in range(1, orders):
-                    z += x[k] * w[g, k, lane]
+                    z += x[k] * own[k][lane]
+                z *= np.float32(1 / 16)
                 np.clip(z, -7.99, 7.99, out=z)
                 pos = (z + 8) * step
                 cell = pos.astype(np.int32)
                 part = pos - cell
                 cell = cell * lanes + lane
                 y = refined[cell] * (1 - part) + refined[cell + lanes] * part
-                mixed = 1 / (1 + np.exp(-z))
-                final = 1 / (1 + np.exp(np.float32(-0.5) * (z + y)))
-                total[:n] -= np.bincount(lane, np.log2(np.where(bit > 0, final, 1 - final)), n)
-                err = bit - mixed
+                # bit is 1 or -1: exp(-bit * z) serves either
+                total[who] += np.add.reduceat(np.log2(1 + np.exp(np.float32(-0.5) * bit * (z + y))), first)
+                err = bit / (1 + np.exp(bit * z))
                 for k in range(orders):
-                    grads[g, k] += np.bincount(lane, err * x[k], n).astype(np.float32)
-                uses[g] += np.bincount(lane, minlength=n)
+                    grads[g, k, who] += np.add.reduceat(err * x[k], first) * np.float32(1 / 16)
                 near = np.where(part < 0.5, cell, cell + lanes)
-                fix += np.bincount(near, bit - 1 / (1 + np.exp(-y)), len(fix)).astype(np.float32)
-                hits += np.bincount(near, minlength=len(hits))
+                touched.append(near)
+                wrong.append(bit / (1 + np.exp(bit * y)))
             w[:, :, :n] += np.float32(p.rate) * grads
-            refined += fix / (hits + 6)
+            if touched:
+                near = np.concatenate(touched)
+                fix, hits = np.bincount(near, np.concatenate(wrong), len(refined)), np.bincount(near, minlength=len(refined))
+                refined += (fix / (hits + 6)).astype(np.float32)
         return size, np.bincount(row, total, len(size)) if lanes else np.zeros(len(size))
 
 
@@ -285,7 +300,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pa
 
     def run(batches):
         for b in batches:
-            for s in slices(b, 1, 1 << 22):
+            for s in slices(b, 1, 1 << 23):
                 n, bits = model.value.bits(s.column(1), s.column(2).to_numpy())
                 rate = np.where(n > 0, bits / np.maximum(n, 1), 0.0)
                 yield arrays(schema, s.column(0), n, bits, pa.array(rate, mask=n == 0))
