@@ -17,7 +17,7 @@ Queries are handled in groups of ``query_group``; their terms are what is
 broadcast, so that it does not grow with the number of queries.
 
 Defined results: a query or document that is NULL, empty or wordless has no
-result; only documents with a score above 0 are ranked; ties go to the lesser
+result, nor has a query without id; queries of one id share a ranking; only documents with a score above 0 are ranked; ties go to the lesser
 doc_id (NULL last), and repeated rows are ranked one by one, so fewer than k
 rows mean fewer than k matching documents; repeated query terms count each
 time; other columns are ignored.
