@@ -6,6 +6,7 @@ import argparse
 import importlib
 import sys
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,8 +32,7 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> int:
 def _audit(spark: SparkSession, a: argparse.Namespace) -> int:
     pages = layout.read_page_texts(spark, a.input_dir)
     found = audit.audit_pages(pages).persist()
-    with open(a.out_md, "w", encoding="utf-8") as f:
-        f.write(audit.report(found, layout.heads(pages), date.today().isoformat()))
+    Path(a.out_md).write_text(audit.report(found, layout.heads(pages), str(date.today())), "utf-8")
     return 0
 
 
@@ -45,11 +45,10 @@ def main(argv: list[str] | None = None) -> int:
     source.add_argument("-i", "--input", help="a PDF file, or a folder of them; needs --decoder")
     e.add_argument("--decoder", help="module:function that decodes (name, bytes) into pages")
     e.add_argument("-o", "--output", required=True)
-    e.add_argument("--crop-top", type=float, default=0.0)
-    e.add_argument("--crop-bottom", type=float, default=0.0)
+    for side in ("top", "bottom"):
+        e.add_argument(f"--crop-{side}", default=0.0, type=float)
+        e.add_argument(f"--no-auto-crop-{side}", action="store_true")
     e.add_argument("--crop-unit", choices=("pct", "px"), default="pct")
-    e.add_argument("--no-auto-crop-top", action="store_true")
-    e.add_argument("--no-auto-crop-bottom", action="store_true")
     e.add_argument("--no-footer-detection", action="store_true")
     e.add_argument("--ocr-strategy", choices=extract.STRATEGIES, default="never")
     e.add_argument("--table-strategy", choices=("lines", "lines_strict", "text"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from statistics import median_high
 
 from . import page as P
 
+_OPENING = re.compile("^\\s*([0-9\\d]+)", re.M)
 LEGAL = re.compile("^[\"\u00ab]?\\s*(\u0637\u0628\u0642\u0627|\u0623\u0646\u0638\u0631|\u0627\u0644\u0645\u0627\u062f\u0629\\s+\\d+)")
 
 
@@ -34,7 +36,7 @@ def apart(a: float, b: float, c: float, d: float) -> float:
     return max(0.0, max(a, c) - min(b, d))
 
 
-def tips(blocks: list[dict], clip: tuple) -> dict[str, list[float]]:
+def tips(blocks: list, clip: tuple) -> dict:
     """Bottoms of the superscript numbers, by number."""
     out: dict[str, list[float]] = {}
     end = clip[1] + 0.95 * (clip[3] - clip[1])
@@ -122,7 +124,7 @@ def confirmed(blocks: list[dict], found: dict) -> list[float]:
     last: dict[str, float] = {}
     for b in blocks:
         top = b["box"][1]
-        for m in re.finditer(r"^\s*(\d+)", P.block_text(b), re.M):
+        for m in _OPENING.finditer(P.block_text(b)):
             if any(t < top for t in found.get(m[1], ())):
                 last[m[1]] = max(top, last.get(m[1], top))
                 break
@@ -156,8 +158,8 @@ def backtrack(blocks: list[dict], drawings: list[dict], clip: tuple, limit: floa
     if start is None:
         return None
     fonts = set().union(*(r[2] for r in rows[start:]))
-    heights = sorted(r[1] - r[0] for r in rows if r[1] > r[0])
-    reach = max(18.0, 2.5 * (heights[len(heights) // 2] if heights else 7.0))
+    heights = [r[1] - r[0] for r in rows if r[1] > r[0]]
+    reach = max(18.0, 2.5 * (median_high(heights) if heights else 7.0))
     best = rows[start][0]
     for top, bottom, own in rows[:start][::-1]:
         if best - bottom > reach or not own & fonts:
@@ -185,7 +187,7 @@ def small_print(blocks: list[dict], clip: tuple, body: float) -> float | None:
     small = next((k for k in sorted(sizes, key=lambda k: -sizes[k]) if k <= body - 2 and sizes[k] > 0.05 * most), None)
     if not small:
         return None
-    lines.sort(key=lambda x: x[0])
+    lines = sorted(lines, key=lambda line: line[0])
     for i, (y, k) in enumerate(lines):
         rest = [s <= small + 0.5 for _, s in lines[i:]]
         if k <= small + 0.5 and sum(rest) / len(rest) >= 0.7 and y > clip[3] - 0.2 * (clip[3] - clip[1]) and not P.text_in(blocks, (clip[0], y - 20, clip[2], y - 1)):

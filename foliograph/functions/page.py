@@ -41,15 +41,17 @@ def arabic(c: str) -> bool:
     return 0x600 <= first <= 0x6FF or 0x750 <= first <= 0x77F or 0x8A0 <= first <= 0x8FF or 0xFB50 <= first <= 0xFDFF or 0xFE70 <= first <= 0xFEFF
 
 
-# ------------------------------------------------------------------ cleaning
+# cleaning
 
 _B = f"[{T.BASE}]"
+_A = "([\u0622\u0623\u0625\u0627])"
+_GAP = "\\s*"
 _RUN = re.compile(f"[{T.BLOCKS}]+(?:\\s+[{T.BLOCKS}]+)+")
 _TOKEN = re.compile(f"[{T.BLOCKS}]{{2,}}")
 _STEPS_BEFORE = [(re.compile(p), r) for p, r in (
     ("\uf02d", "-"),
-    (f"(?<!{_B})([\u0648\u0641\u0628\u0643\u0644])\u0627\\s*([\u0622\u0623\u0625\u0627])\\s*\u0644(?={_B})", "\\1\u0627\u0644\\2"),
-    (f"(?<!{_B})\u0627\\s*([\u0622\u0623\u0625\u0627])\\s*\u0644", "\u0627\u0644\\1"),
+    (f"(?<!{_B})([\u0648\u0641\u0628\u0643\u0644])\u0627{_GAP}{_A}{_GAP}\u0644(?={_B})", "\\1\u0627\u0644\\2"),
+    (f"(?<!{_B})\u0627{_GAP}{_A}{_GAP}\u0644", "\u0627\u0644\\1"),
 )]
 _DEMO = f"(?:{T._DEMONSTRATIVE}|[\u0644\u0628](?:\u0647\u0630\u0627|\u0647\u0630\u0647)|\u0648\u0641\u064a(?:\u0647\u0630\u0627|\u0647\u0630\u0647))"
 _STEPS_MIDDLE = [(re.compile(p), r) for p, r in (
@@ -91,7 +93,7 @@ def clean(text: str) -> str:
     for p, r in _STEPS_MIDDLE:
         text = p.sub(r, text)
     text = re.sub(r"\b[a-z]{3,}[A-Z]\b", lambda m: m[0][::-1], text)
-    text = re.sub(r"\)\s*([^()\n]{1,30}?)\s*\(", _turn_bracket, text)
+    text = re.sub(f"\\){_GAP}([^()\n]{{1,30}}?){_GAP}\\(", _turn_bracket, text)
     text = re.sub("\u00bb\\s*([^\u00ab\u00bb\n]{1,120}?)\\s*\u00ab", "\u00ab\\1\u00bb", text)
     text = _RUN.sub(_turn_run, text)
     for p, r in _STEPS_AFTER:
@@ -103,7 +105,7 @@ def page_number(text: str) -> bool:
     return any(c.isdigit() for c in text) and not any(c.isalpha() for c in text)
 
 
-# ------------------------------------------------------------------ glyph rows
+# glyph rows
 
 
 def without_clones(glyphs: list[Glyph]) -> list[Glyph]:
@@ -219,7 +221,7 @@ def row_text(glyphs: list[Glyph]) -> str:
     return "".join(parts)
 
 
-# ------------------------------------------------------------------ lines, blocks
+# lines, blocks
 
 
 def span_text(span: dict) -> str:
@@ -253,7 +255,7 @@ def text_in(blocks: list[dict], box: tuple) -> str:
     return "\n".join(block_text(b) for b in clipped(blocks, box)).strip()
 
 
-def merged_rows(lines: list[dict]) -> list[dict]:
+def merged_rows(lines: list) -> list:
     """Lines joined to the first row whose mean centre lies within 3 of theirs; by centre."""
     rows: list[dict] = []
     for ln in lines:
@@ -288,7 +290,7 @@ def superscript(span: dict, body: float) -> bool:
     return t.isdigit() and span["size"] <= 13 and not (body > 0 and span["size"] > 0.85 * body)
 
 
-# ------------------------------------------------------------------ reading order
+# reading order
 
 
 def gutter(boxes: list[tuple], clip: tuple) -> float:
@@ -349,7 +351,7 @@ def reading_order(boxes: list[tuple], clip: tuple) -> list[int]:
     return out
 
 
-# ------------------------------------------------------------------ images
+# images
 
 
 def intersect(a: tuple, b: tuple) -> tuple:

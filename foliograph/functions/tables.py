@@ -11,6 +11,7 @@ import re
 
 from . import page as P
 
+_BREAKS = re.compile("[\t\n\r]+")
 LONE = re.compile("^[؀-ۿ]\\s+(?=\\d)")
 
 
@@ -103,7 +104,7 @@ def rendered(grid: list[list[str]]) -> str | None:
     keep = [k for k in range(width) if any(r[k].strip() for r in grid)]
     if not keep:
         return None
-    lines = [" | ".join(re.sub(" +", " ", re.sub(r"[\r\n\t]+", " ", r[k].strip())) for k in keep) for r in grid if any(v.strip() for v in r)]
+    lines = [" | ".join(re.sub(" +", " ", _BREAKS.sub(" ", r[k].strip())) for k in keep) for r in grid if any(v.strip() for v in r)]
     text = "\n".join(lines)
     pipes = text.count("|")
     return text if len(re.sub(r"[|\s]+", "", text)) >= 0.5 * pipes else None

@@ -143,7 +143,7 @@ def font_style(font: Column) -> Column:
     return F.when(bold & italic, "bolditalic").when(bold, "bold").when(italic, "italic").otherwise("regular")
 
 
-# ---------------------------------------------------------------- cleaning
+# cleaning
 
 _SCRAMBLED_RUN = f"[{BLOCKS}]+(?:[{SPACE}]+[{BLOCKS}]+)+"
 _REVERSED_LATIN = f"(?<![{WORD}])[a-z]{{3,}}[A-Z](?![{WORD}])"

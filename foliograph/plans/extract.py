@@ -57,7 +57,7 @@ def strategy(value: str | None, default: str = "auto") -> str:
 
 
 def capabilities(ocr: Callable | None = None) -> dict:
-    return {"tables": True, "footer_detection": True, "ocr": ocr is not None}
+    return dict.fromkeys(("tables", "footer_detection"), True) | {"ocr": ocr is not None}
 
 
 def _text(block: Column) -> Column:
