@@ -50,7 +50,7 @@ def clashing(spark):
     return spark.createDataFrame([(*r, 1.0, "x", True, "h", "r", "s", "w") for r in corpus()], EXTRA)
 
 
-# ---------------------------------------------------------------- tokens
+# tokens
 
 
 def test_tokens_are_those_of_the_plain_loop():
@@ -74,7 +74,7 @@ def test_shingles_stay_within_their_row():
     assert h[1] == h[3] and len(set(h.tolist())) == 3
 
 
-# ---------------------------------------------------------------- 1 language
+# 1 language
 
 
 def test_language_by_brute_force(docs):
@@ -117,7 +117,7 @@ def test_language_without_rows_or_labels(empty, docs):
     assert all(r.rejected and r.language is None for r in none) and len(none) == len(corpus())
 
 
-# ---------------------------------------------------------------- 2 HTML
+# 2 HTML
 
 
 PAGE = "<html><head><title>x</title></head><body><nav><a href='/'>home</a><li><a>about us</a></li></nav><p>%s</p><p>%s</p><script>var a='<p>no</p>'</script><!-- <p>no</p> --><footer>© all rights</footer>" % ("word " * 40, "other &amp; text " * 20)
@@ -160,7 +160,7 @@ def test_html_held_out_accuracy():
     assert html.classify(html.tree(), f).tolist()[3:6] == [True] * 3 and not html.classify(html.tree(), f)[[0, 1, 6, 7]].any()
 
 
-# ---------------------------------------------------------------- 3 chat
+# 3 chat
 
 
 def test_chat_plan_keeps_every_turn_once():
@@ -194,7 +194,7 @@ def test_chat_windows_of_odd_input(spark):
     assert chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-# ---------------------------------------------------------------- 4 packing
+# 4 packing
 
 
 P4 = packing.Params(window=64, pairs=8, words=4, keys=3, neighbours=4, bucket_tokens=2000)
@@ -269,7 +269,7 @@ def test_windows_hold_every_token_once(docs, empty, clashing):
     assert packing.pack(empty).count() == 0
 
 
-# ---------------------------------------------------------------- 5 decontamination
+# 5 decontamination
 
 
 def longest(tokens, items, end):
@@ -347,7 +347,7 @@ def test_spans_removed_by_brute_force(spark):
     assert decontam.spans(docs.limit(0), bench).count() == 0
 
 
-# ---------------------------------------------------------------- 6 toxicity
+# 6 toxicity
 
 
 P6 = toxicity.Params(bits=14, batch=32, steps=200)
@@ -435,7 +435,7 @@ def test_toxicity_of_tables(spark, empty):
     assert toxicity.score(empty, labels, p=P6).count() == 0 and toxicity.score(docs, labels.limit(0), p=P6).filter("is_toxic").count() == 0
 
 
-# ---------------------------------------------------------------- 7 top-k
+# 7 top-k
 
 
 def test_topk_by_brute_force(spark, docs, empty, clashing):
@@ -477,7 +477,7 @@ def test_pruning_skips_blocks():
     assert topk.search_slice(best, qs, np.arange(len(texts)), row, term, tf * 10, topk.Params(k=1, block=8)) == 1
 
 
-# ---------------------------------------------------------------- 8 LM
+# 8 LM
 
 
 P8 = lm.Params(slots=(8, 10, 10), segment=256, block=16, ranges=4)
@@ -568,7 +568,7 @@ def test_mixing_learns():
     assert lm.Model(code, tables, p).bits(text, np.zeros(1, int))[1][0] < fixed
 
 
-# ---------------------------------------------------------------- 9 near-duplicates
+# 9 near-duplicates
 
 
 def test_minmax_estimates_jaccard():
@@ -631,7 +631,7 @@ def test_near_duplicates(spark, docs, empty, clashing):
     assert minhash.groups(empty).count() == 0 and minhash.distinct(empty).count() == 0
 
 
-# ---------------------------------------------------------------- 10 sharding
+# 10 sharding
 
 
 def test_differencing_by_brute_force():
@@ -675,7 +675,7 @@ def test_shards(docs, empty, clashing):
     assert sharding.shard(empty).count() == 0
 
 
-# ---------------------------------------------------------------- pipeline
+# pipeline
 
 
 def test_pipeline(spark, tmp_path):
