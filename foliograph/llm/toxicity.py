@@ -41,6 +41,7 @@ class Params:
     bits: int = 17
     dim: int = 4
     epochs: int = 8
+    steps: int = 800  #: at least; a small sample is gone through more often
     batch: int = 128
     rate: float = 1.0
     window: int = 64
@@ -82,23 +83,6 @@ def features(t: Tokens, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return inv, bucket[order], np.searchsorted(owner[order], np.arange(len(at) + 1))
 
 
-def bags(t: Tokens, rows: int, bits: int, least: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row the distinct buckets and their weights: mean over its tokens of the mean over a token's features."""
-    inv, bucket, first = features(t, bits)
-    out = []
-    for r in range(rows):
-        w, n = np.unique(inv[t.first[r] : t.first[r + 1]], return_counts=True)
-        if not len(w):
-            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
-        size = first[w + 1] - first[w]
-        own = np.repeat(np.arange(len(w)), size)
-        pos = first[w][own] + np.arange(len(own)) - (np.cumsum(size) - size)[own]
-        b, k = np.unique(bucket[pos], return_inverse=True)
-        out.append((b.astype(np.int32), np.bincount(k, (n / size)[own] / max(n.sum(), least)).astype(np.float32)))
-    return out
-
-
 def once(t: Tokens) -> Tokens:
     """The tokens without those that their text has had before."""
     if not len(t):
@@ -120,56 +104,114 @@ def windows(t: Tokens, width: int) -> tuple[Tokens, np.ndarray]:
     return replace(t, first=first, doc=np.repeat(np.arange(len(row)), np.diff(first))), row
 
 
-def frequent(rows: list[tuple[np.ndarray, np.ndarray]], doc: np.ndarray, p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The bags without features that fewer than ``min_docs`` texts have."""
-    pair = np.unique(np.concatenate([np.int64(d) << p.bits | b for d, (b, _) in zip(doc, rows)]))
-    ok = np.bincount(pair & (1 << p.bits) - 1, minlength=1 << p.bits) >= p.min_docs
-    return [(b[ok[b]], s[ok[b]]) for b, s in rows]
+@dataclass
+class Sample:
+    """Windows of texts as numbers of words, and the features of each word; small, as words share their features."""
+
+    bucket: np.ndarray  #: features of all words, one word after the other
+    first: np.ndarray  #: first feature of each word, and the end
+    size: np.ndarray  #: how many features a word has, those dropped as well
+    word: np.ndarray  #: words of all windows, one window after the other
+    start: np.ndarray  #: first word of each window, and the end
+    doc: np.ndarray  #: the text of each window
+
+    def words(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of some windows, and each one's place among the windows."""
+        return expand(self.start, windows, self.word)
 
+    def features(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of some words, and each one's place among the words."""
+        return expand(self.first, words, self.bucket)
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], doc: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
-    """Embeddings E and softmax (W, b) learnt together from windows ``rows`` of texts ``doc`` (in order) of class ``y``; returns each feature's share of the logit, and the bias."""
+
+def expand(first: np.ndarray, which: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = first[which + 1] - first[which]
+    own = np.repeat(np.arange(len(which)), n)
+    return values[first[which][own] + np.arange(len(own)) - (np.cumsum(n) - n)[own]], own
+
+
+def gather(texts: list[str], p: Params) -> Sample:
+    """The windows of all texts, without features that fewer than ``min_docs`` texts have."""
+    bucket, size, word, length, doc = [], [], [], [], []
+    base = words = 0
+    for s in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), 0, 1 << 20):
+        t, row = windows(once(tokenize(s.column(0))), p.window)
+        inv, b, first = features(t, p.bits)
+        bucket.append(b.astype(np.int32))
+        size.append(np.diff(first))
+        word.append((inv + words).astype(np.int32))
+        length.append(np.diff(t.first))
+        doc.append(row + base)
+        words += len(first) - 1
+        base += s.num_rows
+    join = lambda x, kind=np.int64: np.concatenate(x) if x else np.zeros(0, kind)
+    size = join(size)
+    m = Sample(join(bucket), np.concatenate([[0], np.cumsum(size)]), size, join(word), np.concatenate([[0], np.cumsum(join(length))]), join(doc))
+    seen = np.zeros(1 << p.bits, np.int32)
+    cut = np.append(np.flatnonzero(np.diff(m.doc)) + 1, len(m.doc))
+    for a, z in zip(np.append(0, cut[:-1]), cut):
+        if z > a:
+            seen[np.unique(m.features(m.words(np.arange(a, z))[0])[0])] += 1
+    keep = seen[m.bucket] >= p.min_docs
+    m.first = np.concatenate([[0], np.cumsum(keep)])[m.first]
+    m.bucket = m.bucket[keep]
+    return m
+
+
+def train(m: Sample, y: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings E and softmax (W, b), learnt together; ``y`` is the class of each window's text."""
     rng = np.random.default_rng(p.seed)
-    rows = frequent(rows, doc, p)
     e = np.zeros((1 << p.bits, p.dim), np.float32)
     w = rng.normal(0, 0.5, (p.dim, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     ge, gw, gb = np.full(e.shape, 1e-6, np.float32), np.full(w.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    full = np.array([len(r[0]) > 0 for r in rows], bool)
-    for epoch in range(p.epochs):
-        use = full.copy()
-        if epoch >= p.epochs // 2:
-            z = np.array([(e[b] @ (w[:, 1] - w[:, 0])) @ s for b, s in rows])
-            best = np.full(doc.max() + 1, -np.inf)
-            np.maximum.at(best, doc, z)
-            use &= (y == 0) | (z == best[doc])
-        use = np.flatnonzero(use)
+    windows = np.arange(len(m.doc))
+    epochs = max(p.epochs, -(-p.steps // max(1, -(-len(windows) // p.batch))))
+    for epoch in range(epochs):
+        use = windows
+        if epoch >= epochs // 2:
+            z = word_scores(m, e @ (w[:, 1] - w[:, 0]))
+            total = np.concatenate([[0.0], np.cumsum(z[m.word])])
+            z = (total[m.start[1:]] - total[m.start[:-1]]) / np.maximum(np.diff(m.start), p.least)
+            best = np.full(m.doc.max(initial=0) + 1, -np.inf)
+            np.maximum.at(best, m.doc, z)
+            use = np.flatnonzero((y == 0) | (z == best[m.doc]))
         weight = np.where(y == 1, 0.5 / max((y[use] == 1).mean(), 1e-9), 0.5 / max((y[use] == 0).mean(), 1e-9)).astype(np.float32)
         order = use[rng.permutation(len(use))]
-        rate = p.rate * (1 - epoch / p.epochs)
+        rate = p.rate * (1 - epoch / epochs)
         for a in range(0, len(order), p.batch):
             own = order[a : a + p.batch]
-            size = np.array([len(rows[i][0]) for i in own])
-            bucket, share = np.concatenate([rows[i][0] for i in own]), np.concatenate([rows[i][1] for i in own])
-            member = np.repeat(np.arange(len(own)), size)
-            cut = np.cumsum(size) - size
-            v = np.add.reduceat(e[bucket] * share[:, None], cut, axis=0)
+            words, at = m.words(own)
+            bucket, owner = m.features(words)
+            member = at[owner]
+            share = (1 / (m.size[words] * np.maximum(np.diff(m.start)[own], p.least)[at])).astype(np.float32)[owner]
+            v = np.zeros((len(own), p.dim), np.float32)
+            if len(bucket):
+                head = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
+                v[member[head]] = np.add.reduceat(e[bucket] * share[:, None], head, axis=0)
             z = v @ w + b
             q = np.exp(z - z.max(1, keepdims=True))
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(own)), y[own]] -= 1
             q *= weight[own][:, None] / len(own)
             dv, dw, db = q @ w.T, v.T @ q, q.sum(0)
-            s = np.argsort(bucket, kind="stable")
-            u, at = np.unique(bucket[s], return_index=True)
-            de = np.add.reduceat((dv[member] * share[:, None])[s], at, axis=0)
-            ge[u] += de * de
-            e[u] -= rate * de / np.sqrt(ge[u])
+            if len(bucket):
+                s = np.argsort(bucket, kind="stable")
+                u, cut = np.unique(bucket[s], return_index=True)
+                de = np.add.reduceat((dv[member] * share[:, None])[s], cut, axis=0)
+                ge[u] += de * de
+                e[u] -= rate * de / np.sqrt(ge[u])
             gw += dw * dw
             w -= rate * dw / np.sqrt(gw)
             gb += db * db
             b -= rate * db / np.sqrt(gb)
-    return e @ (w[:, 1] - w[:, 0]), float(b[1] - b[0])
+    return e, w, b
+
+
+def word_scores(m: Sample, share: np.ndarray) -> np.ndarray:
+    """The share of the logit of each word."""
+    bucket, own = m.features(np.arange(len(m.size)))
+    return np.bincount(own, share[bucket], len(m.size)) / np.maximum(m.size, 1)
 
 
 @dataclass
@@ -232,19 +274,14 @@ def fit_local(texts: list[str], y: np.ndarray, p: Params = Params()) -> Model:
         held[:] = False
     if len(set(y)) < 2:
         return Model(None, 0.0, np.inf, p)
-    parts = [pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]
-    rows, doc, base = [], [], 0
-    for s in slices(parts[0], 0, 1 << 20):
-        t, row = windows(once(tokenize(s.column(0))), p.window)
-        rows += bags(t, len(row), p.bits, p.least)
-        doc.append(row + base)
-        base += s.num_rows
-    doc = np.concatenate(doc)
-    if len(set(y[doc[~held[doc]]])) < 2:
+    fitted = np.flatnonzero(~held)
+    sample = gather([texts[i] for i in fitted], p)
+    own = y[fitted][sample.doc]
+    if len(set(own)) < 2:
         return Model(None, 0.0, np.inf, p)
-    use = np.flatnonzero(~held[doc])
-    m = Model(*train([rows[i] for i in use], doc[use], y[doc[use]], p), 0.0, p)
-    z = np.concatenate([m.logits(once(tokenize(s.column(0))), s.num_rows) for s in slices(parts[0], 0)])
+    e, w, b = train(sample, own, p)
+    m = Model(e @ (w[:, 1] - w[:, 0]), float(b[1] - b[0]), 0.0, p)
+    z = np.concatenate([m.logits(once(tokenize(s.column(0))), s.num_rows) for s in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), 0)])
     judged = (held if held.any() else ~held) & np.isfinite(z)
     if len(set(y[judged])) == 2:
         m.threshold = cut_between(z[judged & (y == 0)], z[judged & (y == 1)])
@@ -252,12 +289,12 @@ def fit_local(texts: list[str], y: np.ndarray, p: Params = Params()) -> Model:
 
 
 def cut_between(clean: np.ndarray, toxic: np.ndarray) -> float:
-    """The threshold of fewest errors (one class's share plus the other's); the middle of the gap where several are as good."""
+    """The threshold of fewest errors (one class's share plus the other's); a third of the way up where several are as good, as unseen misspellings lie lower than the words they stand for."""
     z = np.unique(np.concatenate([clean, toxic]))
     cuts = (z[:-1] + z[1:]) / 2 if len(z) > 1 else z
     cost = np.array([(clean > c).mean() * 2 + (toxic <= c).mean() for c in cuts])
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return float((cuts[best[0]] + cuts[best[-1]]) / 2)
+    return float((2 * cuts[best[0]] + cuts[best[-1]]) / 3)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
