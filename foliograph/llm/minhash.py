@@ -15,7 +15,7 @@ No bucket, group or candidate list is capped.
 
 Rows are told apart by doc_id and a hash of the text.  The row of the least
 doc_id of each group stays (NULL counts as greatest, the text's hash breaks
-ties, and of rows repeated outright one stays).  A null, empty or wordless text
+ties, and of rows of equal doc_id and text the one whose columns hash lowest).  A null, empty or wordless text
 has no shingles: such rows are near-duplicates of nothing and all stay.  Other
 columns are ignored (``groups``) or kept (``distinct``).
 """
@@ -37,7 +37,7 @@ class Params:
     shingle: int = 3
     perms: int = 64
     bands: int = 32  #: of ``2 * perms / bands`` values each
-    threshold: float = 0.6
+    threshold: float = 0.5
     seed: int = 1
 
 
@@ -192,6 +192,6 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p:
     key = F.struct("id", "h")
     d = drop.select(F.struct(F.col("doc_id").alias("id"), "h").alias("key"), "stays")
     joined = keyed.withColumn("key", key).join(d, "key", "left")
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
     kept = joined.withColumn("nth", first).filter(F.col("stays").isNull() | (F.col("stays") & (F.col("nth") == 1)))
     return kept.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns)])
