@@ -1,14 +1,18 @@
 """Related-document packing: a nearest-neighbour graph, greedy paths through it, and windows filled along the paths.
 
-Features of a text are its ``pairs`` least-hashed neighbouring token pairs and
-``words`` least-hashed tokens (bottom-k samples, so that texts sample alike).
-Its keys are the ``keys`` features that the fewest rows share, among those that
-two rows at least share.  Similarity of two rows is the summed ln(N / df) of
-their common keys, so all pairs of any similarity meet in a key's posting list
-and the neighbours found are exact.  Rows of equal keys lie at distance zero:
-they are one node, whose rows follow one another.
-
-A node keeps its ``neighbours`` most similar nodes (ties: the lesser node).
+Features of a text are its ``pairs`` least-hashed neighbouring token pairs (a
+bottom-k sample of the whole text, so that texts sample alike) and, if asked,
+``words`` least-hashed tokens.  Similarity of two rows is the Jaccard similarity
+of their features.  Rows of equal features are one node, whose rows follow one
+another.  A node keeps its ``neighbours`` most similar nodes (ties: the lesser node).
+
+Nodes meet on every common feature that at most ``common`` nodes hold.  A more
+frequent one counts in every score; nodes meet on it by prefix filtering: in the
+order of frequency, a node leaves out its last features, so few that nodes of a
+similarity of ``floor`` or more share one that both keep.  So neighbours are
+exact unless a pair is less similar than ``floor`` and alike in frequent
+features alone.  No posting list is capped.
+
 Nodes linked by first neighbours form a cell; cells are walked in parallel.
 A walk starts at the unvisited node of least degree (ties: the lesser node) and
 goes on to the most similar unvisited neighbour, in either direction of an
@@ -39,10 +43,12 @@ from .minhash import components
 @dataclass(frozen=True)
 class Params:
     window: int = 2048
-    pairs: int = 32
-    words: int = 16
-    keys: int = 4
+    pairs: int = 64
+    words: int = 0
+    keys: int = 4  #: of ``nodes``, which ``pack`` doesn't use
     neighbours: int = 8
+    common: int = 128
+    floor: float = 0.1
     bucket_tokens: int = 4_000_000
 
 
@@ -100,6 +106,153 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFram
     return table(out, "sketches")
 
 
+def alike(rows: DataFrame) -> DataFrame:
+    """Written table (rid, node, features): rows of equal features have the least rid as node."""
+    node = F.min("rid").over(Window.partitionBy(F.xxhash64(F.array_sort("features"))))
+    return table(rows.select("rid", "features", node.alias("node")), "nodes")
+
+
+def postings(own: DataFrame, p: Params) -> DataFrame:
+    """(f, node, size, rest) of each feature on which a node meets others; rest: it and the more frequent ones (32 bits each)."""
+    each = own.filter("rid = node").select("node", F.size("features").alias("size"), F.explode("features").alias("f"))
+    shared = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("f"))).filter("df > 1")
+    sorted_ = shared.groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "f"))).alias("k"))
+    schema = pa.schema([("f", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("rest", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                s = b.slice(at, 2000)
+                node, size = s.column(0).to_numpy(), s.column(1).to_numpy()
+                lists = s.column(2)
+                n = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten()
+                df, f = (flat.field(i).to_numpy() for i in range(2))
+                row, end = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+                left = end[row] - np.arange(len(f))  # features from this one on
+                keep = np.flatnonzero((df <= p.common) | (left >= np.ceil(p.floor * size - 1e-9)[row]))
+                left = left[keep]
+                first = np.cumsum(left) - left
+                source = np.repeat(keep - first, left) + np.arange(left.sum())
+                offsets = np.append(first, left.sum()).astype(np.int32) * 4
+                rest = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(f[source].astype(np.uint32).tobytes())])
+                yield arrays(schema, f[keep], node[row[keep]], size[row[keep]], rest)
+
+    return sorted_.mapInArrow(run, "f long, node long, size int, rest binary")
+
+
+def meetings(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (x, y), x before y, of the owners of equal keys; both sorted by key, then owner."""
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    r = np.diff(np.append(cut, len(key)))
+    after = np.repeat(cut + r, r) - np.arange(len(key)) - 1
+    i = np.repeat(np.arange(len(key)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    return owner[i], owner[j]
+
+
+def few(group: np.ndarray, size: np.ndarray, rest: np.ndarray, many: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` most similar entries of its group for each entry (ties: the earlier); ``rest`` holds the features of all, ``many`` of each."""
+    owner = np.repeat(np.arange(len(group)), many)
+    key = (group[owner].astype(U64) << U64(32)) | rest.astype(U64)
+    order = np.argsort(key, kind="stable")
+    x, y = meetings(key[order], owner[order])
+    low, mid, scale = U64(20), U64(44), float((1 << 24) - 1)
+    pair = np.sort(((x.astype(U64) << low) | y.astype(U64))[x != y])
+    cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    c = np.diff(np.append(cut, len(pair)))
+    x, y = pair[cut] >> low, pair[cut] & U64((1 << 20) - 1)
+    # similarities of other fractions differ by more than 2**-24
+    far = np.rint((1 - c / (size[x.astype(np.int64)] + size[y.astype(np.int64)] - c)) * scale).astype(U64)
+    both = np.sort(np.concatenate([(x << mid) | (far << low) | y, (y << mid) | (far << low) | x]))
+    a = (both >> mid).astype(np.int64)
+    both = both[np.arange(len(a)) - np.searchsorted(a, a) < k]
+    return (both >> mid).astype(np.int64), (both & U64((1 << 20) - 1)).astype(np.int64), 1 - ((both >> low) & U64((1 << 24) - 1)) / scale
+
+
+def crowd(size: np.ndarray, rest: np.ndarray, many: np.ndarray, k: int):
+    """As ``few`` for one group of many entries, in blocks of rows."""
+    n = len(size)
+    owner = np.repeat(np.arange(n), many)
+    order = np.argsort(rest, kind="stable")
+    key, owner = rest[order], owner[order]
+    _, of, r = np.unique(key, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(r > 32)
+    column = np.full(len(r), -1)
+    column[often] = np.arange(len(often))
+    dense = np.zeros((n, len(often)), np.float32)
+    dense[owner[r[of] > 32], column[of[r[of] > 32]]] = 1
+    rare = (r[of] > 1) & (r[of] <= 32)
+    x, y = meetings(key[rare], owner[rare]) if rare.any() else (np.zeros(0, np.int64),) * 2
+    x, y = np.concatenate([x, y]), np.concatenate([y, x])
+    by = np.argsort(x, kind="stable")
+    x, y = x[by], y[by]
+    step = max(1, 2_000_000 // n)
+    for a in range(0, n, step):
+        z = min(n, a + step)
+        c = dense[a:z] @ dense.T
+        i, j = np.searchsorted(x, [a, z])
+        np.add.at(c, (x[i:j] - a, y[i:j]), 1)
+        c[np.arange(z - a), np.arange(a, z)] = 0
+        s = c / (size[a:z, None] + size[None, :] - c)
+        bound = -np.partition(-s, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
+        i, j = np.nonzero((s >= bound[:, None]) & (c > 0))
+        s = s[i, j].astype(np.float64)
+        by = np.lexsort((j, -s, i))
+        i, j, s = i[by], j[by], s[by]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield i[top] + a, j[top], s[top]
+
+
+def neighbours(own: DataFrame, p: Params) -> DataFrame:
+    """Directed edges (a, b, s, nth) to the most similar nodes."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64())])
+
+    def solve(f, node, size, rest):
+        cut = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+        n = np.diff(np.append(cut, len(f)))
+        group = np.repeat(np.arange(len(n)), n)
+        many = np.array([len(x) // 4 for x in rest])
+        at = np.cumsum(many) - many
+        flat = np.frombuffer(b"".join(rest), np.uint32)
+        for g in np.flatnonzero(n > 96):
+            u, v = cut[g], cut[g] + n[g]
+            for a, b, s in crowd(size[u:v], flat[at[u] : at[v - 1] + many[v - 1]], many[u:v], p.neighbours):
+                yield arrays(schema, node[u + a], node[u + b], np.round(s, 6))
+        small = np.flatnonzero((n[group] > 1) & (n[group] <= 96))
+        for part in np.split(small, np.searchsorted(group[small], group[small][4000::4000])):
+            if len(part):
+                own = many[part]
+                first = np.cumsum(own) - own
+                features = flat[np.repeat(at[part] - first, own) + np.arange(own.sum())]
+                a, b, s = few(group[part], size[part], features, own, p.neighbours)
+                yield arrays(schema, node[part[a]], node[part[b]], np.round(s, 6))
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            f = now[0]
+            last = int(np.searchsorted(f, f[-1]))
+            if last or held and held[-1][0][-1] != f[0]:
+                done = [np.concatenate(c) for c in zip(*held, [c[:last] for c in now])]
+                if len(done[0]):
+                    yield from solve(*done)
+                held = [[c[last:] for c in now]]
+            else:
+                held.append(now)
+        if held:
+            yield from solve(*(np.concatenate(c) for c in zip(*held)))
+
+    met = postings(own, p).repartition("f").sortWithinPartitions("f", "node").mapInArrow(run, "a long, b long, s double")
+    # of a pair, the score at its rarest common feature is whole, and others are less
+    pairs = met.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+    return pairs.withColumn("nth", nth).filter(F.col("nth") <= p.neighbours)
+
+
 def nodes(rows: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(rid, node) of each row, and (node, df, f) of each key of a node; both written."""
     shared = rows.select("rid", F.explode("features").alias("f")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("f"))).filter("df > 1")
@@ -201,9 +354,10 @@ def fill(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """One row for each piece of a document in a window: window_id, slot, doc_id, start_token, end_token (one past the last), cell."""
     rows = sketches(docs, id_col, text_col, p)
-    total, tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    member, posting = nodes(rows, p)
-    placed = paths(member, table(graph(posting, total, p), "edges"))
+    tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = alike(rows)
+    member = own.select("rid", "node")
+    placed = paths(member, table(neighbours(own, p), "edges"))
     buckets = max(1, -(-int(tokens) // p.bucket_tokens))
     line = rows.select("rid", "doc_id", "n").join(member, "rid").join(placed, "node").select(F.pmod(F.xxhash64("cell"), F.lit(buckets)).alias("bucket"), "cell", "place", "rid", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
     schema = pa.schema([("window_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("start_token", pa.int64()), ("end_token", pa.int64()), ("cell", pa.int64())])

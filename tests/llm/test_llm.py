@@ -229,6 +229,57 @@ def test_graph_is_that_of_brute_force(docs):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in got)
 
 
+def related(n, rng):
+    """Texts in families of six that share sentences, a third of all with a frequent line."""
+    vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    line, out = words(rng, vocabulary, 8), []
+    for i in range(n):
+        if i % 6 == 0:
+            sentences = [words(rng, vocabulary, 12) for _ in range(6)]
+        out.append(" ".join(rng.sample(sentences, 4) + [words(rng, vocabulary, rng.randint(20, 80))] + [line] * (i % 3 == 0)))
+    return out
+
+
+def test_neighbours_are_those_of_whole_texts(spark):
+    texts = related(600, random.Random(4))
+    p = packing.Params(common=16)
+    rows = packing.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", p)
+    own = packing.alike(rows)
+    held = {r.rid: set(r.features) for r in own.collect() if r.rid == r.node}
+    got = {}
+    for r in packing.neighbours(own, p).collect():
+        got.setdefault(r.a, {})[r.b] = r.s
+    # whole scores, and the best ones of all pairs that reach the floor or share a rare feature
+    df = Counter(f for k in held.values() for f in k)
+    for a, k in held.items():
+        sims = {b: (round(len(k & o) / len(k | o), 6), len(k & o) >= p.floor * len(k | o) or any(df[f] <= p.common for f in k & o)) for b, o in held.items() if b != a and k & o}
+        near = got.get(a, {})
+        assert all(abs(s - sims[b][0]) < 2e-6 for b, s in near.items())
+        due = sorted((s for s, meet in sims.values() if meet), reverse=True)[: p.neighbours]
+        assert len(near) >= len(due) and all(g > s - 2e-6 for g, s in zip(sorted(near.values(), reverse=True), due))
+    # and near those of the texts themselves
+    of = {r.doc_id: r.rid for r in rows.collect()}
+    pairs = [set(itertools.pairwise(_tok.py_tokens(t))) for t in texts]
+    hit = want = 0
+    for a in range(600):
+        sims = sorted((-len(pairs[a] & pairs[b]) / len(pairs[a] | pairs[b]), b) for b in range(600) if b != a)[: p.neighbours]
+        true = [b for s, b in sims if -s >= 0.1]
+        want += len(true)
+        hit += sum(of[b] in got.get(of[a], {}) for b in true)
+    assert want > 1000 and hit / want >= 0.9
+
+
+def test_crowds_are_ranked_as_small_groups_are():
+    rng = np.random.default_rng(3)
+    many = rng.integers(1, 30, 150)
+    rest = np.concatenate([rng.choice(400, m, replace=False) for m in many]).astype(np.uint32)
+    size = many + rng.integers(0, 5, 150)
+    a, b, s = packing.few(np.zeros(150, np.int64), size, rest, many, 6)
+    parts = list(packing.crowd(size, rest, many, 6))
+    got = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+    assert got[0].tolist() == a.tolist() and got[1].tolist() == b.tolist() and np.abs(got[2] - s).max() < 1e-6
+
+
 def test_walk_by_brute_force():
     rng = random.Random(5)
     for _ in range(50):
