@@ -14,13 +14,17 @@ exact unless a pair is less similar than ``floor`` and alike in frequent
 features alone.  No posting list is capped.
 
 Nodes linked by first neighbours form a cell; cells are walked in parallel.
-A walk starts at the unvisited node of least degree (ties: the lesser node) and
-goes on to the most similar unvisited neighbour, in either direction of an
-edge, until none is left.  Paths follow one another and fill windows of
-``window`` tokens; a row that does not fit goes on in the next window.
-
-Cells are spread over buckets of about ``bucket_tokens`` tokens by a hash; only
-the last window of a bucket may be partly filled.
+A walk starts at the unvisited node of least degree (of all edges, also to other
+cells; ties: the lesser node) and goes on to the most similar unvisited
+neighbour, in either direction of an edge, until none is left.  The cells are
+then walked alike, linked by the best of the edges between them.  More than
+``whole`` links are first contracted: cells linked by their best links form one,
+and its cells' order is their walk.  Paths follow one another and fill windows
+of ``window`` tokens; a row that does not fit goes on in the next window.
+
+The walk of cells is cut into buckets of about ``bucket_tokens`` tokens, cells
+without any link are spread over them by a hash; only the last window of a
+bucket may be partly filled.
 
 Defined results: a null, empty or wordless text has no token and is in no
 window; a row without shared feature is a node alone; repeated rows are packed
@@ -50,6 +54,7 @@ class Params:
     common: int = 128
     floor: float = 0.1
     bucket_tokens: int = 4_000_000
+    whole: int = 1_000_000
 
 
 def bottom(h: np.ndarray, doc: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,8 +278,8 @@ def graph(posting: DataFrame, total: int, p: Params) -> DataFrame:
     return pairs.withColumn("nth", nth).filter(F.col("nth") <= p.neighbours)
 
 
-def walk(node: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> list[int]:
-    """Nodes of a cell in the order of its greedy low-degree-first paths; (a, b, s) are edges with both ends in ``node``."""
+def walk(node: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, outside: np.ndarray | None = None) -> list[int]:
+    """Nodes of a cell in the order of its greedy low-degree-first paths; (a, b, s) are edges with both ends in ``node``, ``outside`` counts each node's others."""
     near: dict[int, dict[int, float]] = {int(v): {} for v in node}
     for x, y, w in zip(a.tolist(), b.tolist(), s.tolist()):
         near[x][y] = near[y][x] = w
@@ -282,7 +287,8 @@ def walk(node: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> list[
     at = dict.fromkeys(near, 0)
     seen: set[int] = set()
     out: list[int] = []
-    for start in sorted(near, key=lambda v: (len(near[v]), v)):
+    more = dict(zip(node.tolist(), outside.tolist())) if outside is not None else dict.fromkeys(near, 0)
+    for start in sorted(near, key=lambda v: (len(near[v]) + more[v], v)):
         v = start
         while v is not None and v not in seen:
             seen.add(v)
@@ -313,21 +319,15 @@ def runs(batches, columns: int):
         yield held
 
 
-def paths(member: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cell, place) of each node."""
-    first = edges.filter("nth = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    root = components(first)
-    named = member.select("node").distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("cell"))
-    named = table(named, "cells")
-    inner = edges.join(named.select(F.col("node").alias("a"), "cell"), "a").join(named.select(F.col("node").alias("b"), F.col("cell").alias("other")), "b").filter("cell = other")
-    rows = named.select("cell", "node", F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("s")).unionByName(inner.select("cell", F.col("a").alias("node"), "b", "s"))
+def walks(rows: DataFrame) -> DataFrame:
+    """(node, cell, place) of (cell, node, b, s): edges, and for each node a row of b = -1 and the number of its edges to other cells."""
     schema = pa.schema([("node", pa.int64()), ("cell", pa.int64()), ("place", pa.int64())])
 
     def run(batches):
         node, cell, place = [], [], []
         for c, v, b, s in runs(batches, 4):
             edge = b >= 0
-            order = walk(v[~edge], v[edge], b[edge], s[edge]) if len(v) > 1 else v.tolist()
+            order = walk(v[~edge], v[edge], b[edge], s[edge], s[~edge]) if len(v) > 1 else v.tolist()
             node += order
             cell += [c[0]] * len(order)
             place += range(len(order))
@@ -339,6 +339,41 @@ def paths(member: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "node", "b").mapInArrow(run, "node long, cell long, place long")
 
 
+def ways(links: DataFrame) -> DataFrame:
+    """Undirected links (u, v, s) in both directions, once each."""
+    both = links.select("u", "v", "s").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
+    return both.groupBy("u", "v").agg(F.max("s").alias("s"))
+
+
+def between(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (u, v, s) with the cells of both ends, cu and cv."""
+    return links.join(named.select(F.col("node").alias("u"), F.col("cell").alias("cu")), "u").join(named.select(F.col("node").alias("v"), F.col("cell").alias("cv")), "v")
+
+
+def contracted(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Walks (node, cell, place) of the cells that first neighbours form, and the links (u, v, s) of the cells; both written. ``links`` has both directions."""
+    nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
+    root = components(links.withColumn("nth", nth).filter("nth = 1").select("u", "v"))
+    named = table(nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("cell")), "cells")
+    ends = table(between(named, links), "ends")
+    outside = ends.filter("cu <> cv").groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("s"))
+    own = named.join(outside, "node", "left").select("cell", "node", F.lit(-1).cast("long").alias("b"), F.coalesce("s", F.lit(0.0)).alias("s"))
+    inner = ends.filter("cu = cv").select(F.col("cu").alias("cell"), F.col("u").alias("node"), F.col("v").alias("b"), "s")
+    return table(walks(own.unionByName(inner)), "walks"), table(ends.filter("cu <> cv").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.max("s").alias("s")), "links")
+
+
+def paths(member: DataFrame, edges: DataFrame, p: Params = Params()) -> DataFrame:
+    """(node, cell, unit, nth, tail) of each node: the contracted cell it is in, that one's place (NULL without links) and the node's places from there on."""
+    placed, links = contracted(member.select("node").distinct(), ways(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "s")))
+    found = placed.select("node", "cell", F.col("cell").alias("unit"), F.array("place").alias("tail"))
+    while links.count() > p.whole:
+        step, links = contracted(found.select(F.col("unit").alias("node")).distinct(), links)
+        found = table(found.join(step.select(F.col("node").alias("unit"), F.col("cell").alias("above"), "place"), "unit").select("node", "cell", F.col("above").alias("unit"), F.concat(F.array("place"), "tail").alias("tail")), "found")
+    linked = links.select(F.lit(0).cast("long").alias("cell"), F.col("u").alias("node")).distinct().select("cell", "node", F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("s"))
+    last = walks(linked.unionByName(links.select(F.lit(0).cast("long").alias("cell"), F.col("u").alias("node"), F.col("v").alias("b"), "s")))
+    return table(found.join(last.select(F.col("node").alias("unit"), F.col("place").alias("nth")), "unit", "left").select("node", "cell", "unit", "nth", "tail"), "paths")
+
+
 def fill(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of rows laid end to end and cut every ``window`` tokens: row, window, first token, one past the last."""
     end = np.cumsum(sizes)
@@ -357,15 +392,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Par
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     own = alike(rows)
     member = own.select("rid", "node")
-    placed = paths(member, table(neighbours(own, p), "edges"))
+    placed = paths(member, table(neighbours(own, p), "edges"), p)
     buckets = max(1, -(-int(tokens) // p.bucket_tokens))
-    line = rows.select("rid", "doc_id", "n").join(member, "rid").join(placed, "node").select(F.pmod(F.xxhash64("cell"), F.lit(buckets)).alias("bucket"), "cell", "place", "rid", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
+    line = table(rows.select("rid", "doc_id", "n").join(member, "rid").join(placed, "node"), "line")
+    # the walk of linked cells in pieces of about equal tokens
+    units = line.filter("nth is not null").groupBy("nth").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("nth")) - F.col("n")
+    cut = units.select("nth", F.floor(before * buckets / F.sum("n").over(Window.partitionBy())).alias("bucket"))
+    line = line.join(cut, "nth", "left").withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets))).cast("long"))
+    line = line.select("bucket", "cell", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "nth", "unit", "tail", "rid")
     schema = pa.schema([("window_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("start_token", pa.int64()), ("end_token", pa.int64()), ("cell", pa.int64())])
 
     def run(batches):
-        for bucket, cell, _, _, n, doc, none in runs(batches, 7):
+        for bucket, cell, n, doc, none in runs(batches, 5):
             row, w, a, z = fill(n, p.window)
             slot = np.arange(len(w)) - np.searchsorted(w, w)
             yield arrays(schema, w | int(bucket[0]) << 32, slot, pa.array(doc[row], pa.int64(), mask=none[row].astype(bool)), a, z, cell[row])
 
-    return line.repartition("bucket").sortWithinPartitions("bucket", "cell", "place", "rid").mapInArrow(run, "window_id long, slot int, doc_id long, start_token long, end_token long, cell long")
+    return line.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_last("nth"), "unit", "tail", "rid").mapInArrow(run, "window_id long, slot int, doc_id long, start_token long, end_token long, cell long")

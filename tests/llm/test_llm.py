@@ -299,6 +299,24 @@ def test_walk_by_brute_force():
         assert packing.walk(np.arange(n), a, b, s) == out
 
 
+def test_cells_follow_their_links(spark):
+    # four cells in a ring of weaker edges, and one alone; every edge is used
+    strong = [(1, 2), (3, 4), (5, 6), (7, 8), (20, 21)]
+    weak = [(2, 3, 0.5), (4, 5, 0.4), (6, 7, 0.3)]
+    rows = [(a, b, 0.9, 1) for x in strong for a, b in (x, x[::-1])] + [(a, b, s, 2) for a, b, s in weak]
+    edges = spark.createDataFrame(rows, "a long, b long, s double, nth int")
+    member = spark.createDataFrame([(i, i) for i in [*range(1, 9), 20, 21, 30]], "rid long, node long")
+    for whole in (1_000_000, 0):
+        got = packing.paths(member, edges, replace(packing.Params(), whole=whole)).collect()
+        assert sorted(r.node for r in got) == [*range(1, 9), 20, 21, 30]
+        order = [r.node for r in sorted(got, key=lambda r: (r.nth is None, r.nth or 0, r.unit, r.tail))]
+        cells = [x for x, _ in itertools.groupby((v - 1) // 2 for v in order if v < 9)]
+        assert cells in ([0, 1, 2, 3], [3, 2, 1, 0]) or whole == 0 and len(cells) == 4
+        assert len({r.unit for r in got if r.node < 9}) == (4 if whole else 1)
+    # edges to other cells count in the degree: 1 has none, 2 has one
+    assert packing.walk(np.array([1, 2]), np.array([1]), np.array([2]), np.array([1.0]), np.array([1, 0])) == [2, 1]
+
+
 def test_windows_hold_every_token_once(docs, empty, clashing):
     for table in (docs, clashing):
         got = packing.pack(table, p=P4).collect()
