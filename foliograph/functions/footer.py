@@ -137,11 +137,15 @@ def separator_above(blocks: list[dict], drawings: list[dict], clip: tuple, limit
     return max(ys, default=None)
 
 
+_STYLE = re.compile("[, -](?:bold|italic|oblique|regular|normal|medium|light|black)", re.I)
+
+
 def profile(span: dict) -> tuple:
-    name = (span["font"] or "").split("+")[-1]
+    """Family, style and size; the columns' :func:`~foliograph.functions.text.font_family` and ``font_style`` follow the same rule."""
+    name = span["font"] or ""
     low = name.lower()
-    style = ("bold" if re.search("bold|black|heavy", low) else "") + ("italic" if re.search("italic|oblique", low) else "")
-    return re.split("(?i)[-, ]?(?:bold|italic|oblique|regular|medium|semibold|light|black|heavy)", name)[0].lower(), style, round(span["size"], 1)
+    style = "-".join(s for s, words in (("bold", "bold|black|heavy"), ("italic", "italic|oblique")) if re.search(words, low)) or "normal"
+    return _STYLE.split(name.split("+")[-1], maxsplit=1)[0], style, round(span["size"], 1)
 
 
 def backtrack(blocks: list[dict], drawings: list[dict], clip: tuple, limit: float, tops: list[float], tables: list[tuple]) -> float | None:

@@ -40,6 +40,8 @@ def _ranges(keep) -> str:
 
 
 LETTERS = _ranges(lambda c: unicodedata.category(c).startswith("L"))
+#: Latin-1 and the three blocks, without what NFKC changes, moves (combining marks) or joins.
+_NFKC_PLAIN = _ranges(lambda c: unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)) + "".join(c for c in map(chr, range(0xA1, 0x100)) if unicodedata.normalize("NFKC", c) == c)
 
 
 def words(text: Column) -> Column:
@@ -66,6 +68,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _share(tokens: Column, test) -> Column:
     n = F.size(tokens)
     return F.when(n > 0, F.size(F.filter(tokens, test)) / n).otherwise(F.lit(0.0))
@@ -93,19 +100,22 @@ def scrambled_line(text: Column) -> Column:
     """Some line has three tokens with unlikely starts, or two and a foreign letter."""
 
     def bad(line: Column) -> Column:
-        t = long_tokens(line, BLOCKS)
-        n = F.size(F.filter(t, unlikely_start))
-        return (F.size(t) >= 3) & ((n >= 3) | ((n >= 2) & line.rlike(f"[\\p{{L}}&&[^{BLOCKS}\ufb50-\ufdff\ufe70-\ufeff]]")))
+        foreign = line.rlike(f"[\\p{{L}}&&[^{BLOCKS}\ufb50-\ufdff\ufe70-\ufeff]]")
+        return once(long_tokens(line, BLOCKS), lambda t: (F.size(t) >= 3) & once(F.size(F.filter(t, unlikely_start)), lambda n: (n >= 3) | ((n >= 2) & foreign)))
 
     return F.exists(lines(text), bad)
 
 
 def looks_scrambled(text: Column) -> Column:
     """Whether right-to-left text is probably stored backwards."""
-    t = long_tokens(text, BLOCKS)
-    n, unlikely = F.size(t), _share(t, unlikely_start)
-    whole = ((n >= 15) & (_share(t, ends_with_reversed_article) >= 0.25) & (_share(t, starts_with_article) <= 0.05)) | ((n >= 10) & (unlikely >= 0.15)) | ((n >= 20) & (unlikely >= 0.10))
-    return F.coalesce((n > 0) & (whole | scrambled_line(text)), F.lit(False))
+
+
+    def judged(t: Column) -> Column:
+        n, unlikely = F.size(t), _share(t, unlikely_start)
+        whole = ((n >= 10) & (unlikely >= 0.15)) | ((n >= 20) & (unlikely >= 0.10)) | ((n >= 15) & (_share(t, ends_with_reversed_article) >= 0.25) & (_share(t, starts_with_article) <= 0.05))
+        return (n > 0) & (whole | scrambled_line(text))
+
+    return F.coalesce(once(long_tokens(text, BLOCKS), judged), F.lit(False))
 
 
 def is_page_number(text: Column) -> Column:
@@ -134,18 +144,19 @@ def reference_number(text: Column) -> Column:
 
 
 def font_family(font: Column) -> Column:
-    """The name without subset prefix and style words."""
-    return F.lower(F.regexp_replace(F.element_at(F.split(font, "\\+"), -1), "(?i)[-, ]?(bold|italic|oblique|regular|medium|semibold|light|black|heavy).*$", ""))
+    """The name without subset prefix and, from the first one on, style words."""
+    return F.regexp_replace(F.element_at(F.split(font, "\\+"), -1), "(?is)[, -](?:bold|italic|oblique|regular|normal|medium|light|black).*$", "")
 
 
 def font_style(font: Column) -> Column:
     bold, italic = font.rlike("(?i)bold|black|heavy"), font.rlike("(?i)italic|oblique")
-    return F.when(bold & italic, "bolditalic").when(bold, "bold").when(italic, "italic").otherwise("regular")
+    return F.when(bold & italic, "bold-italic").when(bold, "bold").when(italic, "italic").otherwise("normal")
 
 
 # cleaning
 
-_SCRAMBLED_RUN = f"[{BLOCKS}]+(?:[{SPACE}]+[{BLOCKS}]+)+"
+# possessive: the two classes share no character, so nothing is to be tried again, and no run is too long for the stack
+_SCRAMBLED_RUN = f"[{BLOCKS}]++(?:[{SPACE}]++[{BLOCKS}]++)++"
 _REVERSED_LATIN = f"(?<![{WORD}])[a-z]{{3,}}[A-Z](?![{WORD}])"
 _PRONOUN = "\u0647\u0627|\u0647\u0645|\u0647\u0646|\u0647|\u0643|\u064a|\u0646\u0627|\u0647\u0645\u0627"
 _DEMONSTRATIVE = "\u0647\u0630\u0627|\u0647\u0630\u0647|\u0630\u0644\u0643|\u062a\u0644\u0643"
@@ -161,13 +172,16 @@ def _mapped(text: Column, pattern: str, change) -> Column:
 
 def _unscrambled(run: Column) -> Column:
     """A run of tokens turned around, where most signs say that it is backwards."""
+
+    def judged(long: Column) -> Column:
+        n = F.size(long)
+        al, la, unlikely = _share(long, starts_with_article), _share(long, ends_with_reversed_article), _share(long, unlikely_start)
+        two = (n == 2) & (la >= 0.5) & (al == 0.0)
+        return two | ((n > 2) & (((la >= 0.25) & (al <= 0.10)) | (unlikely >= 0.6)))
+
     long = F.filter(F.transform(all_matches(run, f"[{BLOCKS}]{{2,}}"), lambda t: F.btrim(t, F.lit(STRIP))), lambda t: F.length(t) >= 3)
-    n = F.size(long)
-    al, la, unlikely = _share(long, starts_with_article), _share(long, ends_with_reversed_article), _share(long, unlikely_start)
-    two = (n == 2) & (la >= 0.5) & (al == 0.0)
-    more = (n > 2) & (((la >= 0.25) & (al <= 0.10)) | (unlikely >= 0.6))
     turned = F.array_join(F.transform(F.reverse(words(run)), F.reverse), " ")
-    return F.when(two | more, turned).otherwise(run)
+    return F.when(once(long, judged), turned).otherwise(run)
 
 
 def _nfkc(text: Column) -> Column:
@@ -176,8 +190,7 @@ def _nfkc(text: Column) -> Column:
         return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
     # the rows that hold none but characters which NFKC leaves alone stay in the JVM
-    plain = f"^[\\x00-\\x7f\u00ab\u00bb\u00e0-\u00f6\u00f8-\u00ff\u0600-\u0620\u0626-\u063f\u0641-\u064a\u0660-\u0674\u0679-\u06bf{_MARK}]*$"
-    odd = F.when(~text.rlike(plain), text)
+    odd = F.when(text.rlike(f"[^\\x00-\\x7f{_NFKC_PLAIN}{_MARK}]"), text)
     return F.coalesce(normal(odd), text)
 
 

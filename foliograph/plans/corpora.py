@@ -13,7 +13,10 @@ RTL = "وبثجاحخدذرزسشلصضطظعةغفقكمن"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table; a scan that leaves most cores idle (few row groups) is spread over them, as the page operators are bound by the CPU."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(2 * cores) if d.rdd.getNumPartitions() < cores else d
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

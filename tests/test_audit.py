@@ -67,7 +67,7 @@ def test_entry_without_the_optional_operators():
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, *a):\n"
-        "        if name == 'corpus_pipeline' or name.startswith('foliograph.llm'):\n"
+        "        if name in ('corpus_pipeline', 'foliograph.llm'):\n"
         "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
