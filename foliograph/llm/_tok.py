@@ -30,6 +30,9 @@ _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("0") : ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
 _FOLD[128:] = np.arange(128, 256)
 
+#: What a text with any token has, for the JVM.
+WORDY = "[0-9A-Za-z]|[^\\x00-\\xbf\u00d7\u00f7\u2000-\u207f\u3000-\u303f]"
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -188,6 +191,42 @@ def shingles(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h[keep]), t.doc[keep], keep
 
 
+def permutations(perms: int, seed: int) -> np.ndarray:
+    """Odd multipliers: permutations of the 64-bit numbers."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, perms, dtype=np.uint64) * U64(2) + U64(1)
+
+
+def minmax(t: Tokens, rows: int, k: int, perms: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest rank of each row's k-shingles under each permutation (rows x 2*perms, uint32), and the number of shingles."""
+    h, doc, _ = shingles(t, k)
+    n = np.bincount(doc, minlength=rows)
+    out = np.zeros((rows, 2 * perms), np.uint32)
+    own = np.flatnonzero(n)
+    if len(own):
+        first = (np.cumsum(n) - n)[own]
+        for i, a in enumerate(permutations(perms, seed)):
+            rank = ((h * a) >> U64(32)).astype(np.uint32)
+            out[own, 2 * i] = np.minimum.reduceat(rank, first)
+            out[own, 2 * i + 1] = np.maximum.reduceat(rank, first)
+    return out, n
+
+
+def keys_of(values: np.ndarray, groups: int) -> np.ndarray:
+    """One 64-bit key for each of ``groups`` equal parts of each row of values."""
+    part = values.reshape(len(values), groups, -1).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, groups + 1, dtype=np.uint64) * U64(_R), part.shape[:2]).copy()
+    for j in range(part.shape[2]):
+        h = mix(h ^ part[:, :, j]) + U64(j)
+    return h.view(np.int64)
+
+
+def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes of each row of two arrays of 64-bit words agree."""
+    low = U64(0x7F7F7F7F7F7F7F7F)
+    x = a ^ b
+    return np.bitwise_count(~(((x & low) + low) | x | low)).sum(1, dtype=np.int32)
+
+
 def py_fold(c: str) -> str:
     """One character by the rule above; '' for a separator."""
     o = ord(c)

@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._run import arrays, table
+from ._run import arrays, runs, table
 from ._tok import buffers, slices
-from .packing import runs
 
 
 @dataclass(frozen=True)

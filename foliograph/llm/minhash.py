@@ -4,14 +4,17 @@ Every permutation of the hashed token shingles gives two signature values, the
 shingle of least and the one of greatest rank; each agrees between two texts
 with the probability of their Jaccard similarity, so ``perms`` evaluations give
 an unbiased signature of ``2 * perms`` values.  A permutation is an odd
-multiplication modulo 2**64, cut to 32 bits.
+multiplication modulo 2**64, cut to 32 bits.  Bands are made of whole values;
+for the estimate a byte of each is kept, and the one in 256 of differing values
+that agree by chance is taken off.
 
 Texts of equal signature are joined first; the representatives are banded, and
 within a bucket of equal band single linkage is exact: every pair whose
 estimated similarity reaches ``threshold`` is connected, through a search that
-compares each text found with all not yet reached.  Groups are the connected
-components over all buckets, by alternating large-star and small-star steps.
-No bucket, group or candidate list is capped.
+compares each text found with all not yet reached.  Large buckets are cut into
+chunks, and what the chunks leave apart is compared across them.  Groups are the
+connected components over all buckets, by alternating large-star and small-star
+steps.  No bucket, group or candidate list is capped.
 
 Rows are told apart by doc_id and a hash of the text.  The row of the least
 doc_id of each group stays (NULL counts as greatest, the text's hash breaks
@@ -26,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ._run import arrays, shared_dir, table
-from ._tok import U64, mix, shingles, slices, tokenize
+from ._graph import components
+from ._run import arrays, runs, table
+from ._tok import U64, WORDY, equal_bytes, keys_of, minmax, slices, tokenize
 
 
 @dataclass(frozen=True)
@@ -38,53 +42,48 @@ class Params:
     perms: int = 64
     bands: int = 32  #: of ``2 * perms / bands`` values each
     threshold: float = 0.5
+    chunk: int = 4096  #: rows of a bucket compared in one task
     seed: int = 1
 
 
-def permutations(p: Params) -> np.ndarray:
-    rng = np.random.default_rng(p.seed)
-    return rng.integers(1, 1 << 63, p.perms, dtype=np.uint64) * U64(2) + U64(1)
-
-
 def signatures(col: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest rank under each permutation (rows x 2*perms, uint32), and the number of shingles."""
-    t = tokenize(col)
-    h, doc, _ = shingles(t, p.shingle)
-    n = np.bincount(doc, minlength=len(col))
-    out = np.zeros((len(col), 2 * p.perms), np.uint32)
-    rows = np.flatnonzero(n)
-    if len(rows):
-        first = (np.cumsum(n) - n)[rows]
-        for k, a in enumerate(permutations(p)):
-            rank = ((h * a) >> U64(32)).astype(np.uint32)
-            out[rows, 2 * k] = np.minimum.reduceat(rank, first)
-            out[rows, 2 * k + 1] = np.maximum.reduceat(rank, first)
-    return out, n
-
-
-def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
-    """One 64-bit key for each band of each signature."""
-    part = sig.reshape(len(sig), bands, -1).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15), part.shape[:2]).copy()
-    for j in range(part.shape[2]):
-        h = mix(h ^ part[:, :, j]) + U64(j)
-    return h.view(np.int64)
-
-
-def linkage(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Edges of single linkage over all pairs of rows whose share of equal values reaches the threshold."""
+    return minmax(tokenize(col), len(col), p.shingle, p.perms, p.seed)
+
+
+def share(threshold: float) -> float:
+    """The share of equal bytes that stands for a similarity: of values that differ, one in 256 has the same byte."""
+    return threshold + (1 - threshold) / 256
+
+
+def linkage(sig: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of single linkage over all pairs of rows of which at least ``need`` bytes agree."""
+    words = np.ascontiguousarray(sig).view(U64)
     left = np.arange(len(sig))
-    edges: list[tuple[int, int]] = []
-    need = threshold * sig.shape[1] - 1e-9
+    us, vs = [], []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             i = front.pop()
-            near = (sig[left] == sig[i]).sum(1) >= need
-            edges += [(i, j) for j in left[near]]
+            near = equal_bytes(words[left], words[i]) >= need
+            us.append(np.full(near.sum(), i))
+            vs.append(left[near])
             front += left[near].tolist()
             left = left[~near]
-    return edges
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
+
+
+def across(sig: np.ndarray, group: np.ndarray, side: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """One edge for each two groups with rows on different sides of which at least ``need`` bytes agree."""
+    words = np.ascontiguousarray(sig).view(U64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    us, vs = [], []
+    for i in left.tolist():
+        near = right[(equal_bytes(words[right], words[i]) >= need) & (group[right] != group[i])]
+        _, first = np.unique(group[near], return_index=True)
+        us.append(np.full(len(first), i))
+        vs.append(near[first])
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -100,66 +99,66 @@ def _signature_table(docs: DataFrame, id_col: str, text_col: str, p: Params) ->
             for s in slices(b, 2, 1 << 21):
                 sig, n = signatures(s.column(2), p)
                 ok = pa.array(n > 0)
-                byte, whole = sig.astype(np.uint8), band_keys(sig, 1)[:, 0]
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * p.bands, pa.int32()), pa.array(band_keys(sig, p.bands).ravel()))
+                byte, whole = sig.astype(np.uint8), keys_of(sig, 1)[:, 0]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * p.bands, pa.int32()), pa.array(keys_of(sig, p.bands).ravel()))
                 yield arrays(schema, s.column(0), s.column(1), pa.array(whole), pa.array([r.tobytes() for r in byte], pa.binary()), bands).filter(ok)
 
     out = docs.select(*_keys(docs, id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, h long, whole long, sig binary, bands array<long>")
     return table(out, "signatures")
 
 
-def _bucket_edges(members: DataFrame, p: Params) -> DataFrame:
-    """Edges within buckets: ``members`` (bucket, rid, sig) sorted by bucket within its partitions."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def solve(rid: np.ndarray, sig: list[bytes]):
-        s = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
-        got = linkage(s, p.threshold)
-        return [rid[i] for i, _ in got], [rid[j] for _, j in got]
+
+def _grouped(members: DataFrame, keys: list[str], columns: list[str], solve) -> DataFrame:
+    """Edges (u, v) of ``solve(columns...)`` for the rows of each value of ``keys``, which ``members`` is shuffled by."""
 
     def run(batches):
-        held: tuple | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket, rid, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            if held is not None:
-                bucket, rid, sig = np.concatenate([held[0], bucket]), np.concatenate([held[1], rid]), held[2] + sig
-            cut = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
-            us, vs = [], []
-            for a, z in zip(np.append(0, cut[:-2]), cut[:-1]):
-                if z - a > 1:
-                    u, v = solve(rid[a:z], sig[a:z])
-                    us += u
-                    vs += v
-            last = cut[-2] if len(cut) > 1 else 0
-            held = bucket[last:], rid[last:], sig[last:]
-            if us:
-                yield arrays(schema, us, vs)
-        if held is not None and len(held[1]) > 1:
-            u, v = solve(held[1], held[2])
-            yield arrays(schema, u, v)
-
-    return members.mapInArrow(run, "u long, v long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u, v): rows (node, root), root the least node; alternating large and small stars."""
-    spark = edges.sparkSession
-    shared_dir(spark)
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    before = None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(w))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct()
-        e = small.checkpoint()
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        us, vs, held = [], [], 0
+        for _, rid, *more in runs(batches, len(columns) + 1):
+            if len(rid) > 1:
+                u, v = solve(rid, *more)
+                us.append(rid[u])
+                vs.append(rid[v])
+                held += len(u)
+            if held > 50_000:
+                yield arrays(_EDGE, np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [], [], 0
+        if us:
+            yield arrays(_EDGE, np.concatenate(us), np.concatenate(vs))
+
+    one = members.select(F.xxhash64(*keys).alias("key"), *columns)
+    return one.repartition("key").sortWithinPartitions("key", columns[0]).mapInArrow(run, "u long, v long")
+
+
+def _bytes(sig: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
+
+
+def bucket_edges(members: DataFrame, p: Params) -> DataFrame:
+    """Written edges (u, v) that connect what single linkage within each bucket connects; ``members`` is (bucket, n, rid, sig), n the bucket's size.
+
+    A bucket of more than ``chunk`` rows is linked in chunks, drawn anew for
+    each bucket, so that texts that share buckets are mostly joined by then.
+    What is still apart within such a bucket is compared chunk by chunk with
+    all the others: no pair of the bucket is left out, and no task holds more
+    than two chunks.
+    """
+    need = share(p.threshold) * 2 * p.perms - 1e-9
+    chunk = F.pmod(F.xxhash64("rid", "bucket"), F.ceil(F.col("n") / p.chunk))
+    chunked = members.withColumn("chunk", chunk)
+    edges = table(_grouped(chunked, ["bucket", "chunk"], ["rid", "sig"], lambda rid, sig: linkage(_bytes(sig), need)), "edges")
+    large = chunked.filter(F.col("n") > p.chunk)
+    if not large.head(1):
+        return edges
+    rooted = large.join(components(edges), F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rid"))
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+    m = F.ceil(F.col("n") / p.chunk)
+    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))).alias("t")
+    tiles = rooted.join(apart, "bucket").select("bucket", "rid", "sig", "root", "chunk", pairs).filter("t.i <> t.j")
+    tiles = tiles.select("bucket", "t.i", "t.j", "rid", "sig", "root", (F.col("chunk") == F.col("t.j")).cast("int").alias("side"))
+    rest = _grouped(tiles, ["bucket", "i", "j"], ["rid", "sig", "root", "side"], lambda rid, sig, root, side: across(_bytes(sig), root, side, need))
+    return table(edges.union(rest), "edges")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
@@ -169,12 +168,11 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h"))
     reps = table(sig.groupBy("whole").agg(best.alias("best"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "representatives")
     banded = reps.select("whole", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.collect_list("whole").alias("all")).filter(F.size("all") > 1).select("bucket", F.explode("all").alias("whole"))
-    members = shared.join(reps.select("whole", "sig"), "whole").select("bucket", F.col("whole").alias("rid"), "sig")
-    edges = _bucket_edges(members.repartition("bucket").sortWithinPartitions("bucket", "rid"), p)
-    root = components(edges)
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = banded.join(shared, "bucket").join(reps.select("whole", "sig"), "whole").select("bucket", "n", F.col("whole").alias("rid"), "sig")
+    root = components(bucket_edges(members, p))
     rooted = reps.select("whole", "best").join(root, F.col("whole") == F.col("node"), "left").select("whole", "best", F.coalesce("root", "whole").alias("root"))
-    top = rooted.withColumn("top", F.min("best").over(Window.partitionBy("root"))).select("whole", "top")
+    top = rooted.join(rooted.groupBy("root").agg(F.min("best").alias("top")), "root").select("whole", "top")
     return sig.select("whole", "doc_id", "h").distinct().join(top, "whole").select("doc_id", "h", F.col("top.id").alias("keep_id"), F.col("top.h").alias("keep_h"))
 
 
@@ -188,10 +186,11 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p:
     """One row of each group, and all rows without words; all columns as they are."""
     drop = decisions(docs, id_col, text_col, p).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    keyed = docs.toDF(*names).select(F.struct(*names).alias("row"), *[k.alias(a) for k, a in zip(_keys(docs.toDF(*names), names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]), ("id", "h"))])
-    key = F.struct("id", "h")
-    d = drop.select(F.struct(F.col("doc_id").alias("id"), "h").alias("key"), "stays")
-    joined = keyed.withColumn("key", key).join(d, "key", "left")
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
-    kept = joined.withColumn("nth", first).filter(F.col("stays").isNull() | (F.col("stays") & (F.col("nth") == 1)))
-    return kept.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns)])
+    named = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
+    # rows without words are near-duplicates of nothing: they stay where they are
+    wordy = F.coalesce(F.col(text).cast("string").rlike(WORDY), F.lit(False))
+    keyed = named.filter(wordy).select(F.struct(*names).alias("row"), F.struct(*[k.alias(a) for k, a in zip(_keys(named, names[docs.columns.index(id_col)], text), ("id", "h"))]).alias("key"))
+    once = keyed.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    d = drop.filter("stays").select(F.struct(F.col("doc_id").alias("id"), "h").alias("key")).distinct()
+    return once.join(d, "key", "left_semi").select("row.*").union(named.filter(~wordy)).toDF(*docs.columns)

@@ -25,8 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._run import arrays, table
-from .packing import runs
+from ._run import arrays, runs, table
 
 
 @dataclass(frozen=True)
