@@ -1,33 +1,31 @@
 """Related-document packing: a nearest-neighbour graph, greedy paths through it, and windows filled along the paths.
 
-Features of a text are its ``pairs`` least-hashed neighbouring token pairs (a
-bottom-k sample of the whole text, so that texts sample alike) and, if asked,
-``words`` least-hashed tokens.  Similarity of two rows is the Jaccard similarity
-of their features.  Rows of equal features are one node, whose rows follow one
-another.  A node keeps its ``neighbours`` most similar nodes (ties: the lesser node).
-
-Nodes meet on every common feature that at most ``common`` nodes hold.  A more
-frequent one counts in every score; nodes meet on it by prefix filtering: in the
-order of frequency, a node leaves out its last features, so few that nodes of a
-similarity of ``floor`` or more share one that both keep.  So neighbours are
-exact unless a pair is less similar than ``floor`` and alike in frequent
-features alone.  No posting list is capped.
-
-Nodes linked by first neighbours form a cell; cells are walked in parallel.
-A walk starts at the unvisited node of least degree (of all edges, also to other
-cells; ties: the lesser node) and goes on to the most similar unvisited
-neighbour, in either direction of an edge, until none is left.  The cells are
-then walked alike, linked by the best of the edges between them.  More than
-``whole`` links are first contracted: cells linked by their best links form one,
-and its cells' order is their walk.  Paths follow one another and fill windows
-of ``window`` tokens; a row that does not fit goes on in the next window.
-
-The walk of cells is cut into buckets of about ``bucket_tokens`` tokens, cells
-without any link are spread over them by a hash; only the last window of a
-bucket may be partly filled.
+Rows of equal min-max signature (of their neighbouring token pairs) are one
+node, whose rows follow one another.  Candidates come from ``trees`` orders of
+all nodes by some values of their signatures: in each order a node meets the
+``near`` nodes on either side, so similar nodes, which share first values, meet,
+whatever the number of nodes and however many share a value.  Of the candidates
+that agree in ``least`` of the signature's bytes, the ``shortlist`` best of each
+node are scored by the Jaccard similarity of their ``features`` least-hashed
+token pairs (exact for texts of fewer), and the ``neighbours`` best of those
+are its edges.  Recall is measured against brute force, see the README.
+
+Linked nodes form cells: each goes with its best link (by similarity, then a
+hash of the link).  In a cell, a walk starts at the unvisited node of least
+degree (of all edges, also to other cells; ties: the lesser node) and goes on to
+the most similar unvisited neighbour, in either direction of an edge, until
+none is left.  Then cells are nodes, linked by the best of the edges between
+them, and the same is done again until no link is left.  Levels of more than
+``local_links`` links are worked out by Spark, smaller ones in one task, with
+the same result.
+
+Paths follow one another and fill windows of ``window`` tokens; a row that does
+not fit goes on in the next window.  The whole walk is cut into buckets of about
+``bucket_tokens`` tokens; the rows of a node of more are spread over several.
+Only the last window of a bucket may be partly filled.
 
 Defined results: a null, empty or wordless text has no token and is in no
-window; a row without shared feature is a node alone; repeated rows are packed
+window; a row without similar ones is a node alone; repeated rows are packed
 each; a NULL doc_id is carried as NULL; other columns are ignored.
 """
 
@@ -37,24 +35,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._run import arrays, table
-from ._tok import U64, mix, shingles, slices, tokenize
-from .minhash import components
+from ._run import arrays, forget, runs, table
+from ._tok import U64, equal_bytes, keys_of, minmax, shingles, slices, tokenize
 
 
 @dataclass(frozen=True)
 class Params:
     window: int = 2048
-    pairs: int = 64
-    words: int = 0
-    keys: int = 4  #: of ``nodes``, which ``pack`` doesn't use
+    perms: int = 32  #: each gives two values of a signature
+    trees: int = 24
+    near: int = 96
+    least: int = 7
+    features: int = 96
+    shortlist: int = 32
     neighbours: int = 8
-    common: int = 128
-    floor: float = 0.1
+    seed: int = 3
     bucket_tokens: int = 4_000_000
-    whole: int = 1_000_000
+    local_links: int = 400_000
 
 
 def bottom(h: np.ndarray, doc: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,198 +83,132 @@ def bottom(h: np.ndarray, doc: np.ndarray, rows: int, k: int) -> tuple[np.ndarra
     return a, d
 
 
-def sketch(col: pa.Array, p: Params) -> tuple[np.ndarray, pa.ListArray]:
-    """Number of tokens and features of each text."""
-    t = tokenize(col)
-    rows = len(col)
-    pair, own, _ = shingles(t, 2)
-    a, d = bottom(pair, own, rows, p.pairs)
-    b, e = bottom(mix(t.hash), t.doc, rows, p.words)
-    h, doc = np.concatenate([a, b]), np.concatenate([d, e])
-    order = np.argsort(doc, kind="stable")
-    first = np.searchsorted(doc[order], np.arange(rows + 1)).astype(np.int32)
-    return np.diff(t.first), pa.ListArray.from_arrays(pa.array(first), pa.array(h[order].view(np.int64)))
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """Written table of the rows with tokens: rid, doc_id, n, features."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("features", pa.list_(pa.int64()))])
+    """Written table of the rows with tokens: doc_id, n, node, sig (16 bits a value) and features (32 bits each)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("features", pa.binary())])
 
     def run(batches):
         for b in batches:
-            for s in slices(b, 2, 1 << 21):
-                n, f = sketch(s.column(2), p)
-                yield arrays(schema, s.column(0), s.column(1), n, f).filter(pa.array(n > 0))
-
-    out = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "rid long, doc_id long, n long, features array<long>")
+            for s in slices(b, 1, 1 << 20):
+                rows = s.num_rows
+                t = tokenize(s.column(1))
+                sig, n = minmax(t, rows, 2, p.perms, p.seed)
+                pair, own, _ = shingles(t, 2)
+                f, of = bottom(pair, own, rows, p.features)
+                ends = np.append(0, np.cumsum(np.bincount(of, minlength=rows))).astype(np.int32) * 4
+                features = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer((f >> U64(32)).astype(np.uint32).tobytes())])
+                yield arrays(schema, s.column(0), np.diff(t.first), keys_of(sig, 1)[:, 0], fixed(sig.astype(np.uint16)), features).filter(pa.array(n > 0))
+
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n long, node long, sig binary, features binary")
     return table(out, "sketches")
 
 
-def alike(rows: DataFrame) -> DataFrame:
-    """Written table (rid, node, features): rows of equal features have the least rid as node."""
-    node = F.min("rid").over(Window.partitionBy(F.xxhash64(F.array_sort("features"))))
-    return table(rows.select("rid", "features", node.alias("node")), "nodes")
+def fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of an array as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    ends = (np.arange(len(rows) + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def postings(own: DataFrame, p: Params) -> DataFrame:
-    """(f, node, size, rest) of each feature on which a node meets others; rest: it and the more frequent ones (32 bits each)."""
-    each = own.filter("rid = node").select("node", F.size("features").alias("size"), F.explode("features").alias("f"))
-    shared = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("f"))).filter("df > 1")
-    sorted_ = shared.groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "f"))).alias("k"))
-    schema = pa.schema([("f", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("rest", pa.binary())])
+def flat(column: pa.Array, dtype) -> np.ndarray:
+    """All bytes of a binary column as numbers."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype) if len(column) and data is not None else np.zeros(0, dtype)
 
-    def run(batches):
+
+def meetings(nodes: DataFrame, p: Params) -> DataFrame:
+    """(a, b, m): the best ``shortlist`` candidates of each node by the number of equal bytes of the signatures; ``nodes`` is (node, sig)."""
+    values = 2 * p.perms
+    tree_schema = pa.schema([("tree", pa.int32()), ("k", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+    edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
+
+    def orders(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 s = b.slice(at, 2000)
-                node, size = s.column(0).to_numpy(), s.column(1).to_numpy()
-                lists = s.column(2)
-                n = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                df, f = (flat.field(i).to_numpy() for i in range(2))
-                row, end = np.repeat(np.arange(len(n)), n), np.cumsum(n)
-                left = end[row] - np.arange(len(f))  # features from this one on
-                keep = np.flatnonzero((df <= p.common) | (left >= np.ceil(p.floor * size - 1e-9)[row]))
-                left = left[keep]
-                first = np.cumsum(left) - left
-                source = np.repeat(keep - first, left) + np.arange(left.sum())
-                offsets = np.append(first, left.sum()).astype(np.int32) * 4
-                rest = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(f[source].astype(np.uint32).tobytes())])
-                yield arrays(schema, f[keep], node[row[keep]], size[row[keep]], rest)
-
-    return sorted_.mapInArrow(run, "f long, node long, size int, rest binary")
-
-
-def meetings(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (x, y), x before y, of the owners of equal keys; both sorted by key, then owner."""
-    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    r = np.diff(np.append(cut, len(key)))
-    after = np.repeat(cut + r, r) - np.arange(len(key)) - 1
-    i = np.repeat(np.arange(len(key)), after)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
-    return owner[i], owner[j]
-
-
-def few(group: np.ndarray, size: np.ndarray, rest: np.ndarray, many: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` most similar entries of its group for each entry (ties: the earlier); ``rest`` holds the features of all, ``many`` of each."""
-    owner = np.repeat(np.arange(len(group)), many)
-    key = (group[owner].astype(U64) << U64(32)) | rest.astype(U64)
-    order = np.argsort(key, kind="stable")
-    x, y = meetings(key[order], owner[order])
-    low, mid, scale = U64(20), U64(44), float((1 << 24) - 1)
-    pair = np.sort(((x.astype(U64) << low) | y.astype(U64))[x != y])
-    cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-    c = np.diff(np.append(cut, len(pair)))
-    x, y = pair[cut] >> low, pair[cut] & U64((1 << 20) - 1)
-    # similarities of other fractions differ by more than 2**-24
-    far = np.rint((1 - c / (size[x.astype(np.int64)] + size[y.astype(np.int64)] - c)) * scale).astype(U64)
-    both = np.sort(np.concatenate([(x << mid) | (far << low) | y, (y << mid) | (far << low) | x]))
-    a = (both >> mid).astype(np.int64)
-    both = both[np.arange(len(a)) - np.searchsorted(a, a) < k]
-    return (both >> mid).astype(np.int64), (both & U64((1 << 20) - 1)).astype(np.int64), 1 - ((both >> low) & U64((1 << 24) - 1)) / scale
-
-
-def crowd(size: np.ndarray, rest: np.ndarray, many: np.ndarray, k: int):
-    """As ``few`` for one group of many entries, in blocks of rows."""
-    n = len(size)
-    owner = np.repeat(np.arange(n), many)
-    order = np.argsort(rest, kind="stable")
-    key, owner = rest[order], owner[order]
-    _, of, r = np.unique(key, return_inverse=True, return_counts=True)
-    often = np.flatnonzero(r > 32)
-    column = np.full(len(r), -1)
-    column[often] = np.arange(len(often))
-    dense = np.zeros((n, len(often)), np.float32)
-    dense[owner[r[of] > 32], column[of[r[of] > 32]]] = 1
-    rare = (r[of] > 1) & (r[of] <= 32)
-    x, y = meetings(key[rare], owner[rare]) if rare.any() else (np.zeros(0, np.int64),) * 2
-    x, y = np.concatenate([x, y]), np.concatenate([y, x])
-    by = np.argsort(x, kind="stable")
-    x, y = x[by], y[by]
-    step = max(1, 2_000_000 // n)
-    for a in range(0, n, step):
-        z = min(n, a + step)
-        c = dense[a:z] @ dense.T
-        i, j = np.searchsorted(x, [a, z])
-        np.add.at(c, (x[i:j] - a, y[i:j]), 1)
-        c[np.arange(z - a), np.arange(a, z)] = 0
-        s = c / (size[a:z, None] + size[None, :] - c)
-        bound = -np.partition(-s, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
-        i, j = np.nonzero((s >= bound[:, None]) & (c > 0))
-        s = s[i, j].astype(np.float64)
-        by = np.lexsort((j, -s, i))
-        i, j, s = i[by], j[by], s[by]
-        top = np.arange(len(i)) - np.searchsorted(i, i) < k
-        yield i[top] + a, j[top], s[top]
-
-
-def neighbours(own: DataFrame, p: Params) -> DataFrame:
-    """Directed edges (a, b, s, nth) to the most similar nodes."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64())])
-
-    def solve(f, node, size, rest):
-        cut = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-        n = np.diff(np.append(cut, len(f)))
-        group = np.repeat(np.arange(len(n)), n)
-        many = np.array([len(x) // 4 for x in rest])
-        at = np.cumsum(many) - many
-        flat = np.frombuffer(b"".join(rest), np.uint32)
-        for g in np.flatnonzero(n > 96):
-            u, v = cut[g], cut[g] + n[g]
-            for a, b, s in crowd(size[u:v], flat[at[u] : at[v - 1] + many[v - 1]], many[u:v], p.neighbours):
-                yield arrays(schema, node[u + a], node[u + b], np.round(s, 6))
-        small = np.flatnonzero((n[group] > 1) & (n[group] <= 96))
-        for part in np.split(small, np.searchsorted(group[small], group[small][4000::4000])):
-            if len(part):
-                own = many[part]
-                first = np.cumsum(own) - own
-                features = flat[np.repeat(at[part] - first, own) + np.arange(own.sum())]
-                a, b, s = few(group[part], size[part], features, own, p.neighbours)
-                yield arrays(schema, node[part[a]], node[part[b]], np.round(s, 6))
-
-    def run(batches):
-        held: list[list[np.ndarray]] = []
+                sig = flat(s.column(1), np.uint16).reshape(-1, values)
+                for t in range(p.trees):
+                    k = np.zeros(len(sig), U64)
+                    for j in range(4):
+                        k = (k << U64(16)) | sig[:, (t + j * (values // 4 + 1)) % values]
+                    yield arrays(tree_schema, np.full(len(sig), t), k.view(np.int64), s.column(0), fixed(sig.astype(np.uint8)))
+
+    def meet(batches):
+        held = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            f = now[0]
-            last = int(np.searchsorted(f, f[-1]))
-            if last or held and held[-1][0][-1] != f[0]:
-                done = [np.concatenate(c) for c in zip(*held, [c[:last] for c in now])]
-                if len(done[0]):
-                    yield from solve(*done)
-                held = [[c[last:] for c in now]]
-            else:
-                held.append(now)
-        if held:
-            yield from solve(*(np.concatenate(c) for c in zip(*held)))
-
-    met = postings(own, p).repartition("f").sortWithinPartitions("f", "node").mapInArrow(run, "a long, b long, s double")
-    # of a pair, the score at its rarest common feature is whole, and others are less
-    pairs = met.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
-    return pairs.withColumn("nth", nth).filter(F.col("nth") <= p.neighbours)
+            for at in range(0, b.num_rows, 4000):
+                s = b.slice(at, 4000)
+                now = [s.column(0).to_numpy(), s.column(2).to_numpy(), flat(s.column(3), np.uint8).reshape(s.num_rows, -1).view(U64)]
+                if held is not None:
+                    now = [np.concatenate(x) for x in zip(held, now)]
+                fresh = len(now[0]) - s.num_rows
+                tree, node, sig = now
+                found = []
+                for d in range(1, p.near + 1):
+                    first = max(0, fresh - d)
+                    if first + d >= len(node):
+                        break
+                    m = equal_bytes(sig[first + d :], sig[first : len(sig) - d])
+                    i = np.flatnonzero((m >= p.least) & (tree[first + d :] == tree[first : len(tree) - d]))
+                    a, z = node[first + i], node[first + i + d]
+                    found += [(a, z, m[i]), (z, a, m[i])]
+                a, z, m = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+                if len(a):
+                    best = np.lexsort((a ^ z, -m, a))
+                    a, z, m = a[best], z[best], m[best]
+                    top = np.arange(len(a)) - np.searchsorted(a, a) < p.shortlist
+                    yield arrays(edge_schema, a[top], z[top], m[top].astype(np.int32))
+                held = [x[-p.near :] for x in now]
+
+    tree = nodes.mapInArrow(orders, "tree int, k long, node long, sig binary")
+    met = tree.repartitionByRange("tree", "k", "node").sortWithinPartitions("tree", "k", "node").mapInArrow(meet, "a long, b long, m int")
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"), mark("a", "b")))
+    return met.repartition("a").groupBy("a", "b").agg(F.max("m").alias("m")).withColumn("nth", nth).filter(F.col("nth") <= p.shortlist).select("a", "b", "m")
+
+
+def overlaps(own: np.ndarray, many: np.ndarray, other: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+    """Jaccard similarity of each pair of feature lists (all lists of one side joined, and their lengths), from the ``k`` least of both together."""
+    rows = len(many)
+    key = np.concatenate([own, other]).astype(U64) | np.concatenate([np.repeat(np.arange(rows), many), np.repeat(np.arange(rows), others)]).astype(U64) << U64(32)
+    key.sort()
+    new = np.append(True, key[1:] != key[:-1])
+    twice = np.flatnonzero(~new) - 1
+    both = np.zeros(len(key), bool)
+    both[twice] = True
+    key, both = key[new], both[new]
+    row = (key >> U64(32)).astype(np.int64)
+    use = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return np.bincount(row[use], both[use], rows) / np.maximum(np.bincount(row[use], minlength=rows), 1)
+
+
+def neighbours(nodes: DataFrame, p: Params) -> DataFrame:
+    """Directed edges (a, b, s) to the most similar nodes; ``nodes`` is (node, sig, features)."""
+    pairs = meetings(nodes.select("node", "sig"), p).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fa, fb = (nodes.select(F.col("node").alias(c), F.col("features").alias("f" + c)) for c in "ab")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64())])
 
+    def score(batches):
+        for x in batches:
+            for at in range(0, x.num_rows, 4000):
+                s = x.slice(at, 4000)
+                lists = []
+                for c in (2, 3):
+                    ends = np.frombuffer(s.column(c).buffers()[1], np.int32)[s.column(c).offset : s.column(c).offset + s.num_rows + 1]
+                    lists += [flat(s.column(c), np.uint32), np.diff(ends) // 4]
+                j = np.round(overlaps(*lists, p.features), 6)
+                ok = j > 0
+                a, b, j = s.column(0).to_numpy()[ok], s.column(1).to_numpy()[ok], j[ok]
+                yield arrays(schema, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([j, j]))
 
-def nodes(rows: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(rid, node) of each row, and (node, df, f) of each key of a node; both written."""
-    shared = rows.select("rid", F.explode("features").alias("f")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("f"))).filter("df > 1")
-    keys = shared.groupBy("rid").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "f"))), 1, p.keys).alias("keys"))
-    keys = table(keys.withColumn("mark", F.xxhash64(F.array_sort("keys.f"))), "keys")
-    owner = keys.groupBy("mark").agg(F.min("rid").alias("node"))
-    member = rows.select("rid").join(keys.select("rid", "mark"), "rid", "left").join(owner, "mark", "left").select("rid", F.coalesce("node", "rid").alias("node"))
-    posting = keys.join(owner, (keys.mark == owner.mark) & (keys.rid == owner.node)).select("node", F.explode("keys").alias("k")).select("node", "k.df", "k.f")
-    return member, posting
+    scored = pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(score, "a long, b long, s double")
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), mark("a", "b")))
+    return scored.withColumn("nth", nth).filter(F.col("nth") <= p.neighbours).select("a", "b", "s")
 
 
-def graph(posting: DataFrame, total: int, p: Params) -> DataFrame:
-    """Directed edges (a, b, s, nth) to the most similar nodes."""
-    left = posting.select(F.col("node").alias("a"), "f", F.log(F.lit(float(total)) / F.col("df")).alias("w"))
-    right = posting.select(F.col("node").alias("b"), "f")
-    pairs = left.join(right, "f").filter("a <> b").groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("s"))
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
-    return pairs.withColumn("nth", nth).filter(F.col("nth") <= p.neighbours)
+def mark(a: str, b: str) -> Column:
+    """A number of the link, the same in both directions."""
+    return F.xxhash64(F.least(a, b), F.greatest(a, b))
 
 
 def walk(node: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, outside: np.ndarray | None = None) -> list[int]:
@@ -301,33 +234,15 @@ def walk(node: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, outside:
     return out
 
 
-def runs(batches, columns: int):
-    """Groups of rows of equal first column, over batch limits; ``columns`` NumPy columns each."""
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        cut = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
-        for a, z in zip(np.append(0, cut[:-1]), cut):
-            yield [c[a:z] for c in now]
-        last = cut[-1] if len(cut) else 0
-        held = [c[last:] for c in now]
-    if held is not None:
-        yield held
-
-
 def walks(rows: DataFrame) -> DataFrame:
-    """(node, cell, place) of (cell, node, b, s): edges, and for each node a row of b = -1 and the number of its edges to other cells."""
+    """(node, cell, place) of (cell, node, b, s): edges, and for each node a row of NULL b and the number of its edges to other cells."""
     schema = pa.schema([("node", pa.int64()), ("cell", pa.int64()), ("place", pa.int64())])
 
     def run(batches):
         node, cell, place = [], [], []
-        for c, v, b, s in runs(batches, 4):
-            edge = b >= 0
-            order = walk(v[~edge], v[edge], b[edge], s[edge], s[~edge]) if len(v) > 1 else v.tolist()
+        for c, v, b, s, edge in runs(batches, 5):
+            edge = edge.astype(bool)
+            order = walk(v[~edge], v[edge], b[edge], s[edge], s[~edge])
             node += order
             cell += [c[0]] * len(order)
             place += range(len(order))
@@ -336,42 +251,105 @@ def walks(rows: DataFrame) -> DataFrame:
                 node, cell, place = [], [], []
         yield arrays(schema, node, cell, place)
 
+    rows = rows.select("cell", "node", F.coalesce("b", F.lit(0)).alias("b"), "s", F.col("b").isNotNull().alias("edge"))
     return rows.repartition("cell").sortWithinPartitions("cell", "node", "b").mapInArrow(run, "node long, cell long, place long")
 
 
-def ways(links: DataFrame) -> DataFrame:
-    """Undirected links (u, v, s) in both directions, once each."""
-    both = links.select("u", "v", "s").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
-    return both.groupBy("u", "v").agg(F.max("s").alias("s"))
-
-
-def between(named: DataFrame, links: DataFrame) -> DataFrame:
-    """Links (u, v, s) with the cells of both ends, cu and cv."""
-    return links.join(named.select(F.col("node").alias("u"), F.col("cell").alias("cu")), "u").join(named.select(F.col("node").alias("v"), F.col("cell").alias("cv")), "v")
+def roots(links: DataFrame) -> DataFrame:
+    """(node, root): nodes joined by their best links of (u, v, s, h); written."""
+    best = links.groupBy(F.col("u").alias("node")).agg(F.max(F.struct("s", "h", "v")).alias("m")).select("node", F.col("m.v").alias("p"))
+    best = table(best, "best")
+    back = best.select(F.col("node").alias("p"), F.col("p").alias("back"))
+    # the best of all links of a cell is the best one of both its ends: the lesser end is the root
+    now = table(best.join(back, "p").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("p")), F.col("node")).otherwise(F.col("p")).alias("p")), "roots")
+    forget(best)
+    while True:
+        up = now.select(F.col("node").alias("p"), F.col("p").alias("above"))
+        after = table(now.join(up, "p").select("node", F.col("above").alias("p"), (F.col("above") != F.col("p")).alias("moved")), "roots")
+        forget(now)
+        now = after
+        if not now.filter("moved").head(1):
+            return now.select("node", F.col("p").alias("root"))
+
+
+def level(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Walks (node, cell, place) of the cells, and the links (u, v, s, h) of the cells; both written. ``links`` has both directions."""
+    root = roots(links)
+    ends = links.join(root.select(F.col("node").alias("u"), F.col("root").alias("cu")), "u").join(root.select(F.col("node").alias("v"), F.col("root").alias("cv")), "v")
+    ends = table(ends, "ends")
+    own = ends.groupBy(F.col("cu").alias("cell"), F.col("u").alias("node")).agg(F.count_if(F.col("cu") != F.col("cv")).cast("double").alias("s")).select("cell", "node", F.lit(None).cast("long").alias("b"), "s")
+    inner = ends.filter("cu = cv").select(F.col("cu").alias("cell"), F.col("u").alias("node"), F.col("v").alias("b"), "s")
+    best = ends.filter("cu <> cv").groupBy("cu", "cv").agg(F.max(F.struct("s", "h")).alias("m"))
+    out = table(walks(own.unionByName(inner)), "walks"), table(best.select(F.col("cu").alias("u"), F.col("cv").alias("v"), "m.s", "m.h"), "links")
+    forget(ends)
+    return out
 
 
-def contracted(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Walks (node, cell, place) of the cells that first neighbours form, and the links (u, v, s) of the cells; both written. ``links`` has both directions."""
-    nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-    root = components(links.withColumn("nth", nth).filter("nth = 1").select("u", "v"))
-    named = table(nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("cell")), "cells")
-    ends = table(between(named, links), "ends")
-    outside = ends.filter("cu <> cv").groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("s"))
-    own = named.join(outside, "node", "left").select("cell", "node", F.lit(-1).cast("long").alias("b"), F.coalesce("s", F.lit(0.0)).alias("s"))
-    inner = ends.filter("cu = cv").select(F.col("cu").alias("cell"), F.col("u").alias("node"), F.col("v").alias("b"), "s")
-    return table(walks(own.unionByName(inner)), "walks"), table(ends.filter("cu <> cv").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.max("s").alias("s")), "links")
+def line(u: np.ndarray, v: np.ndarray, s: np.ndarray, h: np.ndarray) -> list[tuple[int, list[int]]]:
+    """Components of the links and the walk of each: what ``level`` does, on arrays and until no link is left."""
+    paths = {x: [x] for x in np.unique(u).tolist()}
+    done: list[list[int]] = []
+    while len(u):
+        ids, at = np.unique(u, return_inverse=True)
+        to = np.searchsorted(ids, v)
+        order = np.lexsort((h, s, at))
+        p = to[order[np.append(np.flatnonzero(np.diff(at[order])), len(order) - 1)]]
+        own = np.arange(len(ids))
+        p = np.where((p[p] == own) & (own < p), own, p)
+        while (p[p] != p).any():
+            p = p[p]
+        cu, cv = p[at], p[to]
+        outside = np.bincount(at, cu != cv, len(ids))
+        edge = np.flatnonzero(cu == cv)
+        edge = edge[np.argsort(cu[edge], kind="stable")]
+        member = np.argsort(p, kind="stable")
+        cells = np.unique(p)
+        a, z = np.searchsorted(p[member], cells), np.searchsorted(p[member], cells, side="right")
+        ea, ez = np.searchsorted(cu[edge], cells), np.searchsorted(cu[edge], cells, side="right")
+        linked = np.zeros(len(ids), bool)
+        linked[cu[cu != cv]] = True
+        after = {}
+        for c, i, j, k, m in zip(cells.tolist(), a, z, ea, ez):
+            e = edge[k:m]
+            own = member[i:j]
+            path = [x for n in walk(ids[own], u[e], v[e], s[e], outside[own]) for x in paths[n]]
+            if linked[c]:
+                after[int(ids[c])] = path
+            else:
+                done.append((int(ids[c]), path))
+        paths = after
+        keep = np.flatnonzero(cu != cv)
+        cu, cv, s, h = ids[cu[keep]], ids[cv[keep]], s[keep], h[keep]
+        order = np.lexsort((h, s, cv, cu))
+        last = np.append((np.diff(cu[order]) != 0) | (np.diff(cv[order]) != 0), True) if len(order) else np.zeros(0, bool)
+        u, v, s, h = (x[order[last]] for x in (cu, cv, s, h))
+    return sorted(done)
+
+
+def paths(edges: DataFrame, p: Params = Params()) -> DataFrame:
+    """(node, component, place, unit, tail) of each linked node, written: a component's nodes in the order of (place, tail) are its walk; ``edges`` are (a, b, s)."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "s").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "s"))
+    links = table(both.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("h", mark("u", "v")), "links")
+    found = links.select(F.col("u").alias("node"), F.col("u").alias("unit"), F.array().cast("array<long>").alias("tail")).distinct()
+    written = [links]
+    while links.count() > p.local_links:
+        step, links = level(links)
+        above = step.select(F.col("node").alias("unit"), F.col("cell").alias("above"), "place")
+        found = found.join(above, "unit", "left").select("node", F.coalesce("above", "unit").alias("unit"), F.when(F.col("above").isNull(), F.col("tail")).otherwise(F.concat(F.array("place"), "tail")).alias("tail"))
+        found = table(found, "found")
+        forget(step, *written)
+        written = [links, found]
+    schema = pa.schema([("unit", pa.int64()), ("component", pa.int64()), ("place", pa.int64())])
 
+    def run(batches):
+        got = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
+        for c, path in line(*(np.concatenate(x) for x in zip(*got))) if got else ():
+            yield arrays(schema, path, np.full(len(path), c), np.arange(len(path)))
 
-def paths(member: DataFrame, edges: DataFrame, p: Params = Params()) -> DataFrame:
-    """(node, cell, unit, nth, tail) of each node: the contracted cell it is in, that one's place (NULL without links) and the node's places from there on."""
-    placed, links = contracted(member.select("node").distinct(), ways(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "s")))
-    found = placed.select("node", "cell", F.col("cell").alias("unit"), F.array("place").alias("tail"))
-    while links.count() > p.whole:
-        step, links = contracted(found.select(F.col("unit").alias("node")).distinct(), links)
-        found = table(found.join(step.select(F.col("node").alias("unit"), F.col("cell").alias("above"), "place"), "unit").select("node", "cell", F.col("above").alias("unit"), F.concat(F.array("place"), "tail").alias("tail")), "found")
-    linked = links.select(F.lit(0).cast("long").alias("cell"), F.col("u").alias("node")).distinct().select("cell", "node", F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("s"))
-    last = walks(linked.unionByName(links.select(F.lit(0).cast("long").alias("cell"), F.col("u").alias("node"), F.col("v").alias("b"), "s")))
-    return table(found.join(last.select(F.col("node").alias("unit"), F.col("place").alias("nth")), "unit", "left").select("node", "cell", "unit", "nth", "tail"), "paths")
+    last = links.coalesce(1).mapInArrow(run, "unit long, component long, place long")
+    out = table(found.join(last, "unit", "left").select("node", F.coalesce("component", "unit").alias("component"), F.coalesce("place", F.lit(0)).alias("place"), "unit", "tail"), "paths")
+    forget(*written)
+    return out
 
 
 def fill(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -387,26 +365,32 @@ def fill(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """One row for each piece of a document in a window: window_id, slot, doc_id, start_token, end_token (one past the last), cell."""
-    rows = sketches(docs, id_col, text_col, p)
-    tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    own = alike(rows)
-    member = own.select("rid", "node")
-    placed = paths(member, table(neighbours(own, p), "edges"), p)
+    """One row for each piece of a document in a window: window_id, slot, doc_id, start_token, end_token (one past the last), node."""
+    sketched = sketches(docs, id_col, text_col, p)
+    rows = table(sketched.select("doc_id", "n", "node"), "rows")
+    nodes = table(sketched.groupBy("node").agg(F.min("sig").alias("sig"), F.min("features").alias("features"), F.sum("n").alias("tokens")), "nodes")
+    forget(sketched)
+    tokens = nodes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    edges = table(neighbours(nodes, p), "edges")
+    placed = paths(edges, p)
+    forget(edges)
     buckets = max(1, -(-int(tokens) // p.bucket_tokens))
-    line = table(rows.select("rid", "doc_id", "n").join(member, "rid").join(placed, "node"), "line")
-    # the walk of linked cells in pieces of about equal tokens
-    units = line.filter("nth is not null").groupBy("nth").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.orderBy("nth")) - F.col("n")
-    cut = units.select("nth", F.floor(before * buckets / F.sum("n").over(Window.partitionBy())).alias("bucket"))
-    line = line.join(cut, "nth", "left").withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets))).cast("long"))
-    line = line.select("bucket", "cell", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "nth", "unit", "tail", "rid")
-    schema = pa.schema([("window_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("start_token", pa.int64()), ("end_token", pa.int64()), ("cell", pa.int64())])
+    spot = nodes.select("node", "tokens").join(placed, "node", "left").select("node", "tokens", F.coalesce("component", "node").alias("component"), F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("unit", "node").alias("unit"), F.coalesce("tail", F.array().cast("array<long>")).alias("tail"))
+    # tokens before each node on its component's walk: those of the units before it, and those before it in its unit
+    whole = Window.partitionBy("unit")
+    spot = table(spot.withColumn("inside", F.sum("tokens").over(whole.orderBy("tail", "node")) - F.col("tokens")).withColumn("n", F.sum("tokens").over(whole)), "spots")
+    units = spot.select("component", "place", "unit", "n").distinct()
+    before = units.select("unit", (F.sum("n").over(Window.partitionBy("component").orderBy("place")) - F.col("n")).alias("before"))
+    spot = spot.join(before, "unit").withColumn("at", F.col("before") + F.col("inside")).withColumn("parts", F.ceil(F.col("tokens") / p.bucket_tokens))
+    bucket = F.pmod(F.pmod(F.xxhash64("component"), F.lit(buckets)) + F.floor(F.col("at") / p.bucket_tokens) + F.pmod(F.xxhash64("doc_id", "n"), F.col("parts")), F.lit(buckets)).cast("long")
+    line = rows.select("doc_id", "n", "node").join(spot.select("node", "component", "at", "parts"), "node")
+    line = line.select(bucket.alias("bucket"), "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "node", "component", "at")
+    schema = pa.schema([("window_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("start_token", pa.int64()), ("end_token", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
-        for bucket, cell, n, doc, none in runs(batches, 5):
+        for bucket, n, doc, none, node in runs(batches, 5):
             row, w, a, z = fill(n, p.window)
             slot = np.arange(len(w)) - np.searchsorted(w, w)
-            yield arrays(schema, w | int(bucket[0]) << 32, slot, pa.array(doc[row], pa.int64(), mask=none[row].astype(bool)), a, z, cell[row])
+            yield arrays(schema, w | int(bucket[0]) << 32, slot, pa.array(doc[row], pa.int64(), mask=none[row].astype(bool)), a, z, node[row])
 
-    return line.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_last("nth"), "unit", "tail", "rid").mapInArrow(run, "window_id long, slot int, doc_id long, start_token long, end_token long, cell long")
+    return line.repartition("bucket").sortWithinPartitions("bucket", "component", "at", "node", "none", "id", "n").mapInArrow(run, "window_id long, slot int, doc_id long, start_token long, end_token long, node long")
