@@ -1,23 +1,26 @@
 """Bits per byte by online logistic context mixing.
 
 A byte is coded as the binary decisions of its Huffman code (from the byte
-counts of the whole corpus).  For every decision, predictors of the hashed last
-1, 2, 3 and 4 bytes give the log-odds found in corpus counts.  A mixer adds them
-with weights gated by the depth of the decision, and a refinement (a table over
-the mixed log-odds, interpolated) corrects what it says; both adapt online to
-the text, a step every ``block`` bytes, and start afresh every ``segment``
-bytes.  The bits of a text are the summed code lengths of its decisions.
-
-Counts are gathered over all bytes of all rows: each task counts (context slot,
-byte) pairs, and the counts of a slot range meet in one place.  Texts fall in
-two folds by a hash; a text is scored with the other fold's counts, so neither
-it nor an exact copy of it has helped to predict it (where the other fold is
-empty, every prediction is even).  The tables broadcast have a fixed size, set
-by ``slots``, whatever the size of the corpus.
+counts of the whole corpus).  For every decision, predictors of the last
+``orders`` bytes (2, 3, 4 and 5) give the log-odds found in corpus counts.  A
+mixer adds them with weights gated by the depth of the decision, and a
+refinement (a table over the mixed log-odds, interpolated) corrects what it
+says; both adapt online from the first byte of a text to its last, a step every
+``block`` bytes, and of a 64th of the text so far when that is more.  The bits
+of a text are the summed code lengths of its decisions.
+
+Counts are gathered over all bytes of all rows, and no two contexts share one:
+the table grows with the corpus and lies spread over hash ranges of contexts.
+Rows are taken in blocks of about ``block_bytes`` bytes (a sixteenth of the
+corpus, when that is less), as they are read.  A block sends the distinct
+(context, byte) pairs of its texts with their counts, and gets back, for each,
+the log-odds along the byte's code from the counts of all other blocks.  So
+neither a text nor its block has helped to predict it; a copy of it in another
+block has.
 
 Defined results: a null or empty text has 0 bytes, 0 bits and NULL bits per
-byte; repeated rows are scored one by one; any bytes can be scored; other
-columns are ignored.
+byte; repeated rows are scored one by one; any bytes can be scored; where all
+rows are one block every prediction is even; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,33 +30,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ._run import arrays, runs, table
-from ._tok import buffers, slices
+from ._tok import U64, mix
 
 
 @dataclass(frozen=True)
 class Params:
-    slots: tuple[int, ...] = (8, 14, 15, 16)  #: bits of the context slots of order 1, 2, ...
+    orders: tuple[int, ...] = (2, 3, 4, 5)
     prior: float = 0.4
-    segment: int = 4096
     block: int = 32
     rate: float = 0.02
     weight: float = 0.3
     gates: int = 6
     cells: int = 24
-    ranges: int = 16
+    block_bytes: int = 6 << 20
+    blocks: int = 16  #: at least
+    part_bytes: int = 1 << 24  #: of the corpus, for each hash range of an order's contexts
+    slice_bytes: int = 1 << 19
+
+
+BITS = 9  #: of a symbol: the rank of a byte, or 0
 
 
 @dataclass
 class Code:
-    """Huffman code: for each byte its length, and node and bit at each depth."""
+    """Huffman code: for each byte its length, and the bit at each depth.
+
+    ``rank`` is a byte's place among the leaves, from 1 on (0 stands for what is
+    before a text); a node at depth d is the ranks from ``low`` to ``high``,
+    and a 1 leads to those from ``mid`` on.
+    """
 
     length: np.ndarray
-    node: np.ndarray
     bit: np.ndarray
-    nodes: int
+    rank: np.ndarray
+    low: np.ndarray
+    mid: np.ndarray
+    high: np.ndarray
 
 
 def huffman(counts: np.ndarray) -> Code:
@@ -68,240 +84,297 @@ def huffman(counts: np.ndarray) -> Code:
         kids[new] = (a, b)
         heapq.heappush(heap, (ca + cb, new, new))
         new += 1
-    path: dict[int, list[tuple[int, int]]] = {}
-    if heap:
-        stack = [(heap[0][2], [])]
-        while stack:
-            v, p = stack.pop()
-            if v < 256:
-                path[v] = p
-            else:
-                for bit, kid in enumerate(kids[v]):
-                    stack.append((kid, [*p, (v - 256, bit)]))
+    length, rank = np.zeros(256, np.int32), np.zeros(256, np.int32)
+    path: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def leaves(v: int) -> int:
+        return 1 if v < 256 else sum(map(leaves, kids[v]))
+
+    stack = [(heap[0][2], 1, [])] if heap else []
+    while stack:
+        v, low, p = stack.pop()
+        if v < 256:
+            rank[v], length[v], path[v] = low, len(p), p
+        else:
+            mid, high = low + leaves(kids[v][0]), low + leaves(v)
+            stack.append((kids[v][0], low, [*p, (0, low, mid, high)]))
+            stack.append((kids[v][1], mid, [*p, (1, low, mid, high)]))
     depth = max([1, *map(len, path.values())])
-    length, node, bit = np.zeros(256, np.int32), np.zeros((256, depth), np.int32), np.zeros((256, depth), np.int8)
+    table = np.zeros((4, 256, depth), np.int32)
     for b, p in path.items():
-        length[b] = len(p)
-        for d, (v, x) in enumerate(p):
-            node[b, d], bit[b, d] = v, x
-    return Code(length, node, bit, max(1, len(kids)))
-
-
-def contexts(col: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes, offsets, and for each order the slot of the context before each byte."""
-    raw, off = buffers(col)
-    n = len(p.slots)
-    rows = len(off) - 1
-    at = np.arange(len(raw)) + n * (np.repeat(np.arange(rows), np.diff(off)) + 1)
-    padded = np.zeros(len(raw) + n * (rows + 1), np.uint32)
-    padded[at] = raw
-    out, h = [], np.zeros(len(raw), np.uint32)
-    for k, bits in enumerate(p.slots):
-        h = h + padded[at - 1 - k] * np.uint32(1 if k == 0 else (0x9E3779B1 * (2 * k + 1)) & 0xFFFFFFFF)
-        out.append(h.astype(np.int32) if bits == 8 and k == 0 else ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32))
-    return raw, off, out
-
-
-def _fold(text_col: str):
-    return F.pmod(F.xxhash64(F.col(text_col)), F.lit(2)).cast("int")
-
-
-def pairs(docs: DataFrame, text_col: str, p: Params) -> DataFrame:
-    """Written table of the tasks' counts: part (fold, order and slot range), key (slot, byte) and count arrays."""
-    schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    shift = [bits + 8 - (p.ranges.bit_length() - 1) for bits in p.slots]
-
-    def squeeze(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return k[first], np.add.reduceat(c, first)
+        table[:, b, : len(p)] = np.array(p, np.int32).reshape(-1, 4).T
+    return Code(length, table[0].astype(np.int8), rank, *table[1:])
 
-    def run(batches):
-        held: dict[tuple[int, int], tuple[list, list]] = {}
-        for b in batches:
-            for s in slices(b, 0, 1 << 20):
-                raw, off, slots = contexts(s.column(0), p)
-                if not len(raw):
-                    continue
-                fold = np.repeat(s.column(1).to_numpy(), np.diff(off))
-                for f in (0, 1):
-                    own = fold == f
-                    if not own.any():
-                        continue
-                    byte = raw[own].astype(np.uint32)
-                    for k, slot in enumerate(slots):
-                        key = np.sort((slot[own].astype(np.uint32) << np.uint32(8)) | byte)
-                        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                        ks, cs = held.setdefault((f, k), ([], []))
-                        ks.append(key[first])
-                        cs.append(np.diff(np.append(first, len(key))))
-                        if len(ks) == 16:
-                            held[f, k] = tuple([x] for x in squeeze(ks, cs))
-        for (f, k), (ks, cs) in held.items():
-            key, count = squeeze(ks, cs)
-            cut = np.searchsorted(key, np.arange(p.ranges + 1, dtype=np.uint64) << np.uint64(shift[k]))
-            for r in range(p.ranges):
-                a, z = cut[r], cut[r + 1]
-                if z > a:
-                    yield arrays(schema, [(f * len(p.slots) + k) * p.ranges + r], [key[a:z].tobytes()], [count[a:z].astype(np.uint32).tobytes()])
-
-    return table(docs.select(F.col(text_col).cast("string").alias("t"), _fold(text_col).alias("f")).filter("length(t) > 0").mapInArrow(run, "part long, keys binary, counts binary"), "counts")
-
-
-def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate([np.frombuffer(k, np.uint32) for k in keys])
-    count = np.concatenate([np.frombuffer(c, np.uint32) for c in counts]).astype(np.int64)
-    u, at = np.unique(key, return_inverse=True)
-    return u, np.bincount(at, count).astype(np.int64)
-
-
-def odds(key: np.ndarray, count: np.ndarray, base: int, slots: int, code: Code, prior: float) -> np.ndarray:
-    """Log-odds of a 1 (in sixteenths, int8) of each slot from ``base`` on and each node."""
-    ones, total = np.zeros(slots * code.nodes), np.zeros(slots * code.nodes)
-    slot, byte = (key >> 8).astype(np.int64) - base, (key & 255).astype(np.int64)
-    for d in range(code.node.shape[1]):
-        ok = code.length[byte] > d
-        cell = slot[ok] * code.nodes + code.node[byte[ok], d]
-        total += np.bincount(cell, count[ok], len(total))
-        ones += np.bincount(cell, count[ok] * code.bit[byte[ok], d], len(total))
-    z = np.log((ones + prior) / (total - ones + prior))
-    return np.clip(np.rint(z * 16), -127, 127).astype(np.int8).reshape(slots, code.nodes)
 
+def histogram(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often each byte occurs in all rows."""
 
-@dataclass
-class Model:
-    code: Code
-    tables: list[np.ndarray]  #: by order: flat, fold, slot, node
-    p: Params
-
-    def bits(self, col: pa.Array, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and bits of each text; ``fold`` is the text's own."""
-        p, code, orders = self.p, self.code, len(self.tables)
-        raw, off, slots = contexts(col, p)
-        size = np.diff(off)
-        other = np.repeat(1 - fold, size).astype(np.int32)
-        base = [((other << np.int32(bits)) + s) * np.int32(code.nodes) for s, bits in zip(slots, p.slots)]
-        many = -(-size // p.segment)
-        row = np.repeat(np.arange(len(size)), many)
-        start = off[:-1][row] + (np.arange(len(row)) - (np.cumsum(many) - many)[row]) * p.segment
-        length = np.minimum(p.segment, off[1:][row] - start)
-        order = np.argsort(-length, kind="stable")
-        row, start, length = row[order], start[order], length[order]
-        total = np.zeros(len(row))
-        lanes = len(row)
-        nodes, signs = np.ascontiguousarray(code.node.T), np.ascontiguousarray(code.bit.T * 2.0 - 1).astype(np.float32)
-        w = np.full((p.gates, orders, lanes), p.weight, np.float32)
-        grid = np.linspace(-8, 8, p.cells).astype(np.float32)
-        refined = np.repeat(grid[:, None], lanes, 1).ravel()  # refined[cell * lanes + lane]
-        step = np.float32((p.cells - 1) / 16)
-        column = np.arange(p.block)
-        for t in range(0, p.segment, p.block):
-            n = int(np.searchsorted(-length, -t, "left"))
-            if n == 0:
-                break
-            at = start[:n, None] + t + column
-            inside = t + column < length[:n, None]
-            at = np.minimum(at, len(raw) - 1)
-            byte = raw[at]
-            deep = np.where(inside, code.length[byte], 0)
-            ctx = [b[at] for b in base]
-            ctx = [c.ravel() for c in ctx]
-            byte = byte.ravel()
-            flat = deep.ravel()
-            lane = np.repeat(np.arange(n), p.block)
-            live = np.flatnonzero(flat)
-            grads = np.zeros((p.gates, orders, n), np.float32)
-            touched, wrong = [], []
-            for d in range(int(deep.max(initial=0))):
-                # decisions at this depth are some of those at the one before
-                keep = np.flatnonzero(flat[live] > d) if d else None
-                if d:
-                    live, lane, by = live[keep], lane[keep], by[keep]
-                    at_node = [c[keep] for c in at_node]
-                else:
-                    lane, by = lane[live], byte[live]
-                    at_node = [c[live] for c in ctx]
-                node, bit = nodes[d].take(by), signs[d].take(by)
-                first = np.flatnonzero(lane[1:] != lane[:-1]) + 1
-                first = np.concatenate([[0], first])
-                who = lane[first]
-                g = min(d, p.gates - 1)
-                x = [self.tables[k].take(at_node[k] + node) for k in range(orders)]
-                own = w[g]
-                z = x[0] * own[0][lane]
-                for k in range(1, orders):
-                    z += x[k] * own[k][lane]
-                z *= np.float32(1 / 16)
-                np.clip(z, -7.99, 7.99, out=z)
-                pos = (z + 8) * step
-                cell = pos.astype(np.int32)
-                part = pos - cell
-                cell = cell * lanes + lane
-                y = refined[cell] * (1 - part) + refined[cell + lanes] * part
-                # bit is 1 or -1: exp(-bit * z) serves either
-                total[who] += np.add.reduceat(np.log2(1 + np.exp(np.float32(-0.5) * bit * (z + y))), first)
-                err = bit / (1 + np.exp(bit * z))
-                for k in range(orders):
-                    grads[g, k, who] += np.add.reduceat(err * x[k], first) * np.float32(1 / 16)
-                near = np.where(part < 0.5, cell, cell + lanes)
-                touched.append(near)
-                wrong.append(bit / (1 + np.exp(bit * y)))
-            w[:, :, :n] += np.float32(p.rate) * grads
-            if touched:
-                near = np.concatenate(touched)
-                fix, hits = np.bincount(near, np.concatenate(wrong), len(refined)), np.bincount(near, minlength=len(refined))
-                refined += (fix / (hits + 6)).astype(np.float32)
-        return size, np.bincount(row, total, len(size)) if lanes else np.zeros(len(size))
-
-
-def fit(docs: DataFrame, text_col: str = "text", p: Params = Params()) -> Model:
-    """Code and tables from counts over all of ``docs``."""
-    found = pairs(docs, text_col, p)
-    orders, spark = len(p.slots), docs.sparkSession
-
-    def histogram(batches):
+    def run(batches):
         total = np.zeros(256, np.int64)
         for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total += np.bincount(np.frombuffer(k, np.uint32) & 255, np.frombuffer(c, np.uint32), 256).astype(np.int64)
+            for x in b.column(0).to_pylist():
+                if x:
+                    total += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
 
-    first = found.filter(F.expr(f"(part div {p.ranges}) % {orders} = 0")).select("keys", "counts")
     counts = np.zeros(256, np.int64)
-    for r in first.mapInArrow(histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         counts[r.byte] = r.n
-    code = huffman(counts)
-
-    def blocks(batches):
-        for part, keys, values in runs(batches, 3):
-            i = int(part[0])
-            key, count = added(keys, values)
-            bits = p.slots[i // p.ranges % orders]
-            slots = max(1, (1 << bits) // p.ranges)
-            z = odds(key, count, i % p.ranges * slots, slots, code, p.prior)
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([z.tobytes()])], ["part", "odds"])
-
-    tables = [np.zeros((2, 1 << bits, code.nodes), np.int8) for bits in p.slots]
-    for r in found.repartition("part").sortWithinPartitions("part").mapInArrow(blocks, "part long, odds binary").toLocalIterator():
-        i = r.part
-        k, bits = i // p.ranges % orders, p.slots[i // p.ranges % orders]
-        slots = (1 << bits) // p.ranges
-        tables[k][i // p.ranges // orders, i % p.ranges * slots : (i % p.ranges + 1) * slots] = np.frombuffer(r.odds, np.int8).reshape(slots, -1)
-    return Model(code, [t.ravel() for t in tables], p)
+    return counts
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """One row for each document: doc_id, bytes, bits, bits_per_byte."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, p))
-    schema = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("bits", pa.float64()), ("bits_per_byte", pa.float64())])
+def blocked(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Written table of block, doc_id and the bytes of the text: rows as they are read, cut where ``size`` bytes are reached."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.binary())])
 
     def run(batches):
+        block, held = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            for s in slices(b, 1, 1 << 23):
-                n, bits = model.value.bits(s.column(1), s.column(2).to_numpy())
-                rate = np.where(n > 0, bits / np.maximum(n, 1), 0.0)
-                yield arrays(schema, s.column(0), n, bits, pa.array(rate, mask=n == 0))
+            own = []
+            for n in (len(x or b"") for x in b.column(1).to_pylist()):
+                if held and held + n > size:
+                    block, held = block + 1, 0
+                held += n
+                own.append(block)
+            yield arrays(schema, own, b.column(0), b.column(1))
+
+    return table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).mapInArrow(run, "block long, doc_id long, raw binary"), "blocks")
+
+
+@dataclass
+class Pairs:
+    """The (context, byte) pairs of a block's texts at one order: sorted keys, counts, and the pair of each symbol."""
+
+    key: np.ndarray
+    count: np.ndarray
+    at: np.ndarray
+
+
+def pairs(texts: list[bytes], code: Code, orders: tuple[int, ...]) -> tuple[np.ndarray, list[Pairs]]:
+    """Places of the texts' bytes among the symbols, and the pairs of each order (those with no byte, before a text, left out of the counts).
+
+    The context of order k at a symbol is the pair of order k-1 at the one before.
+    """
+    gap = max(orders)
+    size = np.array([len(t) for t in texts], np.int64)
+    sym = np.zeros(int(size.sum()) + gap * (len(texts) + 1), np.uint16)
+    where = np.arange(size.sum()) + gap * (np.repeat(np.arange(len(texts)), size) + 1)
+    sym[where] = code.rank[np.frombuffer(b"".join(texts), np.uint8)]
+    low = U64(len(sym).bit_length())
+    before, ids, out = np.zeros(len(sym), np.int32), np.zeros(1, U64), []
+    for k in range(gap + 1):
+        both = before.astype(U64)
+        both <<= U64(BITS)
+        both |= sym
+        both <<= low
+        both |= np.arange(len(sym), dtype=U64)
+        both.sort()
+        pair = both >> low
+        new = np.append(True, pair[1:] != pair[:-1])
+        ids = (ids[(pair[new] >> U64(BITS)).astype(np.int64)] << U64(BITS)) | (pair[new] & U64((1 << BITS) - 1))
+        both &= (U64(1) << low) - U64(1)
+        at = np.empty(len(sym), np.int32)
+        at[both.view(np.int64)] = np.cumsum(new, dtype=np.int32) - 1
+        if k in orders:
+            out.append(Pairs(ids, np.bincount(at[where], minlength=len(ids)), at))
+        before = np.append(np.int32(0), at[:-1])
+    return where, out
+
+
+def parts_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The hash range of the context of each pair."""
+    return (mix(key >> U64(BITS)) % U64(parts)).astype(np.int64)
+
+
+def pack(key: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted keys as differences and counts, byte planes apart, so that they compress."""
+    step = np.diff(key, prepend=U64(0))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(key), -1).T) for x in (step, count.astype(np.uint32))]
+    return b"".join(p.tobytes() for p in planes)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    planes = np.frombuffer(data, np.uint8).reshape(12, n)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view(U64).ravel(), dtype=U64), np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel().astype(np.int64)
+
+
+def whole(messages: list[bytes]) -> bytes:
+    """One message of several of one block: its rows may have been read by two tasks."""
+    if len(messages) == 1:
+        return messages[0]
+    key, count = (np.concatenate(x) for x in zip(*map(unpack, messages)))
+    key, at = np.unique(key, return_inverse=True)
+    return pack(key, np.bincount(at, count).astype(np.int64))
+
+
+def answers(messages: list[bytes], code: Code, prior: float) -> list[bytes]:
+    """For each block's pairs of one hash range, the log-odds (in sixteenths, a byte each) along the code of the pair's byte, from the other blocks' counts."""
+    got = [unpack(m) for m in messages]
+    size = [len(k) for k, _ in got]
+    key, count = (np.concatenate(x) for x in zip(*got))
+    context, at = np.unique(key >> U64(BITS), return_inverse=True)
+    rank = (key & U64((1 << BITS) - 1)).astype(np.int64)
+    key = (at.astype(np.int64) << BITS) | rank
+    # of all blocks
+    every, of = np.unique(key, return_inverse=True)
+    sums = np.append(0, np.cumsum(np.bincount(of, count, len(every)).astype(np.int64)))
+    # of each block: its number above the key
+    high = np.int64(int(len(context) << BITS).bit_length())
+    block = np.repeat(np.arange(len(messages)), size) << high
+    mine, own = np.append(0, np.cumsum(count)), block | key
+    byte = np.zeros(257, np.int64)
+    byte[code.rank] = np.arange(256)
+    byte = byte[rank]
+    length = code.length[byte]
+    out = np.zeros((len(key), code.bit.shape[1]), np.int8)
+    base = at.astype(np.int64) << BITS
+    live = np.flatnonzero(length > 0)
+    for d in range(code.bit.shape[1]):
+        live = live[length[live] > d]
+        if not len(live):
+            break
+        edges = [base[live] | t[byte[live], d] for t in (code.low, code.mid, code.high)]
+        a, m, z = (sums[np.searchsorted(every, e)] - mine[np.searchsorted(own, block[live] | e)] for e in edges)
+        # ``mine`` sums over all blocks before too: that cancels in differences
+        odds = np.log((z - m + prior) / (m - a + prior))
+        out[live, d] = np.clip(np.rint(odds * 16), -127, 127)
+    flat = out[np.arange(out.shape[1]) < length[:, None]]
+    ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(size))]
+    return [flat[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]
+
+
+def steps(longest: int, block: int) -> np.ndarray:
+    """Where the steps of a text begin: every ``block`` bytes, or after a 64th of the text when that is more."""
+    out, t = [], 0
+    while t < longest:
+        out.append(t)
+        t += max(block, t // 64 // block * block)
+    return np.array(out, np.int64)
+
+
+def mixed(size: np.ndarray, first: np.ndarray, raw: np.ndarray, starts: list[np.ndarray], odds: list[np.ndarray], code: Code, p: Params) -> np.ndarray:
+    """Bits of some texts (their sizes and places in ``raw``): ``starts`` gives for each byte where its log-odds begin in ``odds``."""
+    lanes, orders = len(size), len(odds)
+    order = np.argsort(-size, kind="stable")
+    long = size[order]
+    lane = np.repeat(np.arange(lanes, dtype=np.int32), long)
+    local = np.arange(len(lane)) - np.repeat(np.cumsum(long) - long, long)
+    begin = steps(int(long.max(initial=0)), p.block)
+    step = (np.searchsorted(begin, local, side="right") - 1).astype(np.uint16)
+    turn = np.argsort(step, kind="stable")
+    place = (first[order][lane] + local)[turn]
+    lane, step = lane[turn], step[turn]
+    many = code.length[raw[place]]
+    # one entry for each decision, by step, text and place
+    depth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    x = np.empty((orders, len(depth)), np.int8)
+    for k in range(orders):
+        np.take(odds[k], np.repeat(starts[k][place], many) + depth, out=x[k])
+    sign = code.bit[np.repeat(raw[place], many), depth].astype(np.float32) * 2 - 1
+    lane = np.repeat(lane, many)
+    gate = np.minimum(depth, p.gates - 1).astype(np.int32) * lanes + lane
+    ends = np.append(0, np.cumsum(np.bincount(step, many, len(begin)).astype(np.int64)))
+    w = np.full((orders, p.gates * lanes), p.weight / 16, np.float32)
+    grid = np.linspace(-8, 8, p.cells).astype(np.float32)
+    refined = np.repeat(grid[:, None], lanes, 1).ravel()  # refined[cell * lanes + lane]
+    scale = np.float32((p.cells - 1) / 16)
+    bits = np.zeros(lanes)
+    for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])):
+        if a == z:
+            continue
+        own, g, s = lane[a:z], gate[a:z], sign[a:z]
+        now = x[:, a:z].astype(np.float32)
+        y = now[0] * w[0].take(g)
+        for k in range(1, orders):
+            y += now[k] * w[k].take(g)
+        np.clip(y, -7.99, 7.99, out=y)
+        pos = (y + 8) * scale
+        cell = pos.astype(np.int32)
+        part = pos - cell
+        cell = cell * lanes + own
+        r = refined.take(cell) * (1 - part) + refined.take(cell + lanes) * part
+        # the sign is 1 or -1: exp(-sign * z) serves either
+        bits += np.bincount(own, np.log(1 + np.exp(np.float32(-0.5) * s * (y + r))), lanes) * 1.4426950408889634
+        err = s / (1 + np.exp(s * y))
+        rate = np.float32(p.rate / 16 * p.block / max(p.block, begin[i + 1] - begin[i] if i + 1 < len(begin) else p.block)) / 16
+        for k in range(orders):
+            w[k] += rate * np.bincount(g, err * now[k], len(w[k])).astype(np.float32)
+        near = np.where(part < 0.5, cell, cell + lanes)
+        fix, hits = np.bincount(near, s / (1 + np.exp(s * r)), len(refined)), np.bincount(near, minlength=len(refined))
+        refined += (fix / (hits + 6)).astype(np.float32)
+    out = np.zeros(lanes)
+    out[order] = bits
+    return out
+
+
+def block_bits(texts: list[bytes], got: dict[tuple[int, int], bytes], parts: list[int], code: Code, p: Params) -> np.ndarray:
+    """Bits of each text of a block, with the answers to it by order and hash range."""
+    where, found = pairs(texts, code, p.orders)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    byte = np.zeros(257, np.int64)
+    byte[code.rank] = np.arange(256)
+    starts, odds = [], []
+    for k, f in enumerate(found):
+        rank = (f.key & U64((1 << BITS) - 1)).astype(np.int64)
+        length = np.where(f.count > 0, code.length[byte[rank]], 0)
+        start = np.cumsum(length) - length
+        flat = np.zeros(int(length.sum()) + 1, np.int8)
+        part = parts_of(f.key, parts[k])
+        for i in np.unique(part[f.count > 0]):
+            own = np.flatnonzero((part == i) & (f.count > 0))
+            if (k, int(i)) in got:
+                n = length[own]
+                flat[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.frombuffer(got[k, int(i)], np.int8)
+        starts.append(start.astype(np.int32)[f.at[where]])
+        odds.append(flat)
+    found = None
+    size = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(size) - size
+    bits = np.zeros(len(texts))
+    group = first // p.slice_bytes
+    for a, z in zip(*(np.searchsorted(group, np.unique(group), side=s) for s in ("left", "right"))):
+        bits[a:z] = mixed(size[a:z], first[a:z], raw, starts, odds, code, p)
+    return bits
+
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("t"), _fold(text_col).alias("f")).mapInArrow(run, "doc_id long, bytes long, bits double, bits_per_byte double")
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+    """One row for each document: doc_id, bytes, bits, bits_per_byte."""
+    counts = histogram(docs, text_col)
+    code, total = huffman(counts), int(counts.sum())
+    rows = blocked(docs, id_col, text_col, max(1, min(p.block_bytes, -(-total // p.blocks))))
+    parts = [max(1, -(-total // p.part_bytes)) for _ in p.orders]
+    asked = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+    told = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
+
+    def ask(batches):
+        for block, raw in runs(batches, 2):
+            for k, f in enumerate(pairs([x or b"" for x in raw], code, p.orders)[1]):
+                use = f.count > 0
+                key, count = f.key[use], f.count[use]
+                part = parts_of(key, parts[k])
+                for i in np.unique(part):
+                    own = part == i
+                    yield arrays(asked, [int(i) * len(p.orders) + k], block[:1], [pack(key[own], count[own])])
+
+    def tell(batches):
+        for part, block, data in runs(batches, 3):
+            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            own = [whole(list(x)) for x in np.split(data, cut[1:])]
+            yield arrays(told, block[cut], part[cut], answers(own, code, p.prior))
+
+    requests = rows.filter("length(raw) > 0").select("block", "raw").mapInArrow(ask, "part long, block long, data binary")
+    replies = requests.repartition("part").sortWithinPartitions("part", "block").mapInArrow(tell, "block long, part long, data binary")
+    both = replies.select("block", "part", F.lit(None).cast("long").alias("doc_id"), "data").unionByName(rows.select("block", F.lit(-1).cast("long").alias("part"), "doc_id", F.col("raw").alias("data")))
+    out = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("bits", pa.float64()), ("bits_per_byte", pa.float64())])
+
+    def solve(batches):
+        for _, part, doc, none, data in runs(batches, 5):
+            text = part < 0
+            texts = [x or b"" for x in data[text]]
+            got = {(int(i) % len(p.orders), int(i) // len(p.orders)): x for i, x in zip(part[~text], data[~text])}
+            bits, n = block_bits(texts, got, parts, code, p), np.array([len(t) for t in texts], np.int64)
+            yield arrays(out, pa.array(doc[text], mask=none[text].astype(bool)), n, bits, pa.array(np.where(n > 0, bits / np.maximum(n, 1), 0.0), mask=n == 0))
+
+    line = both.select("block", "part", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "data")
+    return line.repartition("block").sortWithinPartitions("block", "part").mapInArrow(solve, "doc_id long, bytes long, bits double, bits_per_byte double")

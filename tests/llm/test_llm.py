@@ -579,92 +579,129 @@ def test_pruning_skips_blocks():
 # 8 LM
 
 
-P8 = lm.Params(slots=(8, 10, 10), segment=256, block=16, ranges=4)
+P8 = lm.Params(orders=(1, 2, 3), block=8, blocks=4, part_bytes=2000, slice_bytes=700)
 
 
 def test_huffman_lengths_are_optimal():
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        counts = np.zeros(256, int)
-        counts[rng.choice(256, rng.integers(2, 30), replace=False)] = 1
-        counts *= rng.integers(1, 1000, 256)
-        code = lm.huffman(counts)
-        assert math.isclose(sum(2.0 ** -int(code.length[b]) for b in np.flatnonzero(counts)), 1.0)
-        p = counts[counts > 0] / counts.sum()
-        cost, best = (counts * code.length).sum() / counts.sum(), -(p * np.log2(p)).sum()
-        assert best - 1e-9 <= cost < best + 1
-
-
-def test_probabilities_of_all_next_bytes_sum_to_one():
-    """The bits are a code: over all bytes that may come next, 2 ** -bits sums to 1."""
-    rng = np.random.default_rng(2)
-    symbols = b"abcdef gh"
-    code = lm.huffman(np.bincount(np.frombuffer(symbols * 3 + b"aab", np.uint8), minlength=256))
-    tables = [rng.integers(-60, 60, (2 << b) * code.nodes).astype(np.int8) for b in P8.slots]
-    m = lm.Model(code, tables, P8)
-    for prefix in ("abc", "", "a" * 40, "hg fed" * 60):
-        texts = [prefix + chr(s) for s in symbols]
-        _, bits = m.bits(pa.array(texts), np.zeros(len(texts), int))
-        if prefix:
-            base = m.bits(pa.array([prefix]), np.zeros(1, int))[1][0]
-            block = len(prefix) % P8.segment % P8.block
-            assert block or len(prefix) % P8.block == 0
-        else:
-            base = 0.0
-        assert math.isclose(sum(2.0 ** -(b - base) for b in bits), 1.0, rel_tol=1e-3)
-
+    counts = np.zeros(256, int)
+    counts[[65, 66, 67, 68, 200]] = [50, 20, 15, 10, 5]
+    code = lm.huffman(counts)
+    assert code.length[[65, 66, 67, 68, 200]].tolist() == [1, 2, 3, 4, 4] or (counts * code.length).sum() == 50 + 40 + 45 + 40 + 20
+    assert code.length[0] == 0 and sorted(code.rank[counts > 0].tolist()) == [1, 2, 3, 4, 5]
+    for b in np.flatnonzero(counts):
+        for d in range(code.length[b]):
+            low, mid, high = code.low[b, d], code.mid[b, d], code.high[b, d]
+            assert low <= code.rank[b] < high and (code.rank[b] >= mid) == (code.bit[b, d] == 1)
+    alone = lm.huffman(np.eye(256, dtype=int)[65])
+    assert alone.length.sum() == 0 and lm.huffman(np.zeros(256, int)).length.sum() == 0
+
+
+def test_messages_round_trip():
+    rng = np.random.default_rng(0)
+    key = np.unique(rng.integers(0, 1 << 54, 500, dtype=np.uint64))
+    count = rng.integers(1, 1 << 20, len(key))
+    got = lm.unpack(lm.pack(key, count))
+    assert (got[0] == key).all() and (got[1] == count).all()
+    half = lm.whole([lm.pack(key[:300], count[:300]), lm.pack(key[200:], count[200:])])
+    k, c = lm.unpack(half)
+    assert (k == key).all() and c[250] == 2 * count[250] and c[0] == count[0]
+
+
+def slow_bits(text, others, code, p):
+    """Bits of one text by loops over its bytes and decisions."""
+    counts = [Counter() for _ in p.orders]
+    for t in others:
+        for i in range(len(t)):
+            for k, n in enumerate(p.orders):
+                counts[k][bytes(max(0, n - i)), t[max(0, i - n) : i], t[i]] += 1
+    w = [[p.weight / 16] * len(p.orders) for _ in range(p.gates)]
+    table = np.linspace(-8, 8, p.cells)
+    begin = [*lm.steps(len(text), p.block).tolist(), len(text)]
+    total = 0.0
+    for a, z in itertools.pairwise(begin):
+        grads = [[0.0] * len(p.orders) for _ in w]
+        fix, hits = np.zeros(p.cells), np.zeros(p.cells)
+        for i in range(a, z):
+            b = text[i]
+            for d in range(code.length[b]):
+                low, mid, high = (t[b, d] for t in (code.low, code.mid, code.high))
+                x = []
+                for k, n in enumerate(p.orders):
+                    context = bytes(max(0, n - i)), text[max(0, i - n) : i]
+                    zero = sum(counts[k][(*context, c)] for c in range(256) if low <= code.rank[c] < mid)
+                    one = sum(counts[k][(*context, c)] for c in range(256) if mid <= code.rank[c] < high)
+                    x.append(float(np.clip(np.rint(16 * np.log((one + p.prior) / (zero + p.prior))), -127, 127)))
+                g, sign = min(d, p.gates - 1), 2 * int(code.bit[b, d]) - 1
+                y = min(7.99, max(-7.99, sum(u * v for u, v in zip(x, w[g]))))
+                cell, part = divmod((y + 8) * (p.cells - 1) / 16, 1)
+                cell = int(cell)
+                r = table[cell] * (1 - part) + table[cell + 1] * part
+                total += math.log2(1 + math.exp(-0.5 * sign * (y + r)))
+                err = sign / (1 + math.exp(sign * y))
+                for k in range(len(x)):
+                    grads[g][k] += err * x[k]
+                near = cell if part < 0.5 else cell + 1
+                fix[near] += sign / (1 + math.exp(sign * r))
+                hits[near] += 1
+        size = begin[begin.index(a) + 1] - a if z != len(text) else p.block
+        for g in range(p.gates):
+            for k in range(len(p.orders)):
+                w[g][k] += p.rate / 256 * p.block / max(p.block, size) * grads[g][k]
+        table = table + fix / (hits + 6)
+    return total
+
+
+def test_bits_by_brute_force(spark):
+    rng = random.Random(6)
+    texts = [words(rng, EN, rng.randint(5, 40)) for _ in range(14)] + ["", words(rng, DE, 150) + " \u6f22", None, "x"]
+    raw = [(t or "").encode() for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    size = -(-sum(map(len, raw)) // P8.blocks)
+    block, held, own = 0, 0, []
+    for t in raw:
+        if held and held + len(t) > size:
+            block, held = block + 1, 0
+        held += len(t)
+        own.append(block)
+    assert len(set(own)) >= 4
+    counts = np.zeros(256, int)
+    for t in raw:
+        for b in t:
+            counts[b] += 1
+    code = lm.huffman(counts)
+    got = {r.doc_id: r for r in lm.score(docs, p=P8).collect()}
+    for i, t in enumerate(raw):
+        want = slow_bits(t, [x for j, x in enumerate(raw) if own[j] != own[i]], code, P8)
+        assert got[i].bytes == len(t) and got[i].bits == pytest.approx(want, rel=1e-3, abs=1e-6), i
+        assert got[i].bits_per_byte == (pytest.approx(want / len(t), rel=1e-3) if t else None)
+
+
+def test_a_text_is_one_run_of_steps():
+    begin = lm.steps(1_000_000, 32)
+    assert begin[:4].tolist() == [0, 32, 64, 96] and (np.diff(begin) >= 32).all() and len(begin) < 700
+    assert (np.diff(begin)[1:] <= np.maximum(32, begin[1:-1] / 64)).all()
 
-def test_tables_are_counts_by_brute_force(spark, docs):
-    m = lm.fit(docs, p=P8)
-    from pyspark.sql import functions as F
 
-    rows = docs.select("text", lm._fold("text").alias("f")).filter("length(text) > 0").collect()
-    ones, total = Counter(), Counter()
-    for r in rows:
-        raw, _, slots = lm.contexts(pa.array([r.text]), P8)
-        for k in range(len(P8.slots)):
-            for byte, slot in zip(raw.tolist(), slots[k].tolist()):
-                for d in range(m.code.length[byte]):
-                    key = k, r.f, slot, int(m.code.node[byte, d])
-                    total[key] += 1
-                    ones[key] += int(m.code.bit[byte, d])
-    for k, bits in enumerate(P8.slots):
-        t = m.tables[k].reshape(2, 1 << bits, m.code.nodes)
-        seen = 0
-        for (o, f, slot, node), n in total.items():
-            if o == k:
-                one = ones[o, f, slot, node]
-                assert t[f, slot, node] == np.clip(np.rint(16 * math.log((one + P8.prior) / (n - one + P8.prior))), -127, 127)
-                seen += 1
-        assert np.count_nonzero(t) <= seen
+def test_bits_of_tables(docs, empty, clashing):
+    p = lm.Params(blocks=8)
+    for table in (docs, clashing):
+        got = lm.score(table, p=p).collect()
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in corpus())
+        by = {r.doc_id: r for r in got}
+        assert by[102].bytes == by[103].bytes == 0 and by[102].bits == 0 and by[103].bits_per_byte is None
+        assert all(0 < r.bits_per_byte < 6 for r in got if r.bytes > 200)
+        assert by[105].bytes == len(corpus()[65][1].encode()) or by[105].bytes > 100_000
+    assert lm.score(empty, p=p).count() == 0
 
 
-def test_bits_of_tables(docs, empty, clashing):
-    got = lm.score(clashing, p=P8).collect()
-    assert len(got) == len(corpus())
-    by = {r.doc_id: r for r in got}
-    assert by[102].bytes == by[103].bytes == 0 and by[102].bits_per_byte is None
-    assert all(r.bytes == len((t or "").encode()) for r, t in ((by[i], next(x[1] for x in corpus() if x[0] == i)) for i in range(60)))
-    whole = sum(r.bits for r in got) / sum(r.bytes for r in got)
-    assert 0.5 < whole < 4.5
-    assert lm.score(empty, p=P8).count() == 0
-
-
-def test_mixing_learns():
-    """Adapting online gives fewer bits than fixed weights, on a text unlike the corpus."""
-    rng = random.Random(3)
-    train = [words(rng, EN, 200) for _ in range(20)]
-    raw, _, slots = lm.contexts(pa.array(train), P8)
-    code = lm.huffman(np.bincount(raw, minlength=256) + 1)
-    tables = []
-    for k, b in enumerate(P8.slots):
-        u, c = np.unique((slots[k].astype(np.uint32) << np.uint32(8)) | raw, return_counts=True)
-        z = lm.odds(u, c, 0, 1 << b, code, P8.prior).ravel()
-        tables.append(np.concatenate([z, z]))
-    p = replace(P8, segment=4096)
-    text = pa.array([words(rng, DE, 600)])
-    fixed = lm.Model(code, tables, replace(p, rate=0.0)).bits(text, np.zeros(1, int))[1][0]
-    assert lm.Model(code, tables, p).bits(text, np.zeros(1, int))[1][0] < fixed
+def test_a_copy_elsewhere_lowers_the_bits(spark):
+    rng = random.Random(9)
+    rare = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    rows = [(i, words(rng, rare, 60)) for i in range(80)]
+    rows.append((100, rows[3][1]))  # far from the first: in another block
+    got = {r.doc_id: r.bits_per_byte for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    others = sorted(v for k, v in got.items() if k not in (3, 100))
+    assert max(got[3], got[100]) < others[0]
 
 
 # 9 near-duplicates
