@@ -2,8 +2,8 @@
 
 A byte is coded as the binary decisions of its Huffman code (from the byte
 counts of the whole corpus).  For every decision, predictors of the last
-``orders`` bytes (2, 3, 4 and 5) give the log-odds found in corpus counts.  A
-mixer adds them with weights gated by the depth of the decision, and a
+``orders`` bytes (2, 3 and 4) give the log-odds found in corpus counts.  A
+mixer adds them with weights gated by how many of them know the context, and a
 refinement (a table over the mixed log-odds, interpolated) corrects what it
 says; both adapt online from the first byte of a text to its last, a step every
 ``block`` bytes, and of a 64th of the text so far when that is more.  The bits
@@ -39,14 +39,13 @@ from ._tok import U64, mix
 
 @dataclass(frozen=True)
 class Params:
-    orders: tuple[int, ...] = (2, 3, 4, 5)
+    orders: tuple[int, ...] = (2, 3, 4)
     prior: float = 0.4
     block: int = 32
     rate: float = 0.02
     weight: float = 0.3
-    gates: int = 6
     cells: int = 24
-    block_bytes: int = 6 << 20
+    block_bytes: int = 4 << 20
     blocks: int = 16  #: at least
     part_bytes: int = 1 << 24  #: of the corpus, for each hash range of an order's contexts
     slice_bytes: int = 1 << 19
@@ -161,23 +160,30 @@ def pairs(texts: list[bytes], code: Code, orders: tuple[int, ...]) -> tuple[np.n
     where = np.arange(size.sum()) + gap * (np.repeat(np.arange(len(texts)), size) + 1)
     sym[where] = code.rank[np.frombuffer(b"".join(texts), np.uint8)]
     low = U64(len(sym).bit_length())
-    before, ids, out = np.zeros(len(sym), np.int32), np.zeros(1, U64), []
+    before, ids, out = np.zeros(len(sym), np.int64), np.zeros(1, U64), []
     for k in range(gap + 1):
-        both = before.astype(U64)
-        both <<= U64(BITS)
-        both |= sym
-        both <<= low
-        both |= np.arange(len(sym), dtype=U64)
-        both.sort()
-        pair = both >> low
-        new = np.append(True, pair[1:] != pair[:-1])
-        ids = (ids[(pair[new] >> U64(BITS)).astype(np.int64)] << U64(BITS)) | (pair[new] & U64((1 << BITS) - 1))
-        both &= (U64(1) << low) - U64(1)
-        at = np.empty(len(sym), np.int32)
-        at[both.view(np.int64)] = np.cumsum(new, dtype=np.int32) - 1
+        pair = before << BITS
+        pair |= sym
+        if len(ids) << BITS <= 1 << 23:
+            there = np.zeros(len(ids) << BITS, bool)
+            there[pair] = True
+            found = np.flatnonzero(there)
+            at = (np.cumsum(there, dtype=np.int32) - 1).take(pair)
+        else:
+            both = pair.astype(U64)
+            both <<= low
+            both |= np.arange(len(sym), dtype=U64)
+            both.sort()
+            place = (both & ((U64(1) << low) - U64(1))).view(np.int64)
+            both >>= low
+            new = np.append(True, both[1:] != both[:-1])
+            found = both[new].view(np.int64)
+            at = np.empty(len(sym), np.int32)
+            at[place] = np.cumsum(new, dtype=np.int32) - 1
+        ids = (ids[found >> BITS] << U64(BITS)) | (found & ((1 << BITS) - 1)).astype(U64)
         if k in orders:
             out.append(Pairs(ids, np.bincount(at[where], minlength=len(ids)), at))
-        before = np.append(np.int32(0), at[:-1])
+        before = np.append(np.int64(0), at[:-1])
     return where, out
 
 
@@ -216,28 +222,34 @@ def answers(messages: list[bytes], code: Code, prior: float) -> list[bytes]:
     context, at = np.unique(key >> U64(BITS), return_inverse=True)
     rank = (key & U64((1 << BITS) - 1)).astype(np.int64)
     key = (at.astype(np.int64) << BITS) | rank
-    # of all blocks
+    # counts before each place: of all blocks, and of each block, whose number stands above the key
     every, of = np.unique(key, return_inverse=True)
     sums = np.append(0, np.cumsum(np.bincount(of, count, len(every)).astype(np.int64)))
-    # of each block: its number above the key
     high = np.int64(int(len(context) << BITS).bit_length())
     block = np.repeat(np.arange(len(messages)), size) << high
     mine, own = np.append(0, np.cumsum(count)), block | key
     byte = np.zeros(257, np.int64)
     byte[code.rank] = np.arange(256)
-    byte = byte[rank]
-    length = code.length[byte]
+
+    def walk(keys: np.ndarray, base: np.ndarray, total: np.ndarray):
+        """Counts on the 0 and the 1 side of every node on the way to each key's byte, by depth; ``base`` is its context's first key."""
+        b = byte[keys & ((1 << BITS) - 1)]
+        first, last = (total[np.searchsorted(keys, base | e)] for e in (0, (1 << BITS) - 1))
+        for d in range(code.bit.shape[1]):
+            live = np.flatnonzero(code.length[b] > d)
+            mid = total[np.searchsorted(keys, base[live] | code.mid[b[live], d])]
+            yield live, mid - first[live], last[live] - mid
+            one = code.bit[b[live], d] == 1
+            first[live[one]], last[live[~one]] = mid[one], mid[~one]
+
+    length = code.length[byte[rank]]
     out = np.zeros((len(key), code.bit.shape[1]), np.int8)
-    base = at.astype(np.int64) << BITS
-    live = np.flatnonzero(length > 0)
-    for d in range(code.bit.shape[1]):
-        live = live[length[live] > d]
-        if not len(live):
-            break
-        edges = [base[live] | t[byte[live], d] for t in (code.low, code.mid, code.high)]
-        a, m, z = (sums[np.searchsorted(every, e)] - mine[np.searchsorted(own, block[live] | e)] for e in edges)
-        # ``mine`` sums over all blocks before too: that cancels in differences
-        odds = np.log((z - m + prior) / (m - a + prior))
+    whole_walk, own_walk = walk(every, every >> BITS << BITS, sums), walk(own, own >> BITS << BITS, mine)
+    for d, ((u, zero, one), (live, less_zero, less_one)) in enumerate(zip(whole_walk, own_walk)):
+        at = np.zeros(len(every), np.int32)
+        at[u] = np.arange(len(u))
+        at = at[of[live]]
+        odds = np.log((one[at] - less_one + prior) / (zero[at] - less_zero + prior))
         out[live, d] = np.clip(np.rint(odds * 16), -127, 127)
     flat = out[np.arange(out.shape[1]) < length[:, None]]
     ends = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(size))]
@@ -256,53 +268,70 @@ def steps(longest: int, block: int) -> np.ndarray:
 def mixed(size: np.ndarray, first: np.ndarray, raw: np.ndarray, starts: list[np.ndarray], odds: list[np.ndarray], code: Code, p: Params) -> np.ndarray:
     """Bits of some texts (their sizes and places in ``raw``): ``starts`` gives for each byte where its log-odds begin in ``odds``."""
     lanes, orders = len(size), len(odds)
+    if not size.any():
+        return np.zeros(lanes)
     order = np.argsort(-size, kind="stable")
     long = size[order]
     lane = np.repeat(np.arange(lanes, dtype=np.int32), long)
     local = np.arange(len(lane)) - np.repeat(np.cumsum(long) - long, long)
     begin = steps(int(long.max(initial=0)), p.block)
-    step = (np.searchsorted(begin, local, side="right") - 1).astype(np.uint16)
-    turn = np.argsort(step, kind="stable")
-    place = (first[order][lane] + local)[turn]
-    lane, step = lane[turn], step[turn]
+    step = np.searchsorted(begin, local, side="right") - 1
+    place = first[order][lane] + local
+    # bytes by step, gate and text; the gate counts the predictors that have something to say at the first decision
+    gate = sum((odds[k][starts[k][place]] != 0).astype(np.int64) for k in range(orders))
+    turn = np.argsort((step * (orders + 1) + gate).astype(np.uint16 if len(begin) * (orders + 1) < 1 << 16 else np.int64), kind="stable")
+    place, lane, step, gate = place[turn], lane[turn], step[turn], gate[turn]
     many = code.length[raw[place]]
-    # one entry for each decision, by step, text and place
-    depth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    # one entry for each decision
+    depth = np.arange(many.sum(), dtype=np.int32) - np.repeat((np.cumsum(many) - many).astype(np.int32), many)
     x = np.empty((orders, len(depth)), np.int8)
     for k in range(orders):
-        np.take(odds[k], np.repeat(starts[k][place], many) + depth, out=x[k])
-    sign = code.bit[np.repeat(raw[place], many), depth].astype(np.float32) * 2 - 1
-    lane = np.repeat(lane, many)
-    gate = np.minimum(depth, p.gates - 1).astype(np.int32) * lanes + lane
-    ends = np.append(0, np.cumsum(np.bincount(step, many, len(begin)).astype(np.int64)))
-    w = np.full((orders, p.gates * lanes), p.weight / 16, np.float32)
+        np.take(odds[k], np.repeat(starts[k][place], many) + depth, out=x[k], mode="clip")
+    sign = (code.bit * np.int8(2) - np.int8(1)).ravel()[np.repeat(raw[place].astype(np.int32) * code.bit.shape[1], many) + depth]
+    depth = None
+    # bytes of one text at one gate of a step stand together
+    edge = np.flatnonzero(np.append(True, (lane[1:] != lane[:-1]) | (gate[1:] != gate[:-1]) | (step[1:] != step[:-1])))
+    head = (np.cumsum(many) - many)[edge]
+    size_of = np.diff(np.append(head, many.sum()))
+    edge, head, size_of = edge[size_of > 0], head[size_of > 0], size_of[size_of > 0]
+    who, row = lane[edge].astype(np.int64), gate[edge] * lanes + lane[edge]
+    cut = np.searchsorted(step[edge], np.arange(len(begin) + 1))
+    ends = np.append(head, len(sign))[cut]
+    w = np.full((orders, (orders + 1) * lanes), p.weight / 16, np.float32)
     grid = np.linspace(-8, 8, p.cells).astype(np.float32)
     refined = np.repeat(grid[:, None], lanes, 1).ravel()  # refined[cell * lanes + lane]
+    slope = np.zeros(len(refined), np.float32)
+    slope[:-lanes] = refined[lanes:] - refined[:-lanes]
     scale = np.float32((p.cells - 1) / 16)
     bits = np.zeros(lanes)
     for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])):
         if a == z:
             continue
-        own, g, s = lane[a:z], gate[a:z], sign[a:z]
+        at, rows, counts = head[cut[i] : cut[i + 1]] - a, row[cut[i] : cut[i + 1]], size_of[cut[i] : cut[i + 1]]
+        s = sign[a:z].astype(np.float32)
         now = x[:, a:z].astype(np.float32)
-        y = now[0] * w[0].take(g)
+        y = now[0] * np.repeat(w[0][rows], counts)
         for k in range(1, orders):
-            y += now[k] * w[k].take(g)
+            y += now[k] * np.repeat(w[k][rows], counts)
         np.clip(y, -7.99, 7.99, out=y)
-        pos = (y + 8) * scale
-        cell = pos.astype(np.int32)
-        part = pos - cell
-        cell = cell * lanes + own
-        r = refined.take(cell) * (1 - part) + refined.take(cell + lanes) * part
+        part = (y + 8) * scale
+        cell = part.astype(np.int64)
+        part -= cell.astype(np.float32)
+        cell *= lanes
+        cell += np.repeat(who[cut[i] : cut[i + 1]], counts)
+        r = refined[cell]
+        r += part * (slope[cell])
         # the sign is 1 or -1: exp(-sign * z) serves either
-        bits += np.bincount(own, np.log(1 + np.exp(np.float32(-0.5) * s * (y + r))), lanes) * 1.4426950408889634
+        cost = np.add.reduceat(np.log(1 + np.exp(np.float32(-0.5) * s * (y + r))), at)
+        bits += np.bincount(who[cut[i] : cut[i + 1]], cost, lanes) * 1.4426950408889634
         err = s / (1 + np.exp(s * y))
         rate = np.float32(p.rate / 16 * p.block / max(p.block, begin[i + 1] - begin[i] if i + 1 < len(begin) else p.block)) / 16
         for k in range(orders):
-            w[k] += rate * np.bincount(g, err * now[k], len(w[k])).astype(np.float32)
-        near = np.where(part < 0.5, cell, cell + lanes)
-        fix, hits = np.bincount(near, s / (1 + np.exp(s * r)), len(refined)), np.bincount(near, minlength=len(refined))
+            w[k][rows] += rate * np.add.reduceat(err * now[k], at)
+        cell += (part >= 0.5) * np.int64(lanes)
+        fix, hits = np.bincount(cell, s / (1 + np.exp(s * r)), len(refined)), np.bincount(cell, minlength=len(refined))
         refined += (fix / (hits + 6)).astype(np.float32)
+        slope[:-lanes] = refined[lanes:] - refined[:-lanes]
     out = np.zeros(lanes)
     out[order] = bits
     return out

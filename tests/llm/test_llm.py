@@ -614,7 +614,7 @@ def slow_bits(text, others, code, p):
         for i in range(len(t)):
             for k, n in enumerate(p.orders):
                 counts[k][bytes(max(0, n - i)), t[max(0, i - n) : i], t[i]] += 1
-    w = [[p.weight / 16] * len(p.orders) for _ in range(p.gates)]
+    w = [[p.weight / 16] * len(p.orders) for _ in range(len(p.orders) + 1)]
     table = np.linspace(-8, 8, p.cells)
     begin = [*lm.steps(len(text), p.block).tolist(), len(text)]
     total = 0.0
@@ -631,7 +631,7 @@ def slow_bits(text, others, code, p):
                     zero = sum(counts[k][(*context, c)] for c in range(256) if low <= code.rank[c] < mid)
                     one = sum(counts[k][(*context, c)] for c in range(256) if mid <= code.rank[c] < high)
                     x.append(float(np.clip(np.rint(16 * np.log((one + p.prior) / (zero + p.prior))), -127, 127)))
-                g, sign = min(d, p.gates - 1), 2 * int(code.bit[b, d]) - 1
+                g, sign = g if d else sum(v != 0 for v in x), 2 * int(code.bit[b, d]) - 1
                 y = min(7.99, max(-7.99, sum(u * v for u, v in zip(x, w[g]))))
                 cell, part = divmod((y + 8) * (p.cells - 1) / 16, 1)
                 cell = int(cell)
@@ -644,7 +644,7 @@ def slow_bits(text, others, code, p):
                 fix[near] += sign / (1 + math.exp(sign * r))
                 hits[near] += 1
         size = begin[begin.index(a) + 1] - a if z != len(text) else p.block
-        for g in range(p.gates):
+        for g in range(len(w)):
             for k in range(len(p.orders)):
                 w[g][k] += p.rate / 256 * p.block / max(p.block, size) * grads[g][k]
         table = table + fix / (hits + 6)
