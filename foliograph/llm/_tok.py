@@ -1,14 +1,17 @@
 """Vectorised tokenising of Arrow string columns, shared by the corpus operators.
 
-A token is a maximal run of word characters.  Text is folded first: ASCII and
-Latin-1 letters lose their case.  Separators are every ASCII character that is
-not a letter or digit, the Latin-1 signs U+0080-U+00BF, the multiplication and
-division signs, general punctuation (U+2000-U+207F) and CJK punctuation
-(U+3000-U+303F); every other character belongs to a word.  ``py_tokens`` is the
+A token is a maximal run of word characters.  Text is folded first: letters up
+to U+07FF (Latin, Greek, Cyrillic, Armenian) lose their case where the lower one
+is there as well.  Separators are every ASCII character that is not a letter or
+digit, the Latin-1 signs U+0080-U+00BF, the multiplication and division signs,
+the Arabic comma, semicolon, question mark and full stop, general punctuation
+(U+2000-U+207F), CJK punctuation (U+3000-U+303F) and full-width punctuation
+(U+FF01-U+FF0F); every other character belongs to a word.  ``py_tokens`` is the
 same rule written per character, for brute-force checks.
 
-Everything works on the UTF-8 buffer in segments of bounded size, so that
-temporary memory does not follow the length of a document.
+Everything works on the UTF-8 buffer; folding in segments of bounded size.  The
+tokens of a slice are held at once, so memory follows the longest single text
+(about 40 bytes a token), not the number of rows.
 """
 
 from __future__ import annotations
@@ -30,8 +33,15 @@ _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("0") : ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
 _FOLD[128:] = np.arange(128, 256)
 
+#: Lower case of the characters of two bytes beyond Latin-1; 0 for a separator.
+_LOWER = np.arange(0x800)
+for _c in range(0x100, 0x800):
+    if len(chr(_c).lower()) == 1 and 0x100 <= ord(chr(_c).lower()) < 0x800:
+        _LOWER[_c] = ord(chr(_c).lower())
+_LOWER[[0x60C, 0x61B, 0x61F, 0x6D4]] = 0
+
 #: What a text with any token has, for the JVM.
-WORDY = "[0-9A-Za-z]|[^\\x00-\\xbf\u00d7\u00f7\u2000-\u207f\u3000-\u303f]"
+WORDY = "[0-9A-Za-z]|[^\\x00-\\xbf\u00d7\u00f7\u2000-\u207f\u3000-\u303f\uff01-\uff0f\u060c\u061b\u061f\u06d4]"
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -86,6 +96,17 @@ def fold(raw: np.ndarray) -> np.ndarray:
         i = np.flatnonzero(raw == 0xC2)
         f[i] = 0
         f[np.minimum(i + 1, len(f) - 1)] = 0
+        i = np.flatnonzero((raw >= 0xC4) & (raw <= 0xDF) & (nxt >= 0x80))
+        if len(i):
+            c = (raw[i].astype(np.int32) & 0x1F) << 6 | nxt[i] & 0x3F
+            low = _LOWER[c]
+            f[i] = np.where(low > 0, 0xC0 | low >> 6, 0)
+            f[i + 1] = np.where(low > 0, 0x80 | low & 0x3F, 0)
+        i = np.flatnonzero((raw == 0xEF) & (nxt == 0xBC))
+        last = raw[np.minimum(i + 2, len(raw) - 1)]
+        i = i[(last >= 0x81) & (last <= 0x8F)]
+        for k in range(3):
+            f[np.minimum(i + k, len(f) - 1)] = 0
         i = np.flatnonzero((raw == 0xE2) & ((nxt == 0x80) | (nxt == 0x81)) | (raw == 0xE3) & (nxt == 0x80))
         for k in range(3):
             f[np.minimum(i + k, len(f) - 1)] = 0
@@ -159,15 +180,15 @@ def tokenize(col: pa.Array) -> Tokens:
     return Tokens(start, end, h, doc, first, offsets, raw)
 
 
-def slices(batch: pa.RecordBatch, text_col: int | str, limit: int = 1 << 23):
-    """Row slices of a batch of about ``limit`` text bytes, one row at least."""
+def slices(batch: pa.RecordBatch, text_col: int | str, limit: int = 1 << 23, rows: int = 1 << 30):
+    """Row slices of a batch of about ``limit`` text bytes and at most ``rows`` rows, one row at least."""
     col = batch.column(text_col)
     size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(size)
     a = 0
     while a < len(size):
         base = total[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(total, base + limit, "right")))
+        b = max(a + 1, min(a + rows, int(np.searchsorted(total, base + limit, "right"))))
         yield batch.slice(a, b - a)
         a = b
 
@@ -232,8 +253,10 @@ def py_fold(c: str) -> str:
     o = ord(c)
     if o < 0x80:
         return c.lower() if c.isalnum() else ""
-    if 0x80 <= o <= 0xBF or o in (0xD7, 0xF7) or 0x2000 <= o <= 0x207F or 0x3000 <= o <= 0x303F:
+    if 0x80 <= o <= 0xBF or o in (0xD7, 0xF7) or 0x2000 <= o <= 0x207F or 0x3000 <= o <= 0x303F or 0xFF01 <= o <= 0xFF0F or o in (0x60C, 0x61B, 0x61F, 0x6D4):
         return ""
+    if 0x100 <= o < 0x800:
+        return c.lower() if len(c.lower()) == 1 and 0x100 <= ord(c.lower()) < 0x800 else c
     return chr(o + 32) if 0xC0 <= o <= 0xDE else c
 
 

@@ -12,9 +12,10 @@ Before streaming, runs of tokens whose neighbours all follow one another
 somewhere in the items are found with NumPy; no match of two or more tokens can
 leave such a run, so the automaton sees only those, without any change of result.
 
-The items are gathered in shards of at most ``shard_tokens`` tokens: each shard
-is one automaton of bounded size, and a longer benchmark is streamed shard by
-shard, so that what is broadcast at once does not grow with it.
+The items are gathered in shards of at most ``shard_tokens`` tokens (a longer
+item is one by itself): each shard is one automaton, as flat arrays.  A pass
+over the texts holds ``together`` of them, some 400 MB; a longer benchmark takes
+several passes, and the spans that they find are cut out by the last.
 
 Defined results: a null text stays null and an empty one empty; NULL or
 wordless items match nothing; repeated items count once; without items no text
@@ -30,8 +31,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._run import table
 from ._tok import Tokens, U64, mix, slices, tokenize
 
 
@@ -40,7 +42,8 @@ class Params:
     min_tokens: int = 10
     coverage: float = 0.8
     floor: int = 6
-    shard_tokens: int = 400_000
+    shard_tokens: int = 100_000
+    together: int = 64  #: shards that a pass over the texts holds
 
 
 class Automaton:
@@ -93,20 +96,44 @@ class Automaton:
             p = self.link[p]
         return new
 
+    def flat(self) -> Flat:
+        """The finished automaton as arrays."""
+        edges = sorted((s << 32 | c, t) for s, own in enumerate(self.next) for c, t in own.items())
+        return Flat(np.array([k for k, _ in edges], np.int64), np.array([t for _, t in edges], np.int32), *(np.array(x, np.int32) for x in (self.link, self.len, self.short)))
+
+
+@dataclass
+class Flat:
+    """An automaton as arrays: sorted edges (state << 32 | token) and where they lead; about 60 bytes a token of the items."""
+
+    edge: np.ndarray
+    to: np.ndarray
+    link: np.ndarray
+    len: np.ndarray
+    short: np.ndarray
+
+    def step(self, state: int, token: int) -> int:
+        """The state after a token; -1 if there is none."""
+        if token < 0 or not len(self.edge):
+            return -1
+        key = state << 32 | token
+        i = int(np.searchsorted(self.edge, key))
+        return int(self.to[i]) if i < len(self.edge) and self.edge[i] == key else -1
+
     def matches(self, tokens: list[int]) -> Iterator[tuple[int, int, int]]:
         """Maximal matches: first token, one past the last, and the state."""
         s = n = 0
-        nxt, link, length = self.next, self.link, self.len
         for i, c in enumerate(tokens):
-            if c not in nxt[s]:
+            after = self.step(s, c)
+            if after < 0:
                 if n:
                     yield i - n, i, s
-                while s > 0 and c not in nxt[s]:
-                    s = link[s]
-                    n = length[s]
-            if c in nxt[s]:
-                s = nxt[s][c]
-                n += 1
+                while s > 0 and after < 0:
+                    s = int(self.link[s])
+                    n = int(self.len[s])
+                    after = self.step(s, c)
+            if after >= 0:
+                s, n = after, n + 1
             else:
                 n = 0
         if n:
@@ -117,7 +144,7 @@ class Automaton:
 class Shard:
     vocab: np.ndarray  #: sorted token hashes; a token's number is its place
     pairs: np.ndarray  #: sorted hashes of neighbouring tokens
-    automaton: Automaton
+    automaton: Flat
     singles: bool  #: some item is so short that a match of one token may count
 
 
@@ -132,7 +159,7 @@ def build(items: list[str], p: Params) -> Shard:
     seqs = sorted({tuple(number[t.first[i] : t.first[i + 1]].tolist()) for i in range(len(items))} - {()})
     inner = t.doc[1:] == t.doc[:-1]
     pairs = np.unique(pair_hash(t.hash[:-1], t.hash[1:])[inner]) if len(t) > 1 else np.zeros(0, U64)
-    return Shard(vocab, pairs, Automaton([list(s) for s in seqs]), min(p.floor, p.min_tokens) <= 1)
+    return Shard(vocab, pairs, Automaton([list(s) for s in seqs]).flat(), min(p.floor, p.min_tokens) <= 1)
 
 
 def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -206,50 +233,88 @@ def shards(benchmark: DataFrame, item_col: str, p: Params):
         yield spark.sparkContext.broadcast(build(held, p))
 
 
-def cleaned(batch: pa.RecordBatch, at: int, models: list, p: Params) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[int]]]:
-    """Slices of the batch with the new texts and the number of bytes removed as spans."""
-    for s in slices(batch, at):
-        t = tokenize(s.column(at))
-        found = [x for m in models for x in contaminated(t, m.value, p)]
-        new, gone = None, [0] * s.num_rows
-        if found:
-            new = s.column(at).to_pylist()
-            raw = t.raw.tobytes()
-            for row, spans in merged(found, t).items():
-                new[row] = cut(raw[t.offsets[row] : t.offsets[row + 1]], spans)
-                gone[row] = sum(z - a for a, z in spans)
-        yield s, new, gone
+def cut_out(docs: DataFrame, at: int, models: list, p: Params, finish, schema) -> DataFrame:
+    """``docs`` streamed through all models, ``together`` at a time; ``finish(batch, spans by row)`` makes the rows of the result.
+
+    Between passes the spans found so far stand in a column of their own behind
+    the others, in a written table.
+    """
+    groups = [models[i : i + p.together] for i in range(0, len(models), p.together)] or [[]]
+    width = len(docs.columns)
+
+    def spans_of(batch: pa.RecordBatch, group: list) -> dict[int, list[tuple[int, int]]]:
+        t = tokenize(batch.column(at))
+        found = merged([x for m in group for x in contaminated(t, m.value, p)], t)
+        if batch.num_columns > width:
+            for row, old in enumerate(batch.column(width).to_pylist()):
+                if old:
+                    found[row] = joined([*found.get(row, ()), *zip(old[::2], old[1::2])])
+        return found
+
+    for group in groups[:-1]:
+        def mark(batches, group=group):
+            for b in batches:
+                for s in slices(b, at, 1 << 21):
+                    found = spans_of(s, group)
+                    flat = pa.array([[x for span in found.get(i, ()) for x in span] for i in range(s.num_rows)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*s.columns[:width], flat], [f"c{i}" for i in range(width + 1)])
+
+        named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(named.schema.fields[:width])] + [T.StructField(f"c{width}", T.ArrayType(T.LongType()))]
+        docs = table(named.mapInArrow(mark, T.StructType(fields)), "spans")
+
+    def run(batches):
+        for b in batches:
+            for s in slices(b, at, 1 << 21):
+                yield finish(s, spans_of(s, groups[-1]))
+
+    return docs.mapInArrow(run, schema)
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], z)
+        else:
+            out.append((a, z))
+    return out
+
+
+def without(texts: pa.Array, found: dict[int, list[tuple[int, int]]]) -> list[str | None]:
+    """The texts, the spans cut out."""
+    new = texts.to_pylist()
+    for row, own in found.items():
+        new[row] = cut(new[row].encode(), own)
+    return new
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "text", p: Params = Params()) -> DataFrame:
     """One row for each document: doc_id, text (without the spans), contaminated, removed_bytes."""
-    models = list(shards(benchmark, item_col, p))
 
-    def run(batches):
-        for b in batches:
-            for s, new, gone in cleaned(b, 1, models, p):
-                text = s.column(1) if new is None else pa.array(new, pa.string())
-                yield pa.RecordBatch.from_arrays([s.column(0), text, pa.array([g > 0 for g in gone]), pa.array(gone, pa.int64())], ["doc_id", "text", "contaminated", "removed_bytes"])
+    def finish(s: pa.RecordBatch, found: dict) -> pa.RecordBatch:
+        gone = [sum(z - a for a, z in found.get(i, ())) for i in range(s.num_rows)]
+        text = pa.array(without(s.column(1), found), pa.string()) if found else s.column(1)
+        return pa.RecordBatch.from_arrays([s.column(0), text, pa.array([g > 0 for g in gone]), pa.array(gone, pa.int64())], ["doc_id", "text", "contaminated", "removed_bytes"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, text string, contaminated boolean, removed_bytes long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return cut_out(rows, 1, list(shards(benchmark, item_col, p)), p, finish, "doc_id long, text string, contaminated boolean, removed_bytes long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "text", chars_col: str | None = "n_chars", p: Params = Params()) -> DataFrame:
     """All rows and columns of ``docs``, the spans cut out of ``text_col``; ``chars_col`` is the new number of characters of the rows that changed."""
-    models = list(shards(benchmark, item_col, p))
-    at = docs.columns.index(text_col)
+    at, width, names = docs.columns.index(text_col), len(docs.columns), docs.columns
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
-    def run(batches):
-        for b in batches:
-            for s, new, gone in cleaned(b, at, models, p):
-                if new is not None:
-                    cols = list(s.columns)
-                    cols[at] = pa.array(new, s.schema.field(at).type)
-                    if chars is not None:
-                        old = s.column(chars).to_pylist()
-                        cols[chars] = pa.array([len(x or "") if g else o for x, g, o in zip(new, gone, old)], s.schema.field(chars).type)
-                    s = pa.RecordBatch.from_arrays(cols, schema=s.schema)
-                yield s
-
-    return docs.mapInArrow(run, docs.schema)
+    def finish(s: pa.RecordBatch, found: dict) -> pa.RecordBatch:
+        cols = list(s.columns[:width])
+        if found:
+            new = without(cols[at], found)
+            if chars is not None:
+                old = cols[chars].to_pylist()
+                cols[chars] = pa.array([len(new[i] or "") if i in found else o for i, o in enumerate(old)], cols[chars].type)
+            cols[at] = pa.array(new, cols[at].type)
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    return cut_out(docs, at, list(shards(benchmark, item_col, p)), p, finish, docs.schema)

@@ -9,7 +9,8 @@ are joined by newlines.
 
 Defined results: a null page has NULL text and no blocks; an empty page, or one
 without content, has the empty text; unclosed tags, comments, scripts and styles
-end at the end of the page at the latest; unknown entities stay as they are;
+end at the end of the page at the latest; a > within a quoted attribute value
+does not end the tag; unknown entities stay as they are;
 repeated rows are treated one by one; other columns are ignored.
 """
 
@@ -24,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._tok import slices
+
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 _INLINE_SKIP = re.compile(r"<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _HEAD = re.compile(r"<head\b.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*+)(?:(?:[^>"']|"[^"<]*"|'[^'<]*')*+>|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)""", re.S)
 
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
@@ -168,24 +171,31 @@ def block_features(words: np.ndarray, linked: np.ndarray, page: np.ndarray) -> n
     return x
 
 
+def extracted(pages: list[list | None], model: Node) -> tuple[list[str | None], list[int], list[int]]:
+    """Text, blocks and content blocks of each page, given its blocks."""
+    flat = [x for g in pages if g for x in g]
+    page = np.repeat(np.arange(len(pages)), [len(g or ()) for g in pages])
+    keep = classify(model, block_features(np.array([x[1] for x in flat], float), np.array([x[2] for x in flat], float), page))
+    text, total, content, at = [], [], [], 0
+    for g in pages:
+        n = len(g or ())
+        chosen = [flat[i][0] for i in range(at, at + n) if keep[i]]
+        text.append(None if g is None else "\n".join(chosen))
+        total.append(n)
+        content.append(len(chosen))
+        at += n
+    return text, total, content
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row for each page: page_id, text (content blocks by lines), blocks, content_blocks."""
     model = tree()
 
     def run(batches):
         for b in batches:
-            got = [None if v is None else blocks(v) for v in b.column(1).to_pylist()]
-            flat = [x for g in got if g for x in g]
-            page = np.repeat(np.arange(len(got)), [len(g or ()) for g in got])
-            keep = classify(model, block_features(np.array([x[1] for x in flat], float), np.array([x[2] for x in flat], float), page))
-            text, total, content, at = [], [], [], 0
-            for g in got:
-                n = len(g or ())
-                chosen = [flat[i][0] for i in range(at, at + n) if keep[i]]
-                text.append(None if g is None else "\n".join(chosen))
-                total.append(n)
-                content.append(len(chosen))
-                at += n
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(total, pa.int32()), pa.array(content, pa.int32())], ["page_id", "text", "blocks", "content_blocks"])
+            for x in slices(b, 1, 1 << 20):
+                got = [None if v is None else blocks(v) for v in x.column(1).to_pylist()]
+                text, total, content = extracted(got, model)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(text, pa.string()), pa.array(total, pa.int32()), pa.array(content, pa.int32())], ["page_id", "text", "blocks", "content_blocks"])
 
     return pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string")).mapInArrow(run, "page_id long, text string, blocks int, content_blocks int")

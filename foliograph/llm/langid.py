@@ -1,7 +1,7 @@
 """Language identification by nearest clustered centroids of TF-IDF n-gram vectors.
 
 A text is folded and its words joined by single spaces; hashed byte n-grams of
-it are weighted by (1 + ln tf) * idf and normalised.  Every language has several
+it are weighted by ln(1 + tf) * idf and normalised.  Every language has several
 centroids from spherical k-means over a bounded labelled sample; a text takes
 the language of the centroid of greatest cosine.  A text is rejected when its
 cosine lies below a floor that depends on its length (short texts lie further
@@ -85,7 +85,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarra
     def run(batches):
         total = np.zeros(WIDTH + 1, np.int64)
         for b in batches:
-            for s in slices(b, 0, 1 << 19):
+            for s in slices(b, 0, 1 << 19, 512):
                 c, _ = counts(s.column(0))
                 total[:-1] += np.count_nonzero(c, axis=0)
                 total[-1] += s.num_rows
@@ -153,11 +153,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p: Para
 
     def features(batches):
         for b in batches:
-            for s in slices(b, 0, 1 << 19):
+            for s in slices(b, 0, 1 << 19, 512):
                 for k in (None, *LENGTHS):
                     c, size = counts(s.column(0), k)
                     at = [np.flatnonzero(r).astype(np.uint16) for r in c]
-                    yield arrays(schema, s.column(1), s.column(2), np.full(len(size), k or 0), size, [a.tobytes() for a in at], [np.minimum(r[a], 255).astype(np.uint8).tobytes() for r, a in zip(c, at)])
+                    yield arrays(schema, s.column(1), s.column(2), np.full(len(size), k or 0), size, [a.tobytes() for a in at], [r[a].astype(np.uint32).tobytes() for r, a in zip(c, at)])
 
     sample = docs.select(text_col, lang_col, h.alias("key")).filter(part).dropDuplicates(["key"])
     rows = sorted(sample.mapInArrow(features, "lang string, key long, cut int, size int, grams binary, v binary").collect(), key=lambda r: (r.lang, r.key, r.cut))
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p: Para
             return np.zeros((0, WIDTH), np.float32)
         c = np.zeros((len(which), WIDTH), np.float32)
         for row, i in zip(c, which):
-            row[np.frombuffer(keep[i].grams, np.uint16)] = np.frombuffer(keep[i].v, np.uint8)
+            row[np.frombuffer(keep[i].grams, np.uint16)] = np.frombuffer(keep[i].v, np.uint32)
         return vectors(c, idf)
 
     cents, owner = [], []
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches):
         m = model.value
         for b in batches:
-            for s in slices(b, 1, 1 << 19):
+            for s in slices(b, 1, 1 << 19, 512):
                 best, cos, rejected = m.predict(s.column(1))
                 yield arrays(schema, s.column(0), [m.langs[i] if i >= 0 else None for i in best], cos.astype(np.float64), rejected)
 
@@ -221,6 +221,6 @@ def accepted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, lang_col, p))
 
     def mask(b: pa.RecordBatch, at: int) -> np.ndarray:
-        return np.concatenate([~model.value.predict(s.column(at))[2] for s in slices(b, at, 1 << 19)])
+        return np.concatenate([~model.value.predict(s.column(at))[2] for s in slices(b, at, 1 << 19, 512)])
 
     return keep_rows(docs, text_col, mask)

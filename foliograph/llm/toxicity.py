@@ -281,7 +281,7 @@ def fit_local(texts: list[str], y: np.ndarray, p: Params = Params()) -> Model:
         return Model(None, 0.0, np.inf, p)
     e, w, b = train(sample, own, p)
     m = Model(e @ (w[:, 1] - w[:, 0]), float(b[1] - b[0]), 0.0, p)
-    z = np.concatenate([m.logits(once(tokenize(s.column(0))), s.num_rows) for s in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), 0)])
+    z = np.concatenate([m.logits(once(tokenize(s.column(0))), s.num_rows) for s in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"]), 0, 1 << 20)])
     judged = (held if held.any() else ~held) & np.isfinite(z)
     if len(set(y[judged])) == 2:
         m.threshold = cut_between(z[judged & (y == 0)], z[judged & (y == 1)])
@@ -304,7 +304,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for b in batches:
-            for s in slices(b, 1, 1 << 22):
+            for s in slices(b, 1, 1 << 20):
                 yield arrays(schema, s.column(0), *model.value.predict(s.column(1)))
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, toxicity double, is_toxic boolean")
@@ -315,6 +315,6 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, p=p))
 
     def mask(b: pa.RecordBatch, at: int) -> np.ndarray:
-        return np.concatenate([~model.value.predict(s.column(at))[1] for s in slices(b, at, 1 << 22)])
+        return np.concatenate([~model.value.predict(s.column(at))[1] for s in slices(b, at, 1 << 20)])
 
     return keep_rows(docs, text_col, mask)

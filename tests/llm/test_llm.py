@@ -3,12 +3,14 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliograph.llm import _tok, chat, decontam, html, langid, lm, minhash, packing, sharding, topk, toxicity
 
@@ -55,7 +57,7 @@ def clashing(spark):
 
 def test_tokens_are_those_of_the_plain_loop():
     rng = random.Random(1)
-    chars = "abcXYZ019 \n.,-_ÀÉßéç×÷«»“—、。漢字ا​ÿ "
+    chars = "abcXYZ019 \n.,-_ÀÉßéç×÷«»“—、。漢字ا،؟۔Œœİ\u0130ΑΩάЖжӁẞ，（Ａ​ÿ "
     texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "x" * 700_000, "ab " * 200_000]
     t = _tok.tokenize(pa.array(texts))
     seen = {}
@@ -67,6 +69,24 @@ def test_tokens_are_those_of_the_plain_loop():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_wordy_texts_are_those_with_tokens(spark):
+    texts = ["", " .,", "\u00d7 \u2014", "\u060c\u061f", "\uff0c", "a", "\u0627", "\u6f22", "\u00e9", "7"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(_tok.WORDY)).collect()
+    assert [r[0] for r in got] == [bool(_tok.py_tokens(t)) for t in texts]
+
+
+def test_memory_follows_the_longest_text_by_a_known_factor():
+    text = "word another " * 400_000  # 5 MB
+    col = pa.array([text])
+    for f, most in ((lambda: _tok.tokenize(col), 14), (lambda: minhash.signatures(col, minhash.Params()), 24), (lambda: decontam.contaminated(_tok.tokenize(col), decontam.build(["word another thing"], decontam.Params()), decontam.Params()), 24)):
+        f()
+        tracemalloc.start()
+        f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text), peak / len(text)
+
+
 def test_shingles_stay_within_their_row():
     texts = ["a b c d", "a b", "", None, "b c d"]
     h, doc, first = _tok.shingles(_tok.tokenize(pa.array(texts)), 3)
@@ -134,6 +154,76 @@ def test_html_blocks_and_text(spark):
     assert by[2].text is None and by[2].blocks == 0 and by[3].text == "" and by[None].text == "" and by[4].content_blocks == 1
 
 
+def plain_blocks(page):
+    """Blocks of a page by a loop over its characters."""
+    out, text, words, linked, depth, i = [], "", 0, 0, 0, 0
+
+    def close():
+        nonlocal text, words, linked
+        if words:
+            n = len(text.split())
+            out.append((" ".join(text.split()), n, min(linked, n)))
+        text, words, linked = "", 0, 0
+
+    piece = ""
+
+    def flush():
+        nonlocal piece, text, words, linked
+        piece = piece.replace("&amp;", "&").replace("&eacute;", "\u00e9")
+        text += piece
+        words += len(piece.split())
+        linked += len(piece.split()) if depth else 0
+        piece = ""
+
+    while i < len(page):
+        if page.startswith("<!--", i):
+            z = page.find("-->", i)
+            i = len(page) if z < 0 else z + 3
+            piece += " "
+        elif page[i] == "<":
+            z, quote = i + 1, None
+            while z < len(page) and (quote or page[z] != ">"):
+                quote = None if page[z] == quote else quote or (page[z] if page[z] in "\"'" else None)
+                z += 1
+            name = page[i + 1 : z].split()[0].lower()
+            i = z + 1
+            if name in ("script", "style", "head"):
+                i = page.index(">", page.index(f"</{name}", i)) + 1
+                piece += " "
+            else:
+                flush()
+                if name.strip("/") == "a":
+                    depth = max(0, depth - 1) if name[0] == "/" else depth + 1
+                elif name.strip("/") in html.BLOCK:
+                    close()
+        else:
+            piece += page[i]
+            i += 1
+    flush()
+    close()
+    return out
+
+
+def test_pages_by_brute_force(spark):
+    rng = random.Random(14)
+    bits = ["<p>", "</p>", "<div class='x y'>", "</div>", "<a href=\"u?a>b\">", "</a>", "<b>", "</b>", "<br>", "<!-- a <p> b -->", "<script>if (a < b) x</script>", "<style>p {}</style>", "<li>", "</li>", "<h2 title='a > b'>", "</h2>", "<span>"]
+    pages = ["<html><head><title>none of this</title></head><body>" * (i % 2) + "".join(rng.choice(bits) if rng.random() < 0.4 else rng.choice(["one ", "two", " three &amp; four ", "caf&eacute; ", "\n", words(rng, EN, 12) + " "]) for _ in range(rng.randint(1, 60))) for i in range(120)]
+
+    def decided(node, x):
+        while node.feature >= 0:
+            node = node.left if x[node.feature] <= node.limit else node.right
+        return node.value
+
+    rows = [(i, p) for i, p in enumerate(pages)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, html string").withColumn("blocks", F.lit(3))).collect()}
+    for i, page in rows:
+        own = plain_blocks(page)
+        assert html.blocks(page) == own, page
+        side = [(w, n / w) for _, w, n in own]
+        keep = [t for k, (t, _, _) in enumerate(own) if decided(html.tree(), [*(side[k - 1] if k else (-1, 0)), *side[k], *(side[k + 1] if k + 1 < len(own) else (-1, 0))])]
+        assert (got[i].text, got[i].blocks, got[i].content_blocks) == ("\n".join(keep), len(own), len(keep))
+
+
 def test_tree_is_the_best_split_of_brute_force():
     data = np.array(html.LABELLED, float)
     x, y = data[:, :-1], data[:, -1].astype(int)
@@ -384,7 +474,7 @@ def test_automaton_by_brute_force():
     rng = random.Random(2)
     for _ in range(60):
         items = [[rng.randint(0, 3) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 4))]
-        a = decontam.Automaton(items)
+        a = decontam.Automaton(items).flat()
         tokens = [rng.randint(-1, 3) for _ in range(25)]
         got = {(i, j): a.short[s] for i, j, s in a.matches(tokens)}
         want = {}
@@ -435,13 +525,15 @@ def test_spans_removed_by_brute_force(spark):
         return " ".join(x.strip() for x in parts if x.strip())
 
     small = [r for r in rows if r[0] != 53]
-    for limit in (10**6, 15):  # one automaton, and one an item
-        got = {r.doc_id: r for r in decontam.spans(docs, bench, p=replace(p, shard_tokens=limit)).collect()}
+    for limit, together in ((10**6, 64), (15, 64), (15, 1)):  # one automaton, one an item, and one a pass
+        got = {r.doc_id: r for r in decontam.spans(docs, bench, p=replace(p, shard_tokens=limit, together=together)).collect()}
         for i, text in small:
             assert got[i].text == expect(text), i
         assert got[53].text.startswith("tail") and got[53].removed_bytes == len(items[0])
-    kept = decontam.clean(docs.selectExpr("*", "cast(7 as long) as n_chars", "1 as removed_bytes"), bench, p=p).collect()
-    assert len(kept) == len(rows) and all(r.n_chars in (7, len(r.text or "")) for r in kept)
+    for q in (p, replace(p, shard_tokens=15, together=1)):
+        kept = decontam.clean(docs.selectExpr("*", "cast(7 as long) as n_chars", "1 as removed_bytes", "2 as c0"), bench, p=q).collect()
+        assert len(kept) == len(rows) and all(r.n_chars in (7, len(r.text or "")) and r.c0 == 2 for r in kept)
+        assert Counter(r.text for r in kept if r.doc_id != 53) == Counter(expect(t) for _, t in small)
     assert decontam.spans(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontam.spans(docs.limit(0), bench).count() == 0
 
@@ -858,9 +950,67 @@ def test_shards(docs, empty, clashing):
     assert sharding.shard(empty).count() == 0
 
 
+def plain_difference(parts):
+    """(sums, for each key where its parts lie) by the rule, with lists; ``parts`` are (key, sums)."""
+    state = [(s, k, {k: list(range(len(s)))}) for k, s in parts]
+    while len(state) > 1:
+        state.sort(key=lambda x: (-(x[0][0] - x[0][-1]), x[1]))
+        (s, k, at), (t, m, to) = state[:2]
+        total = [a + b for a, b in zip(s, t[::-1])]
+        order = sorted(range(len(total)), key=lambda i: -total[i])
+        new = {old: i for i, old in enumerate(order)}
+        both = {x: [new[i] for i in p] for x, p in at.items()} | {x: [new[len(s) - 1 - i] for i in p] for x, p in to.items()}
+        state = [*state[2:], ([total[i] for i in order], min(k, m), both)]
+    return state[0][0], state[0][2]
+
+
+def test_shards_in_levels_by_brute_force(spark):
+    rng = random.Random(15)
+    texts = ["x" * rng.randint(1, 400) + str(i) for i in range(90)] + [None, "", None, ""]
+    p = sharding.Params(shards=3, bucket_groups=10, fan=4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in sharding.shard(docs, p=p).collect()}
+    assert got[90] == got[92] and got[91] == got[93]
+    buckets = -(-92 // p.bucket_groups)
+    text = F.col("text")
+    g = F.struct(F.xxhash64(text).alias("g1"), F.xxhash64(F.reverse(text), F.lit(1)).alias("g2"))
+    rows = docs.select("doc_id", F.pmod(F.xxhash64(g), F.lit(buckets)).alias("b"), g.alias("g")).filter("doc_id < 92").collect()
+    size = lambda r: len((texts[r.doc_id] or "").encode())
+    place, level = {}, []
+    for b in sorted({r.b for r in rows}):
+        own = sorted((r for r in rows if r.b == b), key=lambda r: (-size(r), r.g.g1, r.g.g2))
+        sums, at = plain_difference([(i, [size(r)] + [0] * (p.shards - 1)) for i, r in enumerate(own)])
+        place |= {r.doc_id: (b, at[i][0]) for i, r in enumerate(own)}
+        level.append((b, sums))
+    count = buckets
+    while True:
+        above = -(-count // p.fan)
+        done = []
+        for a in range(above):
+            parts = sorted(x for x in level if x[0] % above == a)
+            if parts:
+                sums, at = plain_difference(parts)
+                place = {d: (a, at[b][i]) if (b % above == a and b in at) else (b, i) for d, (b, i) in place.items()} if above == 1 else {d: ((a, at[b][i], 1) if len(v) == 2 and b % above == a else v) for d, v in place.items() for b, i in [v[:2]]}
+                done.append((a, sums))
+        place = {d: v[:2] for d, v in place.items()}
+        if above == 1:
+            break
+        level, count = done, above
+    assert {d: got[d] for d in place} == {d: i for d, (_, i) in place.items()}
+
+
 # pipeline
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
