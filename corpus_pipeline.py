@@ -4,17 +4,20 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next one's documents.  All but the last
 return the columns of ``documents``.  SQL can express none of the five methods
 (trained models, hashing in 64-bit arithmetic, a suffix automaton, walks), so
-``ORACLE_SQL`` is None and tests compare each stage with a brute-force version.
+``ORACLE_SQL`` is None; tests compare each stage's operator with a brute-force
+version and run the whole on planted cases.  A stage's table is removed once the
+next one is written, the last one when Python exits.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from foliograph.llm import decontam, langid, minhash, packing, toxicity
-from foliograph.llm._run import shared_dir
+from foliograph.llm._run import drop, shared_dir
 
 ORACLE_SQL = None
 
@@ -51,7 +54,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    atexit.register(drop, spark, base)
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            drop(spark, before)
+        before = f"{base}/{name}"
     return docs
