@@ -34,7 +34,8 @@ def row_texts(glyph: DataFrame, keys: list[str]) -> DataFrame:
     shown = rows.withColumn("blank", F.trim("c") == "").withColumn("unit", 0.6 * F.coalesce(F.median(F.when(F.col("x1") - F.col("x0") > 0.5, F.col("x1") - F.col("x0"))).over(line), F.lit(6.0)))
     shown = shown.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("blank"))
     gap = F.lag("x0").over(order) - F.col("x1")
-    had = F.col("blanks") > F.lag("blanks").over(order)
+    # one before the first glyph that shows still holds for the second
+    had = F.col("blanks") > F.when(F.row_number().over(order) == 2, 0).otherwise(F.lag("blanks").over(order))
     prev = F.lag("c").over(order)
     arabic = f"^[{T.BLOCKS}ﭐ-﷿ﹰ-﻿]"
     both = prev.rlike(arabic) & F.col("c").rlike(arabic)

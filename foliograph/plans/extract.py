@@ -2,13 +2,14 @@
 
 The crop of a page needs its neighbours: the outermost text or small image of
 each margin is found inside the nested row, and one window by document compares
-it with those of the pages before and after.  All else is page-local and runs
-in one Arrow map, without a further shuffle.
+it with those of the pages before and after.  That window is the only shuffle of
+whole pages (a document's pages meet in one task); all else is page-local and
+runs in one Arrow map.
 
 A NULL list of blocks, images, drawings or tables is an empty one; a page
 without rectangle, or of a crop that leaves nothing, has the empty text; rows
-repeated (doc_id, page_no) are pages that stand beside each other; other columns
-are ignored.
+repeated (doc_id, page_no) are pages that stand beside each other, each gives
+one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,14 +61,23 @@ def capabilities(ocr: Callable | None = None) -> dict:
     return dict.fromkeys(("tables", "footer_detection"), True) | {"ocr": ocr is not None}
 
 
-def _text(block: Column) -> Column:
-    """The characters of a block, stripped."""
-    glyphs = F.flatten(F.transform(F.flatten(F.transform(block.lines, lambda ln: ln.spans)), lambda s: F.transform(s.glyphs, lambda g: g.c)))
-    return T.strip(F.array_join(glyphs, ""))
+def _glyphs(block: Column) -> Column:
+    """All glyphs of a block."""
+    parts = F.flatten(F.filter(F.transform(F.coalesce(block.lines, F.array()), lambda ln: ln.spans), lambda x: x.isNotNull()))
+    return F.flatten(F.filter(F.transform(parts, lambda s: s.glyphs), lambda x: x.isNotNull()))
+
+
+def _joined(glyphs: Column) -> Column:
+    """Their characters, stripped."""
+    return T.strip(F.array_join(F.transform(glyphs, lambda g: g.c), ""))
 
 
 def margins(layout: DataFrame) -> DataFrame:
-    """(doc_id, page_no, top, bottom): outermost item of either margin: kind, text or digest, edge, whether it is a page number."""
+    """``layout`` with top and bottom: outermost item of either margin: text or digest, edge, whether it is a page number.
+
+    Of a block that reaches into a margin only the glyphs there count, for its
+    text, its centre and its edge.
+    """
     y0, y1 = F.col("rect.y0"), F.col("rect.y1")
     h = y1 - y0
 
@@ -75,41 +85,52 @@ def margins(layout: DataFrame) -> DataFrame:
         share = 0.15 if top else 0.12
         sign = 1 if top else -1
 
-        def margin_text(b: Column) -> Column:
-            cy = (b.y0 + b.y1) / 2
-            return F.struct((sign * cy).alias("key"), _text(b).alias("what"), (b.y1 if top else b.y0).alias("edge"), (cy <= y0 + share * h if top else cy >= y1 - share * h).alias("margin"))
+        def inside(g: Column) -> Column:
+            cy = (g.y0 + g.y1) / 2
+            return (cy >= y0) & (cy <= y0 + share * h) if top else (cy >= y1 - share * h) & (cy <= y1)
+
+        def item(glyphs: Column) -> Column:
+            low, high = F.array_min(F.transform(glyphs, lambda g: g.y0)), F.array_max(F.transform(glyphs, lambda g: g.y1))
+            return F.struct((sign * (low + high) / 2).alias("key"), _joined(glyphs).alias("what"), (high if top else low).alias("edge"))
 
-        texts = F.filter(F.transform(F.filter(F.coalesce("blocks", F.array()), lambda b: (b.y0 < y0 + share * h) if top else (b.y1 > y1 - share * h)), margin_text), lambda x: (x.what != "") & F.col("rect").isNotNull())
+        near = F.filter(F.coalesce("blocks", F.array()), lambda b: (b.y0 < y0 + share * h) if top else (b.y1 > y1 - share * h))
+        own = F.filter(F.transform(near, lambda b: F.filter(_glyphs(b), inside)), lambda g: F.size(g) > 0)
+        texts = F.filter(F.transform(own, item), lambda x: x.what != "")
         images = F.transform(
             F.filter(F.coalesce("images", F.array()), lambda i: ((i.y0 < y0 + 0.15 * h) if top else (i.y1 > y1 - 0.15 * h)) & (i.y1 - i.y0 < 0.2 * h)),
-            lambda i: F.struct((sign * (i.y0 + i.y1) / 2).alias("key"), i.digest.alias("what"), (i.y1 if top else i.y0).alias("edge"), F.lit(False).alias("margin")),
+            lambda i: F.struct((sign * (i.y0 + i.y1) / 2).alias("key"), i.digest.alias("what"), (i.y1 if top else i.y0).alias("edge")),
         )
         t, i = F.try_element_at(F.array_sort(texts), F.lit(1)), F.try_element_at(F.array_sort(images), F.lit(1))
+        return F.struct(t.alias("t"), i.alias("i"))
+
+    def picked(c: str) -> Column:
+        t, i = F.col(f"{c}.t"), F.col(f"{c}.i")
         is_text = t.isNotNull() & (i.isNull() | (t.key < i.key))
         pick = F.when(is_text, t).otherwise(i)
-        return F.struct(is_text.alias("is_text"), pick.what.alias("what"), pick.edge.alias("edge"), (is_text & pick.margin & T.is_page_number(pick.what)).alias("number"), t.what.alias("first_text"), i.what.alias("first_image"))
+        return F.struct(is_text.alias("is_text"), pick.what.alias("what"), pick.edge.alias("edge"), (is_text & T.is_page_number(pick.what)).alias("number"), t.what.alias("first_text"), i.what.alias("first_image"))
 
-    return layout.select("doc_id", "page_no", outermost(True).alias("top"), outermost(False).alias("bottom"))
+    found = layout.withColumns({"_top": outermost(True), "_bottom": outermost(False)})
+    return found.withColumns({"top": picked("_top"), "bottom": picked("_bottom")}).drop("_top", "_bottom")
 
 
-def clips(layout: DataFrame, o: Options = Options()) -> DataFrame:
-    """(doc_id, page_no, top_y, bottom_y) of each page after its crop."""
+_COLUMNS = ["doc_id", "page_no", "rect", "blocks", "images", "drawings", "tables"]
+
+
+def clipped(layout: DataFrame, o: Options = Options()) -> DataFrame:
+    """The columns of ``layout`` with top_y and bottom_y of each page after its crop; the only shuffle is the window by document."""
+    m = margins(layout.select(*_COLUMNS))
     w = Window.partitionBy("doc_id").orderBy("page_no")
-    m = margins(layout)
     m = m.withColumns({f"{a}_{b}": f(F.col(a)).over(w) for a in ("top", "bottom") for b, f in (("prev", F.lag), ("next", F.lead))})
 
     def repeats(side: str) -> Column:
-        me, texts = F.col(side), F.lit(False)
-        same = F.lit(False)
+        me, texts, same = F.col(side), F.lit(False), F.lit(False)
         for n in ("prev", "next"):
-            o = F.col(f"{side}_{n}")
+            other = F.col(f"{side}_{n}")
             if side == "top":
-                texts = texts | T.shares_words(me.what, o.first_text)
-            same = same | F.coalesce(me.what == o.first_image, F.lit(False))
+                texts = texts | T.shares_words(me.what, other.first_text)
+            same = same | F.coalesce(me.what == other.first_image, F.lit(False))
         return F.when(me.is_text, me.number | texts).otherwise(me.what.isNotNull() & same)
 
-    rect = layout.select(F.col("doc_id").alias("d"), F.col("page_no").alias("n"), "rect").distinct()
-    m = m.join(rect, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("page_no").eqNullSafe(F.col("n")))
     y0, y1 = F.col("rect.y0"), F.col("rect.y1")
     by = (lambda v: (y1 - y0) * v / 100) if o.crop_unit == "pct" else F.lit
     top, bottom = y0 + by(o.crop_top), y1 - by(o.crop_bottom)
@@ -117,7 +138,12 @@ def clips(layout: DataFrame, o: Options = Options()) -> DataFrame:
         top = F.when(repeats("top"), F.col("top.edge") + 5).otherwise(top)
     if o.auto_crop_bottom:
         bottom = F.when(repeats("bottom"), F.col("bottom.edge") - 5).otherwise(bottom)
-    return m.select("doc_id", "page_no", top.alias("top_y"), bottom.alias("bottom_y")).distinct()
+    return m.select(*_COLUMNS, top.alias("top_y"), bottom.alias("bottom_y"))
+
+
+def clips(layout: DataFrame, o: Options = Options()) -> DataFrame:
+    """(doc_id, page_no, top_y, bottom_y) of each page after its crop."""
+    return clipped(layout, o).select("doc_id", "page_no", "top_y", "bottom_y")
 
 
 def _box(v: dict) -> tuple:
@@ -205,10 +231,12 @@ def extract_pages(layout: DataFrame, o: Options = Options(), ocr: Callable[[dict
         raise OcrUnavailableError("the OCR strategy needs an engine; give one, or take the strategy 'never'")
     if o.crop_unit not in ("pct", "px"):
         raise ValueError(f"crop unit must be pct or px: {o.crop_unit!r}")
-    c = clips(layout, o).select(F.col("doc_id").alias("d"), F.col("page_no").alias("n"), "top_y", "bottom_y")
-    joined = layout.select("doc_id", "page_no", "rect", "blocks", "images", "drawings", "tables").join(c, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("page_no").eqNullSafe(F.col("n")), "left").drop("d", "n")
-    inside = F.filter(F.coalesce("blocks", F.array()), lambda b: ((b.y0 + b.y1) / 2 >= F.col("top_y")) & ((b.y0 + b.y1) / 2 <= F.col("bottom_y")))
-    joined = joined.withColumn("scrambled", T.looks_scrambled(F.array_join(F.transform(inside, _text), "\n")))
+    joined = clipped(layout, o)
+    scrambled = F.lit(False)
+    if strategy(o.ocr_strategy) == "auto":
+        inside = F.filter(F.coalesce("blocks", F.array()), lambda b: ((b.y0 + b.y1) / 2 >= F.col("top_y")) & ((b.y0 + b.y1) / 2 <= F.col("bottom_y")))
+        scrambled = T.looks_scrambled(F.array_join(F.transform(inside, lambda b: _joined(_glyphs(b))), "\n"))
+    joined = joined.withColumn("scrambled", scrambled)
     schema = to_arrow_schema(_parse_datatype_string(RESULT))
 
     def run(batches):

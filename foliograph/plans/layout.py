@@ -40,29 +40,68 @@ def glyphs(s: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", "page_no", "slot", "c", (x1 - 7).alias("x0"), (60.0 + 30 * F.col("slot")).alias("y0"), x1.alias("x1"), (72.0 + 30 * F.col("slot")).alias("y1"))
 
 
+#: Right-to-left letters of which no cleaning rule is made, so that SQL can state what a page's text is.
+PLAIN = "\u0628\u062a\u062b\u062c\u062d\u062e\u062f\u0630\u0631\u0632\u0633\u0634\u0635\u0636\u0637\u0638\u0639\u063a\u0641\u0642\u0628\u062a\u062c\u062d\u062f\u0631"
+
+
+def _shown(text):
+    """ASCII without capitals and brackets."""
+    return F.translate(F.lower(F.regexp_replace(text, "[^\\x20-\\x7e]", " ")), "()", "[]")
+
+
 def nested(s: SparkSession, d: str) -> DataFrame:
-    """Pages by the layout schema, each line a block, right-to-left letters."""
+    """Pages by the layout schema, each line a block: right-to-left letters, or left-to-right in every fifth document.
+
+    Lines 4 and 14 end in a superscript number; lines 8 to 11 are a table of
+    three columns with merged cells; a rule stands above the small print.
+    """
 
     def box(x0, y0, x1, y1):
         return [a.cast("double").alias(n) for a, n in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"))]
 
-    def block(txt, y0, size, font="Body"):
-        """A block of one line of one span."""
-        n = F.length(txt)
-        y1 = y0 + 12
-        letters = F.transform(F.filter(F.split(F.translate(F.lower(txt), corpora.LATIN, corpora.RTL), ""), lambda c: c != ""), lambda c, k: F.struct(c.alias("c"), *box(533 - 8 * k, y0, 540 - 8 * k, y1)))
-        span = F.struct(F.lit(font).alias("font"), size.alias("size"), letters.alias("glyphs"), *box(541 - 8 * n, y0, F.lit(540), y1))
-        line = F.struct(F.array(span).alias("spans"), *box(541 - 8 * n, y0, F.lit(540), y1))
-        return F.struct(F.array(line).alias("lines"), *box(541 - 8 * n, y0, F.lit(540), y1))
+    ltr = F.col("doc_id") % 5 == 2
 
-    each = lines(s, d).groupBy("doc_id", "source", "page_no").agg(F.array_sort(F.collect_list(F.struct("slot", block(F.col("txt"), 60 + 30 * F.col("slot"), _size()).alias("b")))).alias("own"))
+    def block(shown, y0, size, tip=None):
+        """A block of one line; ``tip`` is a superscript number at its end."""
+        n = F.length(shown)
+        y1 = y0 + 12
+        x0, x1 = F.when(ltr, F.lit(60)).otherwise(541 - 8 * n), F.when(ltr, 59 + 8 * n).otherwise(F.lit(540))
+
+        def letters(t, first, top, bottom):
+            left = lambda k: F.when(ltr, 60 + 8 * (k + first)).otherwise(533 - 8 * (k + first))
+            return F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c, k: F.struct(c.alias("c"), *box(left(k), top, left(k) + 7, bottom)))
+
+        spans = [F.struct(F.lit("Body").alias("font"), size.alias("size"), letters(F.when(ltr, shown).otherwise(F.translate(shown, corpora.LATIN, PLAIN)), F.lit(0), y0, y1).alias("glyphs"), *box(x0, y0, x1, y1))]
+        line = F.array(*spans)
+        if tip is not None:
+            raised = F.struct(F.lit("Body").alias("font"), F.lit(7.0).alias("size"), letters(tip, n, y0 - 2, y0 + 4).alias("glyphs"), *box(x0, y0 - 2, x1, y0 + 4))
+            line = F.when(tip.isNotNull(), F.array(*spans, raised)).otherwise(line)
+        return F.struct(F.array(F.struct(line.alias("spans"), *box(x0, y0, x1, y1))).alias("lines"), *box(x0, y0, x1, y1))
+
+    shown = lines(s, d).withColumn("shown", _shown(F.col("txt"))).filter("trim(shown) <> ''")
+    tip = F.when(F.col("slot") % 10 == 4, F.concat(F.lit("9"), F.col("slot").cast("string")))
+    own = block(F.col("shown"), 60 + 30 * F.col("slot"), F.when(F.col("slot") >= 17, 10.0).otherwise(12.0), tip)
+    each = shown.groupBy("doc_id", "source", "page_no").agg(F.array_sort(F.collect_list(F.struct("slot", own.alias("b")))).alias("own"))
     body = F.transform("own", lambda x: x.b)
-    head = F.when(F.col("doc_id") % 2 == 0, F.array(block(F.concat(F.lit("annual report of the "), F.col("source")), F.lit(20), F.lit(12.0)))).otherwise(F.array())
+    head = F.when(F.col("doc_id") % 2 == 0, F.array(block(_shown(F.concat(F.lit("annual report of the "), F.col("source"))), F.lit(20), F.lit(12.0)))).otherwise(F.array())
     foot = F.when(F.col("doc_id") % 3 == 0, F.array(block(F.concat(F.lit("- "), F.col("page_no").cast("string"), F.lit(" -")), F.lit(670), F.lit(12.0)))).otherwise(F.array())
     logo = F.struct(F.md5("source").alias("digest"), *box(F.lit(10), F.lit(5), F.lit(60), F.lit(15)))
     images = F.when(F.col("doc_id") % 3 == 1, F.array(logo)).otherwise(F.array())
     rect = F.struct(*box(F.lit(0), F.lit(0), F.lit(600), F.lit(700)))
-    return each.select(F.col("doc_id").cast("string").alias("doc_id"), "page_no", rect.alias("rect"), F.concat(head, body, foot).alias("blocks"), images.alias("images"), F.expr("cast(array() as array<struct<kind:string,x0:double,y0:double,x1:double,y1:double>>)").alias("drawings"), F.expr("cast(array() as array<struct<source:string,header:int,cells:array<struct<row:int,col:int,raw:string,x0:double,y0:double,x1:double,y1:double>>,x0:double,y0:double,x1:double,y1:double>>)").alias("tables"))
+    rule = F.struct(F.lit("l").alias("kind"), *box(F.lit(60), F.lit(566), F.lit(300), F.lit(566)))
+    drawings = F.when(F.exists("own", lambda x: x.slot >= 17), F.array(rule)).otherwise(F.array())
+    edge = F.when(ltr, 59.5).otherwise(60.5)
+
+    def cell(slot, c):
+        gone = (F.col("doc_id") + slot - 8 + (F.when(ltr, F.lit(c)).otherwise(F.lit(2 - c)))) % 4 == 0
+        side = [F.when(~gone, v).cast("double").alias(n) for v, n in zip((edge + 160 * c, F.lit(298) + 30 * (slot - 8), edge + 160 * (c + 1), F.lit(314) + 30 * (slot - 8)), ("x0", "y0", "x1", "y1"))]
+        return F.struct((slot - 8).cast("int").alias("row"), F.lit(c).alias("col"), F.lit(None).cast("string").alias("raw"), *side)
+
+    grid = F.filter("own", lambda x: (x.slot >= 8) & (x.slot <= 11))
+    cells = F.flatten(F.transform(grid, lambda x: F.array(*[cell(x.slot, c) for c in range(3)])))
+    table = F.struct(F.lit("lines").alias("source"), F.lit(3).alias("header"), cells.alias("cells"), *box(edge, F.lit(298), edge + 480, F.lit(404)))
+    tables = F.when(F.size(grid) >= 2, F.array(table)).otherwise(F.array())
+    return each.select(F.col("doc_id").cast("string").alias("doc_id"), "page_no", rect.alias("rect"), F.concat(head, body, foot).alias("blocks"), images.alias("images"), drawings.alias("drawings"), tables.alias("tables"))
 
 
 def spans(s: SparkSession, d: str) -> DataFrame:
@@ -142,7 +181,56 @@ leaf AS (
     AND a.x0 <= t.x0 + 1 AND a.y0 <= t.y0 + 1 AND a.x1 >= t.x1 - 1 AND a.y1 >= t.y1 - 1))"""
 _BOXES = "bx AS (SELECT doc_id, page_no, slot, CAST(541 - 8 * length(txt) AS DOUBLE) AS x0, CAST(60 + 30 * slot AS DOUBLE) AS y0, CAST(540 AS DOUBLE) AS x1, CAST(72 + 30 * slot AS DOUBLE) AS y1 FROM lines)"
 _WORDS = "list_distinct(list_filter(string_split_regex(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_\\s]|\\p{{Nd}}', '', 'g'), '\\s+'), lambda x: x <> ''))"
-_HEAD = "CASE WHEN doc_id % 2 = 0 THEN 'annual report of the ' || source END"
+_SHOWN = "translate(lower(regexp_replace({0}, '[^\\x20-\\x7e]', ' ', 'g')), '()', '[]')"
+_HEAD = f"CASE WHEN doc_id % 2 = 0 THEN {_SHOWN.format("'annual report of the ' || source")} END"
+_AR = "[\\x{0600}-\\x{06ff}]"
+
+
+def _row(t: str) -> str:
+    """SQL of the text of one row of glyphs, ``t`` as shown: direction, digit runs, blanks, then what cleaning does to these letters."""
+    placed = f"CASE WHEN doc_id % 5 <> 2 THEN translate({t}, '{corpora.LATIN}', '{PLAIN}') WHEN regexp_matches({t}, '[a-z]') THEN {t} ELSE reverse({t}) END"
+    rtl = f"(doc_id % 5 <> 2 OR NOT regexp_matches({t}, '[a-z]'))"
+    turned = f"array_to_string(list_transform(regexp_extract_all({placed}, '[0-9.,/-]+|[^0-9.,/-]+'), lambda x: CASE WHEN {rtl} AND regexp_matches(x, '^[0-9.,/-]') THEN reverse(x) ELSE x END), '')"
+    # a blank before all glyphs still counts for the second one that shows
+    spaced = f"CASE WHEN starts_with({turned}, ' ') THEN CASE WHEN {rtl} THEN regexp_replace(ltrim({turned}), '^([0-9.,/-]+|[^ ])', '\\1 ') ELSE regexp_replace(ltrim({turned}), '^([^ ])', '\\1 ') END ELSE {turned} END"
+    apart = f"regexp_replace(regexp_replace({spaced}, '({_AR})([0-9])', '\\1 \\2', 'g'), '([0-9])({_AR})', '\\1 \\2', 'g')"
+    return f"trim(regexp_replace({apart}, ' +', ' ', 'g'))"
+
+
+_CLIPS = f"""shown AS (SELECT * FROM (SELECT *, {_SHOWN.format('txt')} AS s FROM lines) WHERE trim(s) <> ''),
+p AS (SELECT doc_id, source, page_no, arg_min(s, slot) FILTER (WHERE slot <= 1) AS first, min(slot) FILTER (WHERE slot <= 1) AS opening, max(CASE WHEN slot = 19 THEN s END) AS last, max(slot) AS most FROM shown GROUP BY ALL),
+h AS (SELECT *, {_HEAD} AS head, doc_id % 3 = 1 AS logo, count(*) OVER (PARTITION BY doc_id) AS pages FROM p),
+q AS (SELECT *, CASE WHEN doc_id % 5 = 2 THEN coalesce(head, trim(first)) ELSE translate(coalesce(head, trim(first)), '{corpora.LATIN}', '{PLAIN}') END AS t FROM h),
+r AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY page_no) AS a, lead(t) OVER (PARTITION BY doc_id ORDER BY page_no) AS b FROM q),
+m AS (SELECT *, {_WORDS.format("coalesce(t, '')")} AS wt, {_WORDS.format("coalesce(a, '')")} AS wa, {_WORDS.format("coalesce(b, '')")} AS wb FROM r),
+clips AS (SELECT doc_id, page_no, head, logo, pages, most,
+  CAST(CASE WHEN logo THEN CASE WHEN pages > 1 THEN 20 ELSE 0 END
+    WHEN (head IS NOT NULL OR first IS NOT NULL) AND ((regexp_matches(t, '\\p{{Nd}}') AND NOT regexp_matches(t, '\\p{{L}}'))
+      OR (len(wt) > 0 AND len(wa) > 0 AND (len(list_intersect(wt, wa)) >= 3 OR len(list_intersect(wt, wa)) >= 0.5 * len(wt)))
+      OR (len(wt) > 0 AND len(wb) > 0 AND (len(list_intersect(wt, wb)) >= 3 OR len(list_intersect(wt, wb)) >= 0.5 * len(wt)))) THEN CASE WHEN head IS NOT NULL THEN 37 ELSE 77 + 30 * opening END
+    ELSE 0 END AS DOUBLE) AS top_y,
+  CAST(CASE WHEN doc_id % 3 = 0 THEN 665 WHEN last IS NOT NULL AND regexp_matches(last, '[0-9]') AND NOT regexp_matches(last, '[a-z]') THEN 625 ELSE 700 END AS DOUBLE) AS bottom_y
+FROM m)"""
+_LONE = f"'^{_AR}\\s+([0-9])', '\\1'"
+_PIECES = f"""l0 AS (SELECT s.doc_id, s.page_no, slot, s, CASE WHEN slot % 10 = 4 THEN '9' || slot END AS tip, c.top_y, c.bottom_y, c.most FROM shown s JOIN clips c ON c.doc_id = s.doc_id AND c.page_no = s.page_no WHERE 66 + 30 * slot BETWEEN c.top_y AND c.bottom_y),
+foot AS (SELECT doc_id, page_no, bool_or(tip IS NOT NULL AND regexp_matches(s, '[a-z]') AND length(trim(s)) >= length(tip)) AND any_value(most) >= 17 AS cut FROM l0 GROUP BY ALL),
+page AS (SELECT c.*, CASE WHEN f.cut THEN 566.0::DOUBLE END AS footer_y, CASE WHEN f.cut THEN 565 ELSE c.bottom_y END AS low FROM clips c LEFT JOIN foot f ON f.doc_id = c.doc_id AND f.page_no = c.page_no),
+cell AS (SELECT doc_id, page_no, slot, q, (doc_id + slot - 8 + q) % 4 = 0 AS merged, CASE WHEN trim(v) = '' THEN '' ELSE regexp_replace({_row('v')}, {_LONE}) END AS v
+  FROM (SELECT doc_id, page_no, slot, k AS q, substring(s, 20 * k + 1, 20) AS v FROM shown CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE slot BETWEEN 8 AND 11)),
+fill AS (SELECT *, CASE WHEN merged THEN coalesce(last_value(nullif(CASE WHEN merged THEN NULL ELSE v END, '~') IGNORE NULLS) OVER (PARTITION BY doc_id, page_no, q ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE v END AS u FROM cell),
+used AS (SELECT *, bool_or(u <> '') OVER (PARTITION BY doc_id, page_no, q) AS has, count(*) OVER (PARTITION BY doc_id, page_no) AS many FROM fill),
+trow AS (SELECT doc_id, page_no, slot, string_agg(u, ' | ' ORDER BY CASE WHEN doc_id % 5 = 2 THEN -q ELSE q END) AS line, bool_or(u <> '') AS full_row FROM used WHERE has AND many >= 6 GROUP BY ALL),
+tab AS (SELECT * FROM (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY slot) AS t FROM trow WHERE full_row GROUP BY ALL) WHERE length(regexp_replace(t, '[|\\s]+', '', 'g')) >= 0.5 * (length(t) - length(replace(t, '|', '')))),
+body AS (SELECT l.*, {_row('l.s').replace('doc_id', 'l.doc_id')} AS t, p.low FROM l0 l JOIN page p ON p.doc_id = l.doc_id AND p.page_no = l.page_no LEFT JOIN tab ON tab.doc_id = l.doc_id AND tab.page_no = l.page_no
+  WHERE 66 + 30 * slot <= p.low AND NOT (tab.t IS NOT NULL AND slot BETWEEN 8 AND 11)),
+piece AS (SELECT doc_id, page_no, 'text' AS kind, t AS text, CAST(CASE WHEN doc_id % 5 = 2 THEN 60 ELSE 541 - 8 * length(s) END AS DOUBLE) AS x0, CAST(60 + 30 * slot AS DOUBLE) AS y0, CAST(CASE WHEN doc_id % 5 = 2 THEN 59 + 8 * length(s) ELSE 540 END AS DOUBLE) AS x1, CAST(72 + 30 * slot AS DOUBLE) AS y1
+  FROM body WHERE t <> '' AND NOT (66 + 30 * slot >= low - 0.12::DOUBLE * (low - top_y) AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '\\p{{L}}'))
+  UNION ALL SELECT doc_id, page_no, 'text', {_row('head')}, CAST(CASE WHEN doc_id % 5 = 2 THEN 60 ELSE 541 - 8 * length(head) END AS DOUBLE), 20.0::DOUBLE, CAST(CASE WHEN doc_id % 5 = 2 THEN 59 + 8 * length(head) ELSE 540 END AS DOUBLE), 32.0::DOUBLE FROM page WHERE head IS NOT NULL AND top_y <= 26
+  UNION ALL SELECT doc_id, page_no, 'table', t, 0.0::DOUBLE, 298.0::DOUBLE, 600.0::DOUBLE, 404.0::DOUBLE FROM tab),
+raw AS (SELECT doc_id, page_no, string_agg(x, chr(10) ORDER BY y) AS x FROM (SELECT doc_id, page_no, slot AS y, s || coalesce(tip, '') AS x FROM l0 UNION ALL SELECT doc_id, page_no, -1, head FROM clips WHERE head IS NOT NULL AND top_y <= 26) WHERE NOT (regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '[a-z]')) GROUP BY ALL),
+empties AS (SELECT p.doc_id, p.page_no, p.footer_y, p.logo, p.pages, p.logo AND length(trim(coalesce(raw.x, ''), ' ' || chr(10))) < 30 AS is_empty FROM page p LEFT JOIN raw ON raw.doc_id = p.doc_id AND raw.page_no = p.page_no),
+pages AS (SELECT e.doc_id, e.page_no, e.is_empty, e.logo AND e.pages = 1 AND NOT e.is_empty AS is_mixed, e.footer_y, coalesce(x.text, '') AS text FROM empties e
+  LEFT JOIN (SELECT doc_id, page_no, string_agg(text, chr(10) || chr(10) ORDER BY y0) AS text FROM piece GROUP BY ALL) x ON x.doc_id = e.doc_id AND x.page_no = e.page_no)"""
 _SC = "list_filter(list_transform(regexp_extract_all({0}, '[" + T.BLOCKS + "]{{2,}}'), lambda x: trim(x, '" + T.STRIP.replace("'", "''").replace("{", "{{").replace("}", "}}") + "')), lambda x: length(x) >= 4)"
 _ODD = "len(list_filter({0}, lambda x: substring(x, 1, 1) IN ('ة', 'ى')))"
 
@@ -154,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "layout_row_text": f"""{w},
 g AS (SELECT doc_id, page_no, slot, k, substring(txt, k + 1, 1) AS c FROM (SELECT *, unnest(range(length(txt))) AS k FROM lines)),
 b AS (SELECT *, sum(CASE WHEN trim(c) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, slot ORDER BY k) AS blanks FROM g),
-p AS (SELECT *, lag(blanks) OVER w AS before, lag(k) OVER w AS last FROM b WHERE trim(c) <> '' WINDOW w AS (PARTITION BY doc_id, page_no, slot ORDER BY k))
+p AS (SELECT *, CASE WHEN row_number() OVER w = 2 THEN 0 ELSE lag(blanks) OVER w END AS before, lag(k) OVER w AS last FROM b WHERE trim(c) <> '' WINDOW w AS (PARTITION BY doc_id, page_no, slot ORDER BY k))
 SELECT doc_id, page_no, slot, string_agg(CASE WHEN (k - last) * 8 - 7 > 4.2 OR (blanks > before AND (k - last) * 8 - 7 > 0.5) THEN ' ' ELSE '' END || c, '' ORDER BY k) AS text
 FROM p GROUP BY ALL""",
         "layout_body_size": f"{w} SELECT doc_id, page_no, median(size) AS body_size FROM (SELECT doc_id, page_no, CASE WHEN slot >= 17 THEN 8.0::DOUBLE ELSE 12.0::DOUBLE END AS size, unnest(range(length(txt))) FROM lines) GROUP BY ALL",
@@ -180,20 +268,14 @@ a AS (SELECT *, bool_or(t <> '') OVER (PARTITION BY doc_id, page_no, k) AS used,
 l AS (SELECT doc_id, page_no, r, string_agg(t, ' | ' ORDER BY k) AS line, bool_or(t <> '') AS shown FROM a WHERE used AND height >= 2 GROUP BY ALL),
 x AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY r) AS text FROM l WHERE shown GROUP BY ALL)
 SELECT doc_id, page_no, 0 AS table_id, text FROM x WHERE length(regexp_replace(text, '[|\\s]+', '', 'g')) >= 0.5 * (length(text) - length(replace(text, '|', '')))""",
-        "layout_clips": f"""{w}, p AS (SELECT doc_id, source, page_no, max(CASE WHEN slot = 0 THEN txt END) AS first, count(*) AS n FROM lines GROUP BY ALL),
-h AS (SELECT *, {_HEAD} AS head, doc_id % 3 = 1 AS logo, count(*) OVER (PARTITION BY doc_id) AS pages FROM p),
-q AS (SELECT *, translate(lower(coalesce(head, trim(first))), '{corpora.LATIN}', '{corpora.RTL}') AS t FROM h),
-r AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY page_no) AS a, lead(t) OVER (PARTITION BY doc_id ORDER BY page_no) AS b FROM q),
-m AS (SELECT *, {_WORDS.format('t')} AS wt, {_WORDS.format("coalesce(a, '')")} AS wa, {_WORDS.format("coalesce(b, '')")} AS wb FROM r)
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, page_no,
-  CAST(CASE WHEN logo THEN CASE WHEN pages > 1 THEN 20 ELSE 0 END
-    WHEN (head IS NOT NULL OR first IS NOT NULL) AND ((regexp_matches(t, '\\p{{Nd}}') AND NOT regexp_matches(t, '\\p{{L}}'))
-      OR (len(wt) > 0 AND len(wa) > 0 AND (len(list_intersect(wt, wa)) >= 3 OR len(list_intersect(wt, wa)) >= 0.5 * len(wt)))
-      OR (len(wt) > 0 AND len(wb) > 0 AND (len(list_intersect(wt, wb)) >= 3 OR len(list_intersect(wt, wb)) >= 0.5 * len(wt)))) THEN CASE WHEN head IS NOT NULL THEN 37 ELSE 77 END
-    ELSE 0 END AS DOUBLE) AS top_y,
-  CAST(CASE WHEN doc_id % 3 = 0 THEN 665 WHEN n = 20 AND EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = m.doc_id AND l.page_no = m.page_no AND l.slot = 19
-    AND regexp_matches(l.txt, '\\p{{Nd}}') AND NOT regexp_matches(l.txt, '\\p{{L}}')) THEN 625 ELSE 700 END AS DOUBLE) AS bottom_y
-FROM m""",
+        "layout_clips": f"""{w}, {_CLIPS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page_no, top_y, bottom_y FROM clips""",
+        "extract_pages": f"""{w}, {_CLIPS}, {_PIECES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page_no, text, is_empty, is_mixed, false AS used_ocr, footer_y FROM pages""",
+        "extract_items": f"""{w}, {_CLIPS}, {_PIECES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0) AS INTEGER) AS nth, kind, x0, y0, x1, y1 FROM piece""",
+        "extract_documents": f"""{w}, {_CLIPS}, {_PIECES}, result AS (SELECT *, text = '' AS blank FROM pages)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE NOT blank), '') AS text, count(*) AS pages_total, count(*) FILTER (WHERE NOT blank) AS pages_with_text,
+  coalesce(list(page_no ORDER BY page_no) FILTER (WHERE blank AND NOT is_mixed), []) AS empty_pages, coalesce(list(page_no ORDER BY page_no) FILTER (WHERE is_mixed), []) AS mixed_pages,
+  coalesce(list(CASE WHEN is_mixed THEN 'mixed_page:' ELSE 'empty_page:' END || page_no ORDER BY page_no) FILTER (WHERE is_mixed OR blank), []) AS warnings
+FROM result GROUP BY doc_id""",
         "layout_line_tests": f"""{w}, l AS (SELECT *, coalesce(lead(txt) OVER (PARTITION BY doc_id ORDER BY idx), '') AS nxt,
   CASE idx % 11 WHEN 0 THEN '- ' || idx || ' -' WHEN 1 THEN (idx % 13) || ' - ' || txt ELSE txt END AS t FROM lines),
 m AS (SELECT *, {_WORDS.format('txt')} AS a, {_WORDS.format('nxt')} AS b, regexp_replace(t, '\\s+', '', 'g') AS c FROM l)

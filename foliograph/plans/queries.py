@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import audit
-from . import audit_sql, corpora, layout
+from . import audit_sql, cleaning, corpora, layout
 
 
 def _audit(s: SparkSession, d: str) -> DataFrame:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_flagged": lambda s, d: audit.flagged(_audit(s, d)),
         "audit_examples": lambda s, d: audit.examples(_audit(s, d)),
         **layout.queries(),
+        "clean_rules": cleaning.repaired,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**audit_sql.SQL, **layout.oracle_sql()}
+    return {**audit_sql.SQL, **layout.oracle_sql(), "clean_rules": cleaning.SQL}
