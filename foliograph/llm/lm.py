@@ -160,29 +160,32 @@ def pairs(texts: list[bytes], code: Code, orders: tuple[int, ...]) -> tuple[np.n
     where = np.arange(size.sum()) + gap * (np.repeat(np.arange(len(texts)), size) + 1)
     sym[where] = code.rank[np.frombuffer(b"".join(texts), np.uint8)]
     low = U64(len(sym).bit_length())
+    line = np.arange(len(sym), dtype=U64)
     before, ids, out = np.zeros(len(sym), np.int64), np.zeros(1, U64), []
     for k in range(gap + 1):
         pair = before << BITS
         pair |= sym
-        if len(ids) << BITS <= 1 << 23:
-            there = np.zeros(len(ids) << BITS, bool)
-            there[pair] = True
-            found = np.flatnonzero(there)
-            at = (np.cumsum(there, dtype=np.int32) - 1).take(pair)
+        if len(ids) << BITS <= 1 << 21:
+            many = np.bincount(pair, minlength=len(ids) << BITS)
+            found = np.flatnonzero(many)
+            at = (np.cumsum(many > 0, dtype=np.int32) - 1).take(pair)
+            many = many[found]
         else:
-            both = pair.astype(U64)
+            both = pair.view(U64)
             both <<= low
-            both |= np.arange(len(sym), dtype=U64)
+            both |= line
             both.sort()
             place = (both & ((U64(1) << low) - U64(1))).view(np.int64)
             both >>= low
             new = np.append(True, both[1:] != both[:-1])
-            found = both[new].view(np.int64)
+            head = np.flatnonzero(new)
+            found, many = both[head].view(np.int64), np.diff(head, append=len(both))
             at = np.empty(len(sym), np.int32)
             at[place] = np.cumsum(new, dtype=np.int32) - 1
         ids = (ids[found >> BITS] << U64(BITS)) | (found & ((1 << BITS) - 1)).astype(U64)
         if k in orders:
-            out.append(Pairs(ids, np.bincount(at[where], minlength=len(ids)), at))
+            many[found & ((1 << BITS) - 1) == 0] = 0
+            out.append(Pairs(ids, many, at))
         before = np.append(np.int64(0), at[:-1])
     return where, out
 
@@ -256,6 +259,12 @@ def answers(messages: list[bytes], code: Code, prior: float) -> list[bytes]:
     return [flat[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]
 
 
+def spread(odds: np.ndarray, code: Code) -> np.ndarray:
+    """The log-odds from each place on, as many as the longest code has (``odds`` ends with so many that nothing begins at)."""
+    width = code.bit.shape[1]
+    return np.ndarray(len(odds) - width + 1, f"V{width}", odds, strides=(1,))
+
+
 def steps(longest: int, block: int) -> np.ndarray:
     """Where the steps of a text begin: every ``block`` bytes, or after a 64th of the text when that is more."""
     out, t = [], 0
@@ -282,13 +291,13 @@ def mixed(size: np.ndarray, first: np.ndarray, raw: np.ndarray, starts: list[np.
     turn = np.argsort((step * (orders + 1) + gate).astype(np.uint16 if len(begin) * (orders + 1) < 1 << 16 else np.int64), kind="stable")
     place, lane, step, gate = place[turn], lane[turn], step[turn], gate[turn]
     many = code.length[raw[place]]
-    # one entry for each decision
-    depth = np.arange(many.sum(), dtype=np.int32) - np.repeat((np.cumsum(many) - many).astype(np.int32), many)
-    x = np.empty((orders, len(depth)), np.int8)
+    # one entry for each decision: those of a byte stand together, in rows of the width of the longest code and then without what is beyond its own
+    own = np.flatnonzero(np.arange(code.bit.shape[1]) < many[:, None])
+    x = np.empty((orders, len(own)), np.int8)
     for k in range(orders):
-        np.take(odds[k], np.repeat(starts[k][place], many) + depth, out=x[k], mode="clip")
-    sign = (code.bit * np.int8(2) - np.int8(1)).ravel()[np.repeat(raw[place].astype(np.int32) * code.bit.shape[1], many) + depth]
-    depth = None
+        x[k] = spread(odds[k], code)[starts[k][place]].view(np.int8).take(own)
+    sign = (code.bit * np.int8(2) - np.int8(1)).take(raw[place], 0).ravel().take(own)
+    own = None
     # bytes of one text at one gate of a step stand together
     edge = np.flatnonzero(np.append(True, (lane[1:] != lane[:-1]) | (gate[1:] != gate[:-1]) | (step[1:] != step[:-1])))
     head = (np.cumsum(many) - many)[edge]
@@ -348,7 +357,7 @@ def block_bits(texts: list[bytes], got: dict[tuple[int, int], bytes], parts: lis
         rank = (f.key & U64((1 << BITS) - 1)).astype(np.int64)
         length = np.where(f.count > 0, code.length[byte[rank]], 0)
         start = np.cumsum(length) - length
-        flat = np.zeros(int(length.sum()) + 1, np.int8)
+        flat = np.zeros(int(length.sum()) + code.bit.shape[1], np.int8)
         part = parts_of(f.key, parts[k])
         for i in np.unique(part[f.count > 0]):
             own = np.flatnonzero((part == i) & (f.count > 0))
