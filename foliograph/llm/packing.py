@@ -6,7 +6,7 @@ all nodes by some values of their signatures: in each order a node meets the
 ``near`` nodes on either side, so similar nodes, which share first values, meet,
 whatever the number of nodes and however many share a value.  Of the candidates
 that agree in ``least`` of the signature's bytes, the ``shortlist`` best of each
-node are scored by the Jaccard similarity of their ``features`` least-hashed
+node (those below ``sure`` only among its ``neighbours`` best) are scored by the Jaccard similarity of their ``features`` least-hashed
 token pairs (exact for texts of fewer), and the ``neighbours`` best of those
 are its edges.  Recall is measured against brute force, see the README.
 
@@ -47,7 +47,8 @@ class Params:
     perms: int = 32  #: each gives two values of a signature
     trees: int = 24
     near: int = 96
-    least: int = 7
+    least: int = 6
+    sure: int = 7
     features: int = 96
     shortlist: int = 32
     neighbours: int = 8
@@ -157,14 +158,14 @@ def meetings(nodes: DataFrame, p: Params) -> DataFrame:
                 if len(a):
                     best = np.lexsort((a ^ z, -m, a))
                     a, z, m = a[best], z[best], m[best]
-                    top = np.arange(len(a)) - np.searchsorted(a, a) < p.shortlist
+                    top = np.arange(len(a)) - np.searchsorted(a, a) < np.where(m < p.sure, p.neighbours, p.shortlist)
                     yield arrays(edge_schema, a[top], z[top], m[top].astype(np.int32))
                 held = [x[-p.near :] for x in now]
 
     tree = nodes.mapInArrow(orders, "tree int, k long, node long, sig binary")
     met = tree.repartitionByRange("tree", "k", "node").sortWithinPartitions("tree", "k", "node").mapInArrow(meet, "a long, b long, m int")
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"), mark("a", "b")))
-    return met.repartition("a").groupBy("a", "b").agg(F.max("m").alias("m")).withColumn("nth", nth).filter(F.col("nth") <= p.shortlist).select("a", "b", "m")
+    return met.repartition("a").groupBy("a", "b").agg(F.max("m").alias("m")).withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("m") < p.sure, p.neighbours).otherwise(p.shortlist)).select("a", "b", "m")
 
 
 def overlaps(own: np.ndarray, many: np.ndarray, other: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
