@@ -142,17 +142,19 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
 @dataclass
 class Pairs:
-    """The (context, byte) pairs of a block's texts at one order: sorted keys, counts, and the pair of each symbol."""
+    """The (context, byte) pairs of a block's texts at one order: sorted keys, the rank of each one's byte, counts, and the pair of each symbol."""
 
     key: np.ndarray
-    count: np.ndarray
+    rank: np.ndarray
+    count: np.ndarray | None
     at: np.ndarray
 
 
-def pairs(texts: list[bytes], code: Code, orders: tuple[int, ...]) -> tuple[np.ndarray, list[Pairs]]:
-    """Places of the texts' bytes among the symbols, and the pairs of each order (those with no byte, before a text, left out of the counts).
+def pairs(texts: list[bytes], code: Code, orders: tuple[int, ...], counted: bool = True, room: int = 4) -> tuple[np.ndarray, list[Pairs]]:
+    """Places of the texts' bytes among the symbols, and the pairs of each order (those with no byte, before a text, have rank 0 and no counts).
 
-    The context of order k at a symbol is the pair of order k-1 at the one before.
+    The context of order k at a symbol is the pair of order k-1 at the one before.  Pairs are numbered
+    through a table of all that contexts and ranks could form, or by sorting where that has more than ``room`` places a symbol.
     """
     gap = max(orders)
     size = np.array([len(t) for t in texts], np.int64)
@@ -160,33 +162,38 @@ def pairs(texts: list[bytes], code: Code, orders: tuple[int, ...]) -> tuple[np.n
     where = np.arange(size.sum()) + gap * (np.repeat(np.arange(len(texts)), size) + 1)
     sym[where] = code.rank[np.frombuffer(b"".join(texts), np.uint8)]
     low = U64(len(sym).bit_length())
-    line = np.arange(len(sym), dtype=U64)
-    before, ids, out = np.zeros(len(sym), np.int64), np.zeros(1, U64), []
+    ranks = int(code.rank.max()) + 1
+    pair, ids, out = np.zeros(len(sym), np.int64), np.zeros(1, U64), []
     for k in range(gap + 1):
-        pair = before << BITS
-        pair |= sym
-        if len(ids) << BITS <= 1 << 21:
-            many = np.bincount(pair, minlength=len(ids) << BITS)
-            found = np.flatnonzero(many)
-            at = (np.cumsum(many > 0, dtype=np.int32) - 1).take(pair)
-            many = many[found]
+        pair *= ranks
+        pair += sym
+        if len(ids) * ranks <= room * len(sym):
+            seen = np.zeros(len(ids) * ranks, bool)
+            seen[pair] = True
+            found = np.flatnonzero(seen)
+            number = np.empty(len(seen), np.int32)
+            number[found] = np.arange(len(found), dtype=np.int32)
+            at = number.take(pair)
+            seen = number = None
         else:
             both = pair.view(U64)
             both <<= low
-            both |= line
+            both |= np.arange(len(sym), dtype=U64)
             both.sort()
             place = (both & ((U64(1) << low) - U64(1))).view(np.int64)
             both >>= low
             new = np.append(True, both[1:] != both[:-1])
-            head = np.flatnonzero(new)
-            found, many = both[head].view(np.int64), np.diff(head, append=len(both))
+            found = both[new].view(np.int64)
             at = np.empty(len(sym), np.int32)
             at[place] = np.cumsum(new, dtype=np.int32) - 1
-        ids = (ids[found >> BITS] << U64(BITS)) | (found & ((1 << BITS) - 1)).astype(U64)
+        context = found // ranks
+        rank = found - context * ranks
+        ids = (ids[context] << U64(BITS)) | rank.astype(U64)
         if k in orders:
-            many[found & ((1 << BITS) - 1) == 0] = 0
-            out.append(Pairs(ids, many, at))
-        before = np.append(np.int64(0), at[:-1])
+            many = np.bincount(at, minlength=len(found)) * (rank > 0) if counted else None
+            out.append(Pairs(ids, rank, many, at))
+        pair[0] = 0
+        pair[1:] = at[:-1]
     return where, out
 
 
@@ -259,12 +266,6 @@ def answers(messages: list[bytes], code: Code, prior: float) -> list[bytes]:
     return [flat[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]
 
 
-def spread(odds: np.ndarray, code: Code) -> np.ndarray:
-    """The log-odds from each place on, as many as the longest code has (``odds`` ends with so many that nothing begins at)."""
-    width = code.bit.shape[1]
-    return np.ndarray(len(odds) - width + 1, f"V{width}", odds, strides=(1,))
-
-
 def steps(longest: int, block: int) -> np.ndarray:
     """Where the steps of a text begin: every ``block`` bytes, or after a 64th of the text when that is more."""
     out, t = [], 0
@@ -274,105 +275,169 @@ def steps(longest: int, block: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def mixed(size: np.ndarray, first: np.ndarray, raw: np.ndarray, starts: list[np.ndarray], odds: list[np.ndarray], code: Code, p: Params) -> np.ndarray:
-    """Bits of some texts (their sizes and places in ``raw``): ``starts`` gives for each byte where its log-odds begin in ``odds``."""
-    lanes, orders = len(size), len(odds)
-    if not size.any():
+@dataclass
+class Decisions:
+    """What is decided for each pair of the highest order, which fixes those of the lower ones.
+
+    ``row`` has, for each decision of each pair, the log-odds of all orders and 1, all negated where the bit is 0; a pair's rows are
+    ``length`` from ``start`` on.  ``gate`` counts the orders that have something to say at its first decision.
+    """
+
+    start: np.ndarray
+    length: np.ndarray
+    gate: np.ndarray
+    row: np.ndarray
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places from each start on, ``length`` of them, one range after the other."""
+    ends = np.cumsum(length)
+    out = np.repeat(start - ends + length, length)
+    out += np.arange(len(out))
+    return out
+
+
+def decisions(found: list[Pairs], got: dict[tuple[int, int], bytes], parts: list[int], code: Code, some: int = 1 << 18) -> Decisions:
+    """The decisions of a block's pairs, with the answers to it by order and hash range; ``some`` pairs are laid out at a time."""
+    byte = np.zeros(257, np.int64)
+    byte[code.rank] = np.arange(256)
+    lengths = np.append(0, code.length[byte[1:]]).astype(np.int64)
+    lengths[1 + code.rank.max() :] = 0
+    top = found[-1]
+    length = lengths[top.rank]
+    symbol = np.empty(len(top.key), np.int64)
+    symbol[top.at] = np.arange(len(top.at))
+    start = np.cumsum(length) - length
+    row = np.empty((int(length.sum()), len(found) + 1), np.int8)
+    gate = np.zeros(len(length), np.int64)
+    slices = [slice(i, i + some) for i in range(0, len(length), some)]
+    for k, f in enumerate(found):
+        own = lengths[f.rank]
+        begin = np.cumsum(own) - own
+        odds = np.zeros(int(own.sum()), np.int8)
+        part = np.where(f.rank > 0, parts_of(f.key, parts[k]), -1)
+        for i in range(parts[k]):
+            if (k, i) in got:
+                asked = np.flatnonzero(part == i)
+                odds[ranges(begin[asked], own[asked])] = np.frombuffer(got[k, i], np.int8)
+        begin = begin[f.at[symbol]]
+        has = np.flatnonzero(length)
+        gate[has] += odds[begin[has]] != 0
+        for c in slices:
+            if length[c].any():
+                row[start[c][0] : start[c][-1] + length[c][-1], k] = odds[ranges(begin[c], length[c])]
+    sign, width = (code.bit * np.int8(2) - np.int8(1)).ravel(), code.bit.shape[1]
+    for c in slices:
+        if length[c].any():
+            own = row[start[c][0] : start[c][-1] + length[c][-1]]
+            own[:, -1] = sign[ranges(byte[top.rank[c]] * width, length[c])]
+            own[:, :-1] *= own[:, -1:]
+    return Decisions(start, length, gate, row)
+
+
+def mixed(size: np.ndarray, pair: np.ndarray, d: Decisions, p: Params) -> np.ndarray:
+    """Bits of some texts: their sizes, and the pairs of their bytes, one text after the other."""
+    lanes, orders = len(size), d.row.shape[1] - 1
+    if not len(pair) or not d.length[pair[0]]:  # no bytes, or only one kind of byte in the corpus
         return np.zeros(lanes)
     order = np.argsort(-size, kind="stable")
     long = size[order]
     lane = np.repeat(np.arange(lanes, dtype=np.int32), long)
-    local = np.arange(len(lane)) - np.repeat(np.cumsum(long) - long, long)
-    begin = steps(int(long.max(initial=0)), p.block)
-    step = np.searchsorted(begin, local, side="right") - 1
-    place = first[order][lane] + local
-    # bytes by step, gate and text; the gate counts the predictors that have something to say at the first decision
-    gate = sum((odds[k][starts[k][place]] != 0).astype(np.int64) for k in range(orders))
-    turn = np.argsort((step * (orders + 1) + gate).astype(np.uint16 if len(begin) * (orders + 1) < 1 << 16 else np.int64), kind="stable")
-    place, lane, step, gate = place[turn], lane[turn], step[turn], gate[turn]
-    many = code.length[raw[place]]
-    # one entry for each decision: those of a byte stand together, in rows of the width of the longest code and then without what is beyond its own
-    own = np.flatnonzero(np.arange(code.bit.shape[1]) < many[:, None])
-    x = np.empty((orders, len(own)), np.int8)
-    for k in range(orders):
-        x[k] = spread(odds[k], code)[starts[k][place]].view(np.int8).take(own)
-    sign = (code.bit * np.int8(2) - np.int8(1)).take(raw[place], 0).ravel().take(own)
-    own = None
-    # bytes of one text at one gate of a step stand together
-    edge = np.flatnonzero(np.append(True, (lane[1:] != lane[:-1]) | (gate[1:] != gate[:-1]) | (step[1:] != step[:-1])))
-    head = (np.cumsum(many) - many)[edge]
-    size_of = np.diff(np.append(head, many.sum()))
-    edge, head, size_of = edge[size_of > 0], head[size_of > 0], size_of[size_of > 0]
-    who, row = lane[edge].astype(np.int64), gate[edge] * lanes + lane[edge]
-    cut = np.searchsorted(step[edge], np.arange(len(begin) + 1))
-    ends = np.append(head, len(sign))[cut]
-    w = np.full((orders, (orders + 1) * lanes), p.weight / 16, np.float32)
-    grid = np.linspace(-8, 8, p.cells).astype(np.float32)
-    refined = np.repeat(grid[:, None], lanes, 1).ravel()  # refined[cell * lanes + lane]
-    slope = np.zeros(len(refined), np.float32)
-    slope[:-lanes] = refined[lanes:] - refined[:-lanes]
+    local = ranges(np.zeros(lanes, np.int64), long)
+    begin = steps(int(long[0]), p.block)
+    width = np.diff(begin, append=long[0])
+    gates = orders + 1
+    turn = np.repeat(np.arange(0, len(begin) * gates, gates, dtype=np.uint16 if len(begin) * gates < 1 << 16 else np.int64), width)[local]
+    pair = pair[ranges((np.cumsum(size) - size)[order], long)]
+    local = None
+    # bytes by step, gate and text
+    turn += d.gate.astype(turn.dtype)[pair]
+    by = np.argsort(turn, kind="stable")
+    pair, lane, turn = pair[by], lane[by], turn[by]
+    by = None
+    edge = np.flatnonzero(np.append(True, (lane[1:] != lane[:-1]) | (turn[1:] != turn[:-1])))
+    many = d.length[pair]
+    ends = np.cumsum(many)
+    base = d.start[pair] - ends + many
+    head = (ends - many)[edge]
+    size_of = np.diff(head, append=ends[-1])
+    step, gate = np.divmod(turn[edge].astype(np.int64), gates)
+    who, row = lane[edge].astype(np.int64), gate * lanes + lane[edge]
+    cut = np.searchsorted(step, np.arange(len(begin) + 1))
+    edge, head = np.append(edge, len(pair)), np.append(head, ends[-1])
+    pair = lane = turn = ends = None
+    # texts are ordered by size, so those that a step has are the first ones
+    live = np.searchsorted(-long, -begin)
+    rates = (p.rate / 16 * p.block / np.maximum(p.block, np.append(width[:-1], p.block))).astype(np.float32) / 16
+    table = d.row.view(f"V{gates}").ravel()
+    line = np.arange(int(np.diff(head[cut]).max()))
+    w = np.full((orders, gates * lanes), p.weight / 16, np.float32)
+    refined = np.tile(np.linspace(-8, 8, p.cells).astype(np.float32), lanes)  # refined[lane * cells + cell]
+    slope = np.append(np.diff(refined), np.float32(0))
     scale = np.float32((p.cells - 1) / 16)
     bits = np.zeros(lanes)
-    for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])):
-        if a == z:
-            continue
-        at, rows, counts = head[cut[i] : cut[i + 1]] - a, row[cut[i] : cut[i + 1]], size_of[cut[i] : cut[i + 1]]
-        s = sign[a:z].astype(np.float32)
-        now = x[:, a:z].astype(np.float32)
-        y = now[0] * np.repeat(w[0][rows], counts)
-        for k in range(1, orders):
-            y += now[k] * np.repeat(w[k][rows], counts)
-        np.clip(y, -7.99, 7.99, out=y)
-        part = (y + 8) * scale
-        cell = part.astype(np.int64)
-        part -= cell.astype(np.float32)
-        cell *= lanes
-        cell += np.repeat(who[cut[i] : cut[i + 1]], counts)
-        r = refined[cell]
-        r += part * (slope[cell])
-        # the sign is 1 or -1: exp(-sign * z) serves either
-        cost = np.add.reduceat(np.log(1 + np.exp(np.float32(-0.5) * s * (y + r))), at)
-        bits += np.bincount(who[cut[i] : cut[i + 1]], cost, lanes) * 1.4426950408889634
-        err = s / (1 + np.exp(s * y))
-        rate = np.float32(p.rate / 16 * p.block / max(p.block, begin[i + 1] - begin[i] if i + 1 < len(begin) else p.block)) / 16
-        for k in range(orders):
-            w[k][rows] += rate * np.add.reduceat(err * now[k], at)
-        cell += (part >= 0.5) * np.int64(lanes)
-        fix, hits = np.bincount(cell, s / (1 + np.exp(s * r)), len(refined)), np.bincount(cell, minlength=len(refined))
-        refined += (fix / (hits + 6)).astype(np.float32)
-        slope[:-lanes] = refined[lanes:] - refined[:-lanes]
+    for i, (c, e) in enumerate(zip(cut[:-1], cut[1:])):
+        a, z = head[c], head[e]
+        at, rows, counts, own = head[c:e] - a, row[c:e], size_of[c:e], slice(edge[c], edge[e])
+        # the rows of the decisions of a byte stand together; they are signed, as is y but for the refinement's cell
+        from_ = np.repeat(base[own] + a, many[own])
+        from_ += line[: z - a]
+        x = np.empty((gates, z - a), np.float32)
+        x[:] = np.ascontiguousarray(table.take(from_).view(np.int8).reshape(-1, gates).T)
+        x, s = x[:-1], x[-1]
+        weights = w.take(rows, 1)
+        y = np.repeat(weights, counts, 1)
+        y *= x
+        y = np.add.reduce(y, 0)
+        np.clip(y, np.float32(-7.99), np.float32(7.99), out=y)
+        part = y * s
+        part += np.float32(8)
+        part *= scale
+        floor = np.floor(part)
+        part -= floor
+        cell = np.repeat(who[c:e] * p.cells, counts)
+        cell += floor.astype(np.int32)
+        r = slope.take(cell)
+        r *= part
+        r += refined.take(cell)
+        r *= s
+        np.exp(y, out=y)
+        np.exp(r, out=r)
+        # the two are averaged as log-odds
+        cost = y * r
+        np.sqrt(cost, out=cost)
+        np.reciprocal(cost, out=cost)
+        cost += np.float32(1)
+        np.log(cost, out=cost)
+        bits[: live[i]] += np.bincount(who[c:e], np.add.reduceat(cost, at), live[i])
+        y += np.float32(1)
+        x /= y
+        w[:, rows] = weights + rates[i] * np.add.reduceat(x, at, 1)
+        cell += part >= np.float32(0.5)
+        r += np.float32(1)
+        s /= r
+        n = int(live[i]) * p.cells
+        fix = np.bincount(cell, s, n)
+        fix /= np.bincount(cell, minlength=n) + 6
+        refined[:n] += fix
+        np.subtract(refined[1:n], refined[: n - 1], out=slope[: n - 1])
     out = np.zeros(lanes)
-    out[order] = bits
+    out[order] = bits * 1.4426950408889634
     return out
 
 
 def block_bits(texts: list[bytes], got: dict[tuple[int, int], bytes], parts: list[int], code: Code, p: Params) -> np.ndarray:
     """Bits of each text of a block, with the answers to it by order and hash range."""
-    where, found = pairs(texts, code, p.orders)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    byte = np.zeros(257, np.int64)
-    byte[code.rank] = np.arange(256)
-    starts, odds = [], []
-    for k, f in enumerate(found):
-        rank = (f.key & U64((1 << BITS) - 1)).astype(np.int64)
-        length = np.where(f.count > 0, code.length[byte[rank]], 0)
-        start = np.cumsum(length) - length
-        flat = np.zeros(int(length.sum()) + code.bit.shape[1], np.int8)
-        part = parts_of(f.key, parts[k])
-        for i in np.unique(part[f.count > 0]):
-            own = np.flatnonzero((part == i) & (f.count > 0))
-            if (k, int(i)) in got:
-                n = length[own]
-                flat[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.frombuffer(got[k, int(i)], np.int8)
-        starts.append(start.astype(np.int32)[f.at[where]])
-        odds.append(flat)
-    found = None
+    where, found = pairs(texts, code, p.orders, counted=False)
+    told = decisions(found, got, parts, code)
+    pair = found[-1].at[where]
+    where = found = None
     size = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(size) - size
     bits = np.zeros(len(texts))
     group = first // p.slice_bytes
     for a, z in zip(*(np.searchsorted(group, np.unique(group), side=s) for s in ("left", "right"))):
-        bits[a:z] = mixed(size[a:z], first[a:z], raw, starts, odds, code, p)
+        bits[a:z] = mixed(size[a:z], pair[first[a] : first[z - 1] + size[z - 1]], told, p)
     return bits
 
 

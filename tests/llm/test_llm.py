@@ -699,6 +699,38 @@ def test_messages_round_trip():
     assert (k == key).all() and c[250] == 2 * count[250] and c[0] == count[0]
 
 
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_pairs_by_sort_and_by_table(room):
+    rng = random.Random(7)
+    texts = [words(rng, EN, 30).encode(), b"", b"aaaa", bytes(range(256)), words(rng, EN, 9).encode()]
+    code = lm.huffman(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    where, found = lm.pairs(texts, code, (0, 1, 3), room=room)
+    assert len(where) == sum(map(len, texts))
+    for n, f in zip((0, 1, 3), found):
+        keys = []
+        for t in texts:
+            r = [0] * n + code.rank[np.frombuffer(t, np.uint8)].tolist()
+            keys += [sum(v << lm.BITS * (n - j) for j, v in enumerate(r[i : i + n + 1])) for i in range(len(t))]
+        assert f.key[f.at[where]].tolist() == keys
+        want = Counter(keys)
+        assert {k: c for k, c in zip(f.key.tolist(), f.count.tolist()) if c} == want
+        assert (np.diff(f.key.astype(np.int64)) > 0).all() and (f.rank == (f.key & np.uint64(511)).astype(int)).all()
+
+
+def test_decisions_are_laid_out_by_pair_not_by_byte():
+    rng = random.Random(8)
+    texts = [words(rng, EN, 400).encode() for _ in range(150)]
+    size = sum(map(len, texts))
+    p = lm.Params()
+    code = lm.huffman(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    tracemalloc.start()
+    bits = lm.block_bits(texts, {}, [1, 1, 1], code, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bits == pytest.approx([sum(code.length[np.frombuffer(t, np.uint8)]) for t in texts], rel=0.2)
+    assert peak < 80 * size, peak / size
+
+
 def slow_bits(text, others, code, p):
     """Bits of one text by loops over its bytes and decisions."""
     counts = [Counter() for _ in p.orders]
