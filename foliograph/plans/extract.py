@@ -14,7 +14,7 @@ one row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -170,16 +170,16 @@ def _page(row: dict) -> tuple:
     return blocks, images, list(row["drawings"] or ()), found
 
 
-def page_result(row: dict, o: Options, ocr: Callable | None) -> dict:
-    """Text, pieces in reading order, and labels of one page."""
+def page_result(row: dict, o: Options, ocr: Callable | None, decoded: tuple | None = None) -> dict:
+    """Text, pieces in reading order, and labels of one page; ``decoded`` are its items, if ``row`` doesn't hold them as columns."""
     from ..functions import footer, page as P, tables
 
     out = {"text": "", "pieces": [], "is_empty": False, "is_mixed": False, "used_ocr": False, "footer_y": None}
     if row["rect"] is None or row["top_y"] is None:
         return out
-    rect = _box(row["rect"])
+    rect = _box(row["rect"]) if decoded is None else row["rect"]
     clip = whole = (rect[0], row["top_y"], rect[2], row["bottom_y"])
-    blocks, images, drawings, found = _page(row)
+    blocks, images, drawings, found = decoded or _page(row)
     empty = P.looks_empty(images, blocks, clip)
     regions = P.image_regions(images, blocks, clip)
     out["is_empty"], out["is_mixed"] = empty, not empty and bool(regions)
@@ -219,7 +219,8 @@ def page_result(row: dict, o: Options, ocr: Callable | None) -> dict:
     return out
 
 
-RESULT = "doc_id string, page_no int, text string, pieces array<struct<kind:string,text:string,x0:double,y0:double,x1:double,y1:double>>, is_empty boolean, is_mixed boolean, used_ocr boolean, footer_y double"
+_PIECES = "pieces array<struct<kind:string,text:string,x0:double,y0:double,x1:double,y1:double>>, "
+RESULT = f"doc_id string, page_no int, text string, {_PIECES}is_empty boolean, is_mixed boolean, used_ocr boolean, footer_y double"
 
 
 def extract_pages(layout: DataFrame, o: Options = Options(), ocr: Callable[[dict, tuple], str] | None = None) -> DataFrame:
@@ -227,10 +228,7 @@ def extract_pages(layout: DataFrame, o: Options = Options(), ocr: Callable[[dict
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    if strategy(o.ocr_strategy) in ("auto", "force") and ocr is None:
-        raise OcrUnavailableError("the OCR strategy needs an engine; give one, or take the strategy 'never'")
-    if o.crop_unit not in ("pct", "px"):
-        raise ValueError(f"crop unit must be pct or px: {o.crop_unit!r}")
+    _checked(o, ocr)
     joined = clipped(layout, o)
     scrambled = F.lit(False)
     if strategy(o.ocr_strategy) == "auto":
@@ -248,6 +246,91 @@ def extract_pages(layout: DataFrame, o: Options = Options(), ocr: Callable[[dict
     return joined.mapInArrow(run, RESULT)
 
 
+# files: a decoder gives all pages of one at once, so nothing is shuffled and no page is ever a row of glyphs
+
+
+def _checked(o: Options, ocr: Callable | None) -> None:
+    if strategy(o.ocr_strategy) in ("auto", "force") and ocr is None:
+        raise OcrUnavailableError("the OCR strategy needs an engine; give one, or take the strategy 'never'")
+    if o.crop_unit not in ("pct", "px"):
+        raise ValueError(f"crop unit must be pct or px: {o.crop_unit!r}")
+
+
+def _with_neighbours(pages):
+    """(page, its margins, those of the pages beside it) in order; two pages at a time are held."""
+    from ..functions.page import Margins
+
+    before, held = [], None
+    for p in pages:
+        m = Margins(p["blocks"], p["images"], p["rect"])
+        if held:
+            yield *held, before + [m]
+            before = [held[1]]
+        held = (p, m)
+    if held:
+        yield *held, before
+
+
+def crop(page: dict, margins, others: list, o: Options) -> tuple[float | None, float | None]:
+    """top_y and bottom_y of a decoded page."""
+    if page["rect"] is None:
+        return None, None
+    _, y0, _, y1 = page["rect"]
+    by = (lambda v: (y1 - y0) * v / 100) if o.crop_unit == "pct" else float
+    top, bottom = y0 + by(o.crop_top), y1 - by(o.crop_bottom)
+    if o.auto_crop_top and (edge := margins.repeats("top", others)) is not None:
+        top = edge + 5
+    if o.auto_crop_bottom and (edge := margins.repeats("bottom", others)) is not None:
+        bottom = edge - 5
+    return float(top), float(bottom)
+
+
+def _map_files(files: DataFrame, decoder: Callable[[dict], Iterable[dict]], schema: str, result: Callable[[dict, float | None, float | None], dict], o: Options) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        out, size = [], 0
+        for b in batches:
+            for row in range(b.num_rows):
+                for p, m, others in _with_neighbours(decoder(b.slice(row, 1).to_pylist()[0])):
+                    out.append({"doc_id": p["doc_id"], "page_no": p["page_no"], **result(p, *crop(p, m, others, o))})
+                    size += 1
+                    if size >= 1000:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return files.mapInArrow(run, schema)
+
+
+def clip_files(files: DataFrame, decoder: Callable[[dict], Iterable[dict]], o: Options = Options()) -> DataFrame:
+    """As :func:`clips`, of the pages that ``decoder(row)`` yields in order for each row of ``files``.
+
+    A decoded page is a dict: doc_id, page_no, rect, and blocks, images,
+    drawings and tables as :mod:`foliograph.functions.page` takes them.
+    """
+    return _map_files(files, decoder, "doc_id string, page_no int, top_y double, bottom_y double", lambda p, top, bottom: {"top_y": top, "bottom_y": bottom}, o)
+
+
+def extract_files(files: DataFrame, decoder: Callable[[dict], Iterable[dict]], o: Options = Options(), ocr: Callable[[dict, tuple], str] | None = None, pieces: bool = True) -> DataFrame:
+    """As :func:`extract_pages`, of the pages that ``decoder(row)`` yields (see :func:`clip_files`); the column of pieces can be left out."""
+    _checked(o, ocr)
+    auto = strategy(o.ocr_strategy) == "auto"
+
+    def result(p: dict, top: float | None, bottom: float | None) -> dict:
+        from ..functions import page as P
+
+        inside = [b for b in p["blocks"] if top <= (b["box"][1] + b["box"][3]) / 2 <= bottom] if auto and top is not None else []
+        scrambled = bool(inside) and P.looks_scrambled("\n".join("".join(map(P.line_text, b["lines"])).strip() for b in inside))
+        return page_result(p | {"top_y": top, "bottom_y": bottom, "scrambled": scrambled}, o, ocr, (p["blocks"], p["images"], p["drawings"], p["tables"]))
+
+    return _map_files(files, decoder, RESULT if pieces else RESULT.replace(_PIECES, ""), result, o)
+
+
 def documents(pages: DataFrame) -> DataFrame:
     """One row for each document: text, page counts and lists, warnings; a page is empty if it has no text and is not mixed."""
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(f"[^{T.SPACE}]")

@@ -1,6 +1,8 @@
 """Glyph rows, reading order, tables, footers, page extraction and documents."""
 
+import os
 import random
+import statistics
 
 import pytest
 
@@ -194,3 +196,36 @@ def test_sources(spark, tmp_path):
     assert rows["A.PDF"].error is None and rows["b.pdf"].error == "broken" and len(rows) == 2
     S.write_page_texts(spark.createDataFrame([("x", 1, "hello")], "doc_id string, page_no int, text string"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "doc_id=x" / "page_id=page_001").exists()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="the driver's tables are not here")
+def test_files_give_the_pages_of_their_layout_without_a_shuffle(spark):
+    """Whole documents decoded at once: the same rows as from nested pages, and no page of glyphs is exchanged."""
+    from foliograph.plans import layout as Q
+
+    never = extract.Options(ocr_strategy="never")
+    key = lambda r: (r.doc_id, r.page_no)
+    nested = spark.createDataFrame(Q.nested(spark, SMALL).collect(), S.PAGE)
+    for files, pages in ((extract.extract_files(Q.files(spark, SMALL), Q.decoded, never), extract.extract_pages(nested, never)), (extract.clip_files(Q.files(spark, SMALL), Q.decoded), extract.clips(nested))):
+        got, want = sorted(files.collect(), key=key), sorted(pages.collect(), key=key)
+        assert got == want and len(got) > 200
+    plan = Q.queries()["extract_pages"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_even_runs_are_read_as_their_glyphs():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice("بتالةى ٠²19.-/aB(\u00a0ً") for _ in range(rng.randint(0, 12)))
+        run = P.Run(text, 533.0 if rng.random() < 0.5 else 60.0, rng.choice([-8, 8, 5, -3, 20]), rng.choice([7.0, 4.0, 0.4]), 100.0, 112.0)
+        assert P.row_text(run) == P.row_text(list(run)), repr(text)
+        box = (rng.uniform(40, 600), rng.choice([0, 107]), rng.uniform(40, 600), 200)
+        own = [g for g in run if box[0] <= (g.x0 + g.x1) / 2 <= box[2] and box[1] <= 106 <= box[3]]
+        assert list(run.inside(*box) or ()) == own
+    for _ in range(300):
+        spans = [{"box": (0, 0, 1, 1), "size": rng.choice([7.0, 8.0, 12.0, 30.0]), "glyphs": P.Run("x" * rng.randint(0, 6), 0, 8, 7, 0, 9)} for _ in range(rng.randint(0, 5))]
+        sizes = [s["size"] for s in spans if s["size"] < 20 for _ in s["glyphs"]]
+        assert P.body_size([{"box": (0, 0, 1, 1), "lines": [{"spans": spans}]}], []) == (statistics.median(sizes) if sizes else 0.0)
