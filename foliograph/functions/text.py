@@ -1,7 +1,7 @@
 """Column functions on right-to-left page text.
 
-Everything is a built-in expression, but for the cleaning chain, which is one
-Arrow UDF.
+Everything is a built-in expression, but for the cleaning chain and the
+detector of scrambled text, which are Arrow UDFs.
 """
 
 from __future__ import annotations
@@ -92,26 +92,16 @@ def long_tokens(text: Column, letters: str = LETTERS) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= 4) & (count_of(t, letters) >= F.greatest(F.lit(2), F.floor(F.lit(0.6) * F.length(t)))))
 
 
-def scrambled_line(text: Column) -> Column:
-    """Some line has three tokens with unlikely starts, or two and a foreign letter."""
-
-    def bad(line: Column) -> Column:
-        foreign = line.rlike(f"[\\p{{L}}&&[^{BLOCKS}\ufb50-\ufdff\ufe70-\ufeff]]")
-        return once(long_tokens(line, BLOCKS), lambda t: (F.size(t) >= 3) & once(F.size(F.filter(t, unlikely_start)), lambda n: (n >= 3) | ((n >= 2) & foreign)))
-
-    return F.exists(lines(text), bad)
-
-
 def looks_scrambled(text: Column) -> Column:
-    """Whether right-to-left text is probably stored backwards."""
+    """Whether right-to-left text is probably stored backwards; an Arrow UDF, which takes the time of one regular expression."""
 
+    @F.pandas_udf("boolean")
+    def scrambled(s: pd.Series) -> pd.Series:
+        from .page import looks_scrambled as one
 
-    def judged(t: Column) -> Column:
-        n, unlikely = F.size(t), _share(t, unlikely_start)
-        whole = ((n >= 10) & (unlikely >= 0.15)) | ((n >= 20) & (unlikely >= 0.10)) | ((n >= 15) & (_share(t, ends_with_reversed_article) >= 0.25) & (_share(t, starts_with_article) <= 0.05))
-        return (n > 0) & (whole | scrambled_line(text))
+        return s.map(lambda v: v is not None and one(v))
 
-    return F.coalesce(once(long_tokens(text, BLOCKS), judged), F.lit(False))
+    return scrambled(text)
 
 
 def is_page_number(text: Column) -> Column:

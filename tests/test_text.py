@@ -110,3 +110,11 @@ def test_passing_over_rules_changes_nothing_and_saves_time():
 def test_cleaning_is_one_step_of_the_plan(sample):
     plan = sample.select(T.clean(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+
+
+def test_scrambled_detector_is_one_step_and_judges_lines(spark):
+    rows = [("ةكتاب ىلعلم ةدرس\nplain", True), ("ةكتاب ىلعلم درست x", True), ("ةكتاب ىلعلم درست 7", False), ("ةكتاب ىلعلم\nةدرس", False), ("؟ةكت ؟ىلع ؟ةدر", False), (" ".join(["كتابلا"] * 15), True), (" ".join(["كتابلا"] * 14), False)]
+    df = spark.createDataFrame(rows, "t string, want boolean").select("t", "want", T.looks_scrambled(F.col("t")).alias("got"))
+    assert all(r.got == r.want == P.looks_scrambled(r.t) for r in df.collect())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
