@@ -6,61 +6,31 @@ row is another page, and other columns are ignored.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as T
+from ..functions import quality as Q
 
 FLAGS = ("full_rtl_reversal", "partial_rtl_corruption", "spaced_letters", "reversed_latin", "mirrored_parens", "swapped_guillemets", "leading_zero_numbers", "long_numeric_runs", "many_double_quotes", "fragmented_lines")
-_W = T.WORD
-
-
-def _distinct(matches: Column, most: int) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(matches)), 1, most)
 
 
 def audit_pages(pages: DataFrame) -> DataFrame:
-    """One row for each page: counts, reversal ratios, flags and offending tokens."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    page = pages.select("path", "doc", text.alias("t"))
-    page = page.withColumns({"words": F.size(T.words(F.col("t"))), "nonempty_lines": F.size(F.filter(T.lines(F.col("t")), lambda x: x.rlike(f"[^{T.SPACE}]"))), "tokens": T.long_tokens(F.col("t"))})
-    t, n = F.col("t"), F.size("tokens")
-    page = page.withColumns(
-        {
-            "words_per_line": F.when(F.col("nonempty_lines") > 0, F.col("words") / F.col("nonempty_lines")).otherwise(F.lit(0.0)),
-            "arabic_letters": T.count_of(t, T.LETTERS),
-            "latin_letters": T.count_of(t, "A-Za-z"),
-            "long_ar_tokens": n,
-            "unlikely": F.size(F.filter("tokens", T.unlikely_start)),
-            "start_al_ratio": T._share(F.col("tokens"), T.starts_with_article),
-            "end_la_ratio": T._share(F.col("tokens"), T.ends_with_reversed_article),
-            "unlikely_start_ratio": T._share(F.col("tokens"), T.unlikely_start),
-        }
-    )
-    end, start, odd = F.col("end_la_ratio"), F.col("start_al_ratio"), F.col("unlikely_start_ratio")
-    full = ((n >= 15) & (end >= 0.25) & (start <= 0.05)) | ((n >= 10) & (odd >= 0.15)) | ((n >= 20) & (odd >= 0.10))
-
-    def suspicious(line: Column) -> Column:
-        bad = F.size(F.filter(T.all_matches(line, "[\u0600-\u06ff]{3,}"), lambda x: (F.length(x) >= 4) & T.unlikely_start(x)))
-        return (bad >= 3) | ((bad >= 2) & line.rlike("[A-Za-z]"))
-
-    reversed_latin = F.array_union(T.all_matches(t, f"(?<![{_W}])[a-z]{{2,}}[A-Z]{{1,2}}(?![{_W}])"), T.all_matches(t, f"(?<![{_W}])[A-Z][a-z]{{2,}}[A-Z]{{1,2}}(?![{_W}])"))
-    quotes = F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))
-    page = page.withColumns(
-        {
-            "full_rtl_reversal": full,
-            "partial_rtl_corruption": ~full & (odd >= 0.03) & (F.col("unlikely") >= 2) & F.exists(T.lines(t), suspicious),
-            "spaced_letters": t.rlike(f"(?:[\u0600-\u06ff][{T.SPACE}]){{4,}}[\u0600-\u06ff]"),
-            "reversed_latin_tokens": _distinct(reversed_latin, 15),
-            "mirrored_parens": t.rlike(f"\\)[{T.SPACE}]*[^{T.SPACE}]{{1,30}}[{T.SPACE}]*\\("),
-            "swapped_guillemets": t.rlike("\u00bb[^\\n]{1,120}\u00ab"),
-            "leading_zero_numbers": _distinct(T.all_matches(t, f"(?<![{_W}])0{{2,}}\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)+(?![{_W}])"), 10),
-            "long_numeric_runs": _distinct(T.all_matches(t, f"(?<![{_W}])[0-9][0-9.,]{{17,}}[0-9](?![{_W}])"), 10),
-            "quote_count": quotes,
-            "many_double_quotes": quotes >= 50,
-            "fragmented_lines": (F.col("words") >= 50) & (F.col("words_per_line") < 4.0),
-        }
-    ).withColumn("reversed_latin", F.size("reversed_latin_tokens") > 0)
-    return page.drop("t", "tokens", "unlikely")
+    """One row for each page: counts, reversal ratios, flags and offending tokens; one Arrow map, in which each text is read by plain searches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = f"path string, doc string, {Q.SCHEMA}"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for b in batches:
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                rows = [Q.page(t) for t in part.column(2).to_pylist()]
+                made = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[2:])]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1).cast(pa.string()), *made], schema=arrow)
+
+    return pages.select("path", "doc", F.coalesce(F.col("text"), F.lit("")).alias("t")).mapInArrow(run, schema)
 
 
 def flag(name: str) -> Column:

@@ -76,3 +76,16 @@ def test_entry_without_the_optional_operators():
         "assert set(e.oracle_sql()) <= set(q)\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_audit_is_one_map_over_the_pages(spark):
+    """Each text goes through one Arrow map; no column expression reads it again and again."""
+    pages = spark.createDataFrame([("p", "d", "١ ٢ ٣ ٤ ٥"), ("q", "d", "a\x1fb\x85c"), ("r", "d", "ةكتاب ىلعلم ةدرسة x " + "كلمات " * 60), ("s", "d", "éabC xabC abCDE 0012,3.4 1.2.3,4.5.6.7.8.9.0.1")], "path string, doc string, text string")
+    df = audit.audit_pages(pages)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan and "RLIKE" not in plan
+    got = {r.path: r for r in df.collect()}
+    assert got["p"].spaced_letters and got["p"].arabic_letters == 0
+    assert (got["q"].words, got["q"].nonempty_lines) == (3, 2)
+    assert got["r"].partial_rtl_corruption and not got["r"].full_rtl_reversal and got["r"].long_ar_tokens == 63
+    assert got["s"].reversed_latin_tokens == ["xabC"] and got["s"].leading_zero_numbers == ["0012,3.4"] and got["s"].long_numeric_runs == ["1.2.3,4.5.6.7.8.9.0.1"]
