@@ -9,9 +9,13 @@ named are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from ..functions import text as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as ST
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions import page as P, text as T
 
 PAGE = ["doc_id", "page_no"]
 
@@ -24,26 +28,35 @@ def glyphs(layout: DataFrame) -> DataFrame:
 
 
 def row_texts(glyph: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, row and text of right-to-left glyph rows: rows part where y0 jumps by 3, spaces stand for blanks and wide gaps."""
-    by_y = Window.partitionBy(*keys).orderBy("y0", F.desc("x0"))
-    jump = (F.col("y0") - F.lag("y0").over(by_y) >= 3.0).cast("int")
-    rows = glyph.withColumn("jump", F.coalesce(jump, F.lit(0))).withColumn("row", F.sum("jump").over(by_y.rowsBetween(Window.unboundedPreceding, 0)))
-    # a blank only raises a flag for the next glyph that shows
-    line = Window.partitionBy(*keys, "row")
-    order = line.orderBy(F.desc(F.rint("x0")), F.desc("y0"))
-    shown = rows.withColumn("blank", F.trim("c") == "").withColumn("unit", 0.6 * F.coalesce(F.median(F.when(F.col("x1") - F.col("x0") > 0.5, F.col("x1") - F.col("x0"))).over(line), F.lit(6.0)))
-    shown = shown.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("blank"))
-    gap = F.lag("x0").over(order) - F.col("x1")
-    # one before the first glyph that shows still holds for the second
-    had = F.col("blanks") > F.when(F.row_number().over(order) == 2, 0).otherwise(F.lag("blanks").over(order))
-    prev = F.lag("c").over(order)
-    arabic = f"^[{T.BLOCKS}ﭐ-﷿ﹰ-﻿]"
-    both = prev.rlike(arabic) & F.col("c").rlike(arabic)
-    limit = F.col("unit") * F.when(~both, 1.0).when(prev.rlike("^[ء-إاةد-زوىٱ]"), 2.6).otherwise(3.0)
-    piece = F.concat(F.when((gap > limit) | (had & (gap > 0.5)), " ").otherwise(""), F.col("c"))
-    shown = shown.withColumn("piece", piece).withColumn("nth", F.row_number().over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda x: x.piece), "")
-    return shown.groupBy(*keys, "row").agg(text.alias("text"))
+    """keys, row and text of right-to-left glyph rows: rows part where y0 jumps by 3, spaces stand for blanks and wide gaps.
+
+    The glyphs of a key are gathered into one list by the only shuffle.
+    """
+    each = glyph.filter("c is not null").groupBy(*keys).agg(F.collect_list(F.struct("c", "x0", "y0", "x1", "y1")).alias("_glyphs"))
+    return _row_texts(each, keys, ["_glyphs"], lambda glyphs: [P.Glyph(*g.values()) for g in glyphs])
+
+
+def run_texts(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`row_texts`, of keys whose glyphs are one row (text, x0, step, width, y0, y1) in even steps; nothing is shuffled."""
+    return _row_texts(runs, keys, ["text", "x0", "step", "width", "y0", "y1"], P.Run)
+
+
+def _row_texts(rows: DataFrame, keys: list[str], columns: list[str], made: Callable) -> DataFrame:
+    schema = ST.StructType([*(rows.schema[k] for k in keys), ST.StructField("row", ST.LongType()), ST.StructField("text", ST.StringType())])
+    arrow, n = to_arrow_schema(schema), len(keys)
+
+    def run(batches):
+        for b in batches:
+            at, row, text = [], [], []
+            for i, v in enumerate(zip(*(c.to_pylist() for c in b.columns[n:]))):
+                for k, t in P.visual_rows(made(*v)):
+                    at.append(i)
+                    row.append(k)
+                    text.append(t)
+            own = b.select([*range(n)]).take(pa.array(at, pa.int64()))  # never the glyphs
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own.columns, arrow)), pa.array(row, pa.int64()), pa.array(text, pa.string())], schema=arrow)
+
+    return rows.select(*keys, *columns).mapInArrow(run, schema)
 
 
 def body_sizes(spans: DataFrame) -> DataFrame:
@@ -61,20 +74,21 @@ def page_fonts(spans: DataFrame) -> DataFrame:
 def gutters(boxes: DataFrame) -> DataFrame:
     """(doc_id, page_no, mid_x): middle of the longest strip in the middle 40 % that no narrow box covers, if 10 wide, else of the page; boxes are (doc_id, page_no, x0, x1, left, width)."""
     w = F.col("width")
-    covered = boxes.filter(F.col("x1") - F.col("x0") <= 0.6 * w).select(*PAGE, F.explode(_span(F.floor(F.greatest(F.lit(0.0), F.col("x0") - F.col("left"))), F.floor(F.least(w, F.col("x1") - F.col("left"))))).alias("x")).distinct()
-    pages = boxes.select(*PAGE, "left", "width").distinct()
-    strip = pages.select(*PAGE, F.explode(_span(F.floor(0.3 * w), F.floor(0.7 * w))).alias("x"))
-    free = strip.join(covered, [*PAGE, "x"], "left_anti")
-    island = F.col("x") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("x"))
-    runs = free.withColumn("island", island).groupBy(*PAGE, "island").agg(F.min("x").alias("start"), F.count(F.lit(1)).alias("len"))
-    best = runs.groupBy(*PAGE).agg(F.max(F.struct("len", (-F.col("start")).alias("minus"))).alias("best"))
-    mid = F.when(F.col("best.len") >= 10, F.col("left") - F.col("best.minus") + F.col("best.len") / 2).otherwise(F.col("left") + w / 2)
-    return pages.join(best, PAGE, "left").select(*PAGE, mid.cast("double").alias("mid_x"))
-
-
-def _span(a: Column, b: Column) -> Column:
-    """The whole numbers from a on below b."""
-    return F.when(b > a, F.sequence(a.cast("int"), b.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    low, high = F.floor(F.greatest(F.lit(0.0), F.col("x0") - F.col("left"))), F.floor(F.least(w, F.col("x1") - F.col("left")))
+    narrow = F.when((F.col("x1") - F.col("x0") <= 0.6 * w) & (high > low), F.struct(low.cast("int").alias("a"), high.cast("int").alias("b")))
+    each = boxes.groupBy(*PAGE, "left", "width").agg(F.collect_set(narrow).alias("spans"))
+    schema = ST.StructType([*(boxes.schema[k] for k in PAGE), ST.StructField("mid_x", ST.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            mid = []
+            for left, width, spans in zip(*(c.to_pylist() for c in b.columns[2:])):
+                start, n = P.longest_gap([(x["a"], x["b"]) for x in spans], width)
+                mid.append(float(left + start + n / 2 if n >= 10 else left + width / 2))
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns[:2], arrow)), pa.array(mid, pa.float64())], schema=arrow)
+
+    return each.mapInArrow(run, schema)
 
 
 def _inside(cx: Column, cy: Column, slack: float = 0.0) -> Column:

@@ -6,7 +6,9 @@ results are written down, not computed by any of the chain's patterns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as ST
 
 from ..functions import text as T
 from . import corpora, layout
@@ -40,12 +42,19 @@ CASES = [
 ]
 
 
+_NO_LATIN = re.compile("[^a-zA-Z]+")
+
+
 def lines(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, idx, rule, broken) of the lines with at least three letters."""
-    letters = F.translate(F.lower(F.regexp_replace("txt", "[^a-zA-Z]", "")), corpora.LATIN, layout.PLAIN)
-    rows = layout.lines(s, d).select("doc_id", "idx", (F.col("idx") % len(CASES)).alias("rule"), letters.alias("w")).filter("length(w) >= 3")
-    forms = F.array(*[F.lit(broken) for broken, _ in CASES])
-    return rows.select("doc_id", "idx", "rule", F.replace(F.element_at(forms, F.col("rule") + 1), F.lit("W"), F.col("w")).alias("broken"))
+    fields = [*(ST.StructField(n, ST.IntegerType()) for n in ("idx", "rule")), ST.StructField("broken", ST.StringType())]
+
+    def made(_, own):
+        words = [layout.plain(_NO_LATIN.sub("", x).lower()) for x in own]
+        rules = [k % len(CASES) for k in range(len(own))]
+        return range(len(own)), rules, [CASES[r][0].replace("W", w) if len(w) >= 3 else None for r, w in zip(rules, words)]
+
+    return layout._of_lines(s, d, fields, made).filter("broken is not null")
 
 
 def repaired(s: SparkSession, d: str) -> DataFrame:

@@ -229,3 +229,54 @@ def test_even_runs_are_read_as_their_glyphs():
         spans = [{"box": (0, 0, 1, 1), "size": rng.choice([7.0, 8.0, 12.0, 30.0]), "glyphs": P.Run("x" * rng.randint(0, 6), 0, 8, 7, 0, 9)} for _ in range(rng.randint(0, 5))]
         sizes = [s["size"] for s in spans if s["size"] < 20 for _ in s["glyphs"]]
         assert P.body_size([{"box": (0, 0, 1, 1), "lines": [{"spans": spans}]}], []) == (statistics.median(sizes) if sizes else 0.0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="the driver's tables are not here")
+def test_row_texts_of_runs_are_those_of_their_glyphs_without_a_shuffle(spark):
+    from foliograph.plans import layout as Q
+
+    keys = ["doc_id", "page_no", "slot"]
+    got = L.run_texts(Q.runs(spark, SMALL), keys)
+    plan = plan_of(Q.queries()["layout_row_text"](spark, SMALL))
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    want = L.row_texts(Q.glyphs(spark, SMALL), keys)
+    assert "Window" not in plan_of(want) and plan_of(want).count("Exchange hashpartitioning") == 1
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_visual_rows_of_odd_glyphs():
+    rng = random.Random(4)
+    for _ in range(4000):
+        text = "".join(rng.choice("بتاد ءaB\t19. ") for _ in range(rng.randint(0, 12)))
+        run = P.Run(text, 533.0, rng.choice([-8, 8, 5, -20]), rng.choice([7.0, 4.0]), 100.0, 112.0)
+        assert P.visual_rows(run) == P.visual_rows(list(run)), repr(text)
+    two = [*glyphs("ab", 500, 100), *glyphs(" c", 500, 104), *glyphs(" ", 500, 120)]
+    assert P.visual_rows(two) == [(0, "ab"), (1, "c")]
+
+
+def test_gutters_shuffle_one_row_for_each_box(spark):
+    boxes = spark.createDataFrame([("a", 1, 0.0, 200.0), ("a", 1, 260.0, 300.0), ("a", 1, 340.0, 560.0), ("a", 1, 0.0, 590.0), ("b", 1, 0.0, 590.0), ("c", 1, 170.0, 440.0)], "doc_id string, page_no int, x0 double, x1 double")
+    got = L.gutters(boxes.selectExpr("*", "0D AS left", "600D AS width"))
+    assert {r.doc_id: r.mid_x for r in got.collect()} == {"a": 230.0, "b": 300.0, "c": 300.0}
+    assert "Generate" not in plan_of(got) and "Join" not in plan_of(got)
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="the driver's tables are not here")
+def test_lines_are_cut_without_a_shuffle_and_tested_as_the_columns_do(spark):
+    from pyspark.sql import functions as F
+
+    from foliograph.functions import text as T
+    from foliograph.plans import cleaning, layout as Q
+
+    for df in (Q.line_tests(spark, SMALL), cleaning.lines(spark, SMALL), Q.lines(spark, SMALL)):
+        assert "Window" not in plan_of(df) and "hashpartitioning" not in plan_of(df) and "regexp" not in plan_of(df)
+    assert Q.cut("a" * 130 + "\n  \n\nb\n" + " " * 60 + "c") == ["a" * 60, "a" * 60, "a" * 10, "b", "c"] and Q.cut(None) == Q.cut("") == []
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["12", "٣", "²", "-", "–", "ـ", " ", "a", "word ", "كلمة ", "b c ", "."]) for _ in range(rng.randint(0, 9))) for _ in range(600)]
+    df = spark.createDataFrame(list(zip(texts, texts[1:] + [""])), "a string, b string").select("a", "b", T.is_page_number(F.col("a")).alias("p"), T.reference_number(F.col("a")).alias("n"), T.shares_words(F.col("a"), F.col("b")).alias("s"))
+    for r in df.collect():
+        assert (P.is_page_number(r.a), P.reference_number(r.a), P.shares_words(P.word_set(r.a), P.word_set(r.b))) == (r.p, r.n, r.s), repr((r.a, r.b))
